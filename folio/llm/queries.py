@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import language, minhash, neighbours, secrets, sharding, toxicity
+from folio.llm import decontaminate, language, linededup, minhash, neighbours, ngrams, packing, secrets, sharding, toxicity
 from folio.llm.ship import ship
 
 
@@ -20,6 +20,16 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op2_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return ngrams.corpus_scores(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     vectors = table(spark, sf_dir, "embeddings")
@@ -30,12 +40,28 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.without_recurring_lines(docs, counts=True)
+
+
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
@@ -47,7 +73,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minhash_dedup, op4_nearest_neighbours, op5_secret_scan, op7_language_id, op9_jump_sharding, op10_toxicity)
+    found = (
+        op1_minhash_dedup,
+        op2_backoff_scores,
+        op3_decontamination,
+        op4_nearest_neighbours,
+        op5_secret_scan,
+        op6_packing,
+        op7_language_id,
+        op8_line_dedup,
+        op9_jump_sharding,
+        op10_toxicity,
+    )
     return {f.__name__: f for f in found}
 
 
