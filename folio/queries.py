@@ -1,4 +1,4 @@
-"""Registered queries of the library, by name."""
+"""Registered queries of the library, by name, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.plans import events, shelf, texts
+
+_ALL = shelf.QUERIES | events.QUERIES | texts.QUERIES
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
