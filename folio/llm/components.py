@@ -19,17 +19,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     both = kept(both, f"{name}-edges")
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node")
-    labels = kept(labels, f"{name}-labels")
+    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), f"{name}-labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        lower = labels.join(near.withColumnRenamed("a", "node"), "node").select(
-            "node", F.col("component").alias("was"), F.least("component", "near").alias("via")
-        )
+        # each node's own label and its neighbours', one row a node
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), F.lit(None).cast("long").alias("was"), "component")
+        own = labels.select("node", F.col("component").alias("was"), "component")
+        lower = own.union(near).groupBy("node").agg(F.max("was").alias("was"), F.min("component").alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("jumped"))
         moved = lower.join(jump, "via").select("node", "was", F.least("via", "jumped").alias("component"))
         moved = kept(moved, f"{name}-labels")
-        changed = moved.where("component <> was").limit(1).count()
         labels = moved.select("node", "component")
-        if not changed:
+        if moved.where("component <> was").isEmpty():
             return labels

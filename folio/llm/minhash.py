@@ -115,37 +115,63 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.select("a", "b", "left", "right").mapInArrow(each, "a long, b long")
 
 
-def _blocks_verified(probes: DataFrame, texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between each ``probes(a, component)`` and members of that component.
+def _blocks_verified(buckets: DataFrame, groups: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between the different groups that meet in a bucket, by ``buckets(band, node)`` and ``groups(node, component)``.
 
-    Members are packed in blocks of bounded size; one link for each probe and
-    block is enough to merge the two groups.
+    A bucket's members are packed in blocks of bounded size. Members outside the
+    bucket's largest group are compared with all blocks, so a bucket that is one
+    group but for a few costs a few passes. A pair is compared in the first band
+    that it shares, and never leaves the task unless it is a link.
     """
-    wanted = members.join(probes.select("component").distinct(), "component")
-    sizes = wanted.groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK).alias("blocks"))
-    spread = wanted.join(sizes, "component").join(texts, "node")
-    spread = spread.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    blocks = spread.groupBy("component", "block").agg(F.collect_list(F.struct("node", "text")).alias("block_rows"))
-    blocks = kept(blocks.select("component", F.col("block_rows.node").alias("nodes"), F.col("block_rows.text").alias("texts")), "minhash-blocks")
+    met = buckets.join(groups, "node").join(classes.select("node", "n_shingles"), "node")
+    met = met.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    mixed = met.groupBy("band").agg(F.count("*").alias("groups"), F.max(F.struct("n", "component")).alias("largest"), F.ceil(F.sum("size") / BLOCK).alias("blocks"))
+    mixed = kept(mixed.where("groups > 1").select("band", F.col("largest.component").alias("largest"), "blocks"), "minhash-mixed")
+    rows = buckets.select("band", "node").join(mixed, "band").join(groups, "node").join(classes.select("node", "bands"), "node").join(texts, "node")
+    rows = rows.select("band", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.struct("node", "component", (F.col("component") != F.col("largest")).alias("asks"), "bands", "text").alias("row"))
+    blocks = rows.groupBy("band", "block").agg(F.collect_list("row").alias("rows"))
+    fields = ("node", "component", "asks", "bands", "text")
+    blocks = kept(blocks.select("band", *(F.col(f"rows.{f}").alias(f) for f in fields)), "minhash-blocks")
+    asking = blocks.where(F.exists("asks", lambda x: x)).select("band", *(F.col(f).alias(f"{f}_a") for f in fields))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
         for batch in batches:
-            a, nodes, texts = batch.column(0).to_pylist(), batch.column(2), batch.column(3)
-            found: list[tuple[int, int]] = []
-            for k, own in enumerate(arrays.shingle_sets(batch.column(1), width)):
-                names = nodes[k].as_py()
-                if names != last:
-                    held, last = list(arrays.shingle_sets(texts[k].values, width)), names
-                hit = next((names[i] for i, other in enumerate(held) if similar(own, other, percent)), None)
-                if hit is not None:
-                    found.append((a[k], hit))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"]
-            )
-
-    asked = probes.join(texts.select(F.col("node").alias("a"), "text"), "a")
-    return asked.join(blocks, "component").select("a", "text", "nodes", "texts").mapInArrow(each, "a long, b long")
+            for k in range(len(batch)):
+                found = _links(batch.column(0)[k].as_py(), *([batch.column(c)[k].values for c in range(at, at + 5)] for at in (1, 6)), width, percent)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    both = asking.join(blocks, "band").select("band", *(f"{f}_a" for f in fields), *fields)
+    return both.mapInArrow(each, "a long, b long")
+
+
+def _links(band: int, asking: list[pa.Array], block: list[pa.Array], width: int, percent: int) -> list[tuple[int, int]]:
+    """Links of a block's asking members to members of another block, one for each pair of groups."""
+    node, group, _, keys, text = block
+    nodes, groups = node.to_numpy(), group.to_numpy()
+    bands = np.array(keys.to_pylist())
+    sets = list(arrays.shingle_sets(text, width))
+    size = np.array([len(x) for x in sets])
+    own_bands = np.array(asking[3].to_pylist())
+    place = int(np.flatnonzero(bands[0] == band)[0])
+    found, asks = [], asking[2].to_pylist()
+    for k, own in enumerate(arrays.shingle_sets(asking[4], width)):
+        if not asks[k]:
+            continue
+        able = groups != asking[1][k].as_py()
+        able &= 100 * np.minimum(size, len(own)) >= percent * np.maximum(size, len(own))
+        able &= ~(bands[:, :place] == own_bands[k, :place]).any(axis=1)
+        at = np.flatnonzero(able)
+        if not len(at):
+            continue
+        joined = np.concatenate([sets[i] for i in at])
+        slot = np.searchsorted(own, joined)
+        slot[slot == len(own)] = 0
+        first = np.cumsum(size[at]) - size[at]
+        shared = np.add.reduceat((own[slot] == joined).astype(np.int64), first)
+        hits = at[100 * shared >= percent * (len(own) + size[at] - shared)]
+        _, one = np.unique(groups[hits], return_index=True)
+        found += [(asking[0][k].as_py(), int(nodes[i])) for i in hits[one]]
+    return found
 
 
 def near_duplicates(
@@ -181,49 +207,45 @@ def near_duplicates(
     )
     classes = kept(classes, "minhash-classes")
     members = classes.select("node", F.explode("bands").alias("band"))
-    hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    buckets = kept(members.join(hubs.select("band", "hub"), "band"), "minhash-buckets")
+    members = kept(members, "minhash-members")
+    sizes = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    shared = kept(members.join(sizes, "band"), "minhash-shared")
+    # what shares most bands with others lies in the middle of its group
+    central = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = kept(shared.select("band", "node").join(central, "node"), "minhash-weighed")
+    hubs = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("hub"))
+    buckets = kept(weighed.select("band", "node").join(hubs.select("band", (-F.col("hub.node")).alias("hub")), "band"), "minhash-buckets")
     nodes = buckets.select("node").distinct()
     bodies = docs.select(F.col(key).cast("long").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = kept(bodies.join(nodes, "node"), "minhash-texts")
 
-    links = None
-    groups = nodes.select("node", F.col("node").alias("component"))
+    tested = None
+    linked = nodes.select("node", F.col("node").alias("component"))
     for turn in range(2):
         own = buckets
-        if turn:  # a hub of the largest share, among members that are still apart
-            own = buckets.join(groups, "node").join(groups.select(F.col("node").alias("hub"), F.col("component").alias("held")), "hub")
-            own = own.where("component <> held").select("band", "node", "hub")
+        if turn:  # a hub that a member shares most bands with, where the first one didn't join them
+            held = linked.select(F.col("node").alias("hub"), F.col("component").alias("held"))
+            own = buckets.join(linked, "node").join(held, "hub").where("component <> held").select("node", "hub")
         counted = own.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
-        best = counted.groupBy("node").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("best"))
-        pairs = best.select(F.col("node").alias("a"), (-F.col("best.hub")).alias("b"))
         if turn:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")  # noqa: F821
-        tested = kept(pairs, "minhash-pairs")
-        found = _verified(tested, texts, width, percent)
-        links = kept(found if links is None else links.union(found), "minhash-links")
-        joined = components(links, "minhash")
-        groups = nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        groups = kept(groups, "minhash-groups")
-
-    apart = buckets.join(groups, "node").groupBy("band", "component").agg(F.min("node").alias("node")).select("band", "component")
-    several = apart.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    apart = kept(apart.join(several, "band"), "minhash-apart")
-    other = apart.select("band", F.col("component").alias("other"))
-    meeting = apart.join(other, "band").where("component < other").select("component", "other").distinct()
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    meeting = meeting.join(sizes, "component").join(sizes.select(F.col("component").alias("other"), F.col("n").alias("m")), "other")
-    small, large = F.when(F.col("n") <= F.col("m"), F.col("component")).otherwise(F.col("other")), F.when(
-        F.col("n") <= F.col("m"), F.col("other")
-    ).otherwise(F.col("component"))
-    meeting = meeting.select(small.alias("small"), large.alias("large"))
-    probes = groups.select(F.col("node").alias("a"), F.col("component").alias("small")).join(meeting, "small")
-    probes = kept(probes.select("a", F.col("large").alias("component")), "minhash-probes")
-    weighed = groups.join(classes.select("node", "n_shingles"), "node")
-    rest = _blocks_verified(probes, texts, weighed, width, percent)
-    links = kept(links.union(rest), "minhash-links")
-
-    final = classes.select("digest", "node").join(components(links, "minhash"), "node", "left")
+            counted = counted.join(tested.select(F.col("a").alias("node"), F.col("b").alias("hub")), ["node", "hub"], "left_anti")
+        best = counted.groupBy("node").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("best"))
+        tested = kept(best.select(F.col("node").alias("a"), (-F.col("best.hub")).alias("b")), "minhash-pairs")
+        found = kept(_verified(tested, texts, width, percent), "minhash-links")
+        links = found if not turn else links.union(found)
+        if not turn:  # a member has one hub so far, so its link is its label
+            linked = kept(nodes.join(found.select(F.col("a").alias("node"), "b"), "node", "left").select("node", F.coalesce("b", "node").alias("component")), "minhash-linked")
+    joined = components(links, "minhash")
+    groups = kept(nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "minhash-groups")
+
+    rest = kept(_blocks_verified(buckets, groups, classes, texts, width, percent), "minhash-rest")
+    if not rest.isEmpty():  # merge whole groups
+        label = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
+        between = rest.join(label("a"), "a").join(label("b"), "b").select(F.col("a_group").alias("a"), F.col("b_group").alias("b"))
+        merged = components(between, "minhash-merged").withColumnRenamed("component", "merged")
+        groups = groups.join(merged.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
+
+    final = classes.select("digest", "node").join(groups, "node", "left")
     final = kept(final.select("digest", F.coalesce("component", "node").alias("component")), "minhash-final")
     out = sets.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
     group = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id"))
