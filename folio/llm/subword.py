@@ -59,7 +59,7 @@ def _grams(data: np.ndarray, sizes: tuple[int, ...], bits: int) -> Iterator[tupl
             if k > 1:
                 inside |= blank[k - 1 : k - 1 + len(inside)]
         have = size
-        ids = (code | np.uint64(size << 40)) * _SALT
+        ids = (code | np.uint64(size << 56)) * _SALT
         ids >>= np.uint64(64 - bits)
         yield ids.view(np.int64), ~(inside | (blank[:n] & blank[size - 1 : size - 1 + n]))
 
@@ -145,8 +145,8 @@ def train(
     sizes: tuple[int, ...],
     bits: int,
     width: int = 8,
-    epochs: int = 4,
-    rate: float = 0.5,
+    epochs: int = 5,
+    rate: float = 1.0,
     seed: int = 7,
 ) -> Model:
     """Fit embeddings and softmax jointly; a fifth of the texts sets the temperature.
@@ -163,8 +163,8 @@ def train(
     bags = list(_bags(pa.array(texts, pa.string()), sizes, bits))
     order = rng.permutation(len(bags))
     held, fit = order[: len(bags) // 5], order[len(bags) // 5 :]
-    table = rng.normal(0, 0.1, (1 << bits, width)).astype(np.float32)
-    weights = rng.normal(0, 0.3, (width, len(classes))).astype(np.float32)
+    table = rng.normal(0, 0.01, (1 << bits, width)).astype(np.float32)
+    weights = rng.normal(0, 1, (width, len(classes))).astype(np.float32)
     bias = np.log(np.bincount(y[fit], minlength=len(classes)) + 1.0).astype(np.float32)
     bias -= bias.mean()
     seen_table = np.full(1 << bits, 1e-8, np.float32)
