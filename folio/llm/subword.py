@@ -131,11 +131,11 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def _bags(column: pa.Array, sizes: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     _, at = arrays.text_buffers(column)
-    for lo, hi in arrays.chunks(at, 1 << 20):
+    for lo, hi in arrays.chunks(at, 1 << 17):
         ids, borders = features(column.slice(lo, hi - lo), sizes, bits)
         for k in range(hi - lo):
             own, n = np.unique(ids[borders[k] : borders[k + 1]], return_counts=True)
-            yield own, (n / max(1, n.sum())).astype(np.float32)
+            yield own.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
 
 
 def train(
@@ -160,7 +160,10 @@ def train(
         return Model(known, sizes, bits, np.zeros((1 << bits, len(known)), np.float32), np.zeros(len(known)))
     rng = np.random.Generator(np.random.PCG64(seed))
     y = np.array([classes.index(x) for x in labels])
-    bags = list(_bags(pa.array(texts, pa.string()), sizes, bits))
+    column = pa.array(texts, pa.string())
+    del texts  # the driver holds the texts once
+    bags = list(_bags(column, sizes, bits))
+    del column
     order = rng.permutation(len(bags))
     held, fit = order[: len(bags) // 5], order[len(bags) // 5 :]
     table = rng.normal(0, 0.01, (1 << bits, width)).astype(np.float32)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folio.llm import sample, subword
 
 #: Rows, about, that the model is fitted on, and characters of each of a row's three slices.
-FIT_ROWS, FIT_SLICE = 15_000, 1000
+FIT_ROWS, FIT_SLICE = 12_000, 800
 
 #: A row is predicted toxic from this score on.
 THRESHOLD = 0.3
@@ -35,7 +35,9 @@ def fit(
     chosen = chosen.groupBy("id").agg(F.max("y").alias("y"))
     own = docs.select(F.col(key).alias("id"), F.coalesce(sample.excerpt(F.col(text), FIT_SLICE), F.lit("")).alias("t"))
     got = own.join(F.broadcast(chosen), "id").select("id", "t", "y").limit(rows * 2).toPandas().sort_values(["id", "t"])
-    return subword.train(got["t"].tolist(), got["y"].tolist(), sizes=SIZES, bits=BITS)
+    texts, marks = got["t"].tolist(), got["y"].tolist()
+    del got
+    return subword.train(texts, marks, sizes=SIZES, bits=BITS)
 
 
 def toxic_share(model: subword.Model, column: pa.Array) -> np.ndarray:
