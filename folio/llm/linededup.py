@@ -3,8 +3,8 @@
 As in Drain (He et al., 2017) a line is led down a tree of fixed depth: by its
 token count, then by its leading tokens. Tokens with digits are fields from the
 start; in a leaf with several kinds of lines, positions without a common token
-become fields too. Templates that recur across documents are dropped. All of it
-is DataFrame expressions, joins and aggregates.
+become fields too. Templates that recur across documents that are unlike one
+another are dropped. All of it is DataFrame expressions, joins and aggregates.
 """
 
 from __future__ import annotations
@@ -29,11 +29,17 @@ AGREE = 0.8
 #: Share of a template's positions that must not be fields; a line of numbers is no template.
 FIXED = 0.5
 
-#: Documents with surroundings of their own in which a template recurs before it is dropped,
+#: Documents, each unlike the others, in which a template recurs before it is dropped.
 LEAST_DOCS = 5
-#: and their least share of all documents that hold it. Copies share a line's
-#: surroundings as well, and are left to the removal of near-duplicates.
-LEAST_SHARE = 0.3
+
+#: Documents are copies if so much of their word samples of this size is common; they
+#: are left to the removal of near-duplicates. Where one word of a document with fewer
+#: than ``COPY_WORDS`` differs, less than 0.8 of its five-word shingles are common, so
+#: such a document is a copy of its equals only.
+LIKE, SAMPLE, COPY_WORDS = 0.9, 96, 45
+
+#: A template's documents are compared in cells, whose documents are then compared in fewer cells.
+CELLS = (4096, 64, 1)
 
 _FIELD = "<*>"
 
@@ -56,7 +62,7 @@ def masked(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, text: str) -> DataFrame:
-    """A row for each line: its text's key, place, template hash, leaf, and surroundings.
+    """A row for each line: its text's key, place, template hash and leaf.
 
     Lines are masked inside the array, before it is exploded, so that each one is
     masked once however often the columns behind it are used.
@@ -64,15 +70,11 @@ def line_table(docs: DataFrame, text: str) -> DataFrame:
     rows = docs.where(F.col(text).isNotNull()).select(
         F.xxhash64(F.col(text)).alias("k1"), F.xxhash64(F.lit(1), F.col(text)).alias("k2"), F.split(F.col(text), "\n", -1).alias("lines")
     )
-    start = lambda x: F.substring(x, 1, 16)
-    flat = F.transform("lines", single_blanks)
-    around = F.transform("lines", lambda x, i: F.xxhash64(start(F.get("lines", i - 1)), F.lit(0), start(F.get("lines", i + 1))))
-    both = F.arrays_zip(F.transform(flat, masked).alias("line"), around.alias("around"))
-    rows = rows.select("k1", "k2", F.posexplode(both).alias("pos", "x")).select("k1", "k2", "pos", "x.around", "x.line")
+    rows = rows.select("k1", "k2", F.posexplode(F.transform(F.transform("lines", single_blanks), masked)).alias("pos", "line"))
     rows = rows.withColumn("n", n_tokens(F.col("line"))).where(F.col("n") >= LEAST_TOKENS)
     leaf = F.xxhash64("n", F.substring_index("line", " ", DEPTH))
     short = F.when(F.col("n") <= MOST_TOKENS, F.col("line"))
-    return rows.select("k1", "k2", "pos", "around", "n", F.xxhash64("line").alias("h"), leaf.alias("leaf"), short.alias("short"))
+    return rows.select("k1", "k2", "pos", "n", F.xxhash64("line").alias("h"), leaf.alias("leaf"), short.alias("short"))
 
 
 def generalised(lines: DataFrame) -> DataFrame:
@@ -89,20 +91,41 @@ def generalised(lines: DataFrame) -> DataFrame:
     return agree.join(whole, "leaf").where("same = fixed").select("h", F.xxhash64(F.lit("leaf"), "leaf").alias("template"))
 
 
-def recurring(lines: DataFrame) -> DataFrame:
+def samples(docs: DataFrame, text: str) -> DataFrame:
+    """``k1, words``: the least hashes of each text's distinct words, or the key alone for a short text."""
+    own = F.col(text)
+    words = F.transform(F.array_distinct(F.split(own, r"\s+")), lambda x: F.hash(x))
+    least = F.slice(F.array_sort(words), 1, SAMPLE)
+    alone = F.array(F.hash(F.lit(2), own))
+    rows = docs.where(own.isNotNull()).select(F.xxhash64(own).alias("k1"), F.when(F.size(F.split(own, r"\s+")) < COPY_WORDS, alone).otherwise(least).alias("words"))
+    return rows.groupBy("k1").agg(F.first("words").alias("words"))
+
+
+def _unlike(words: str | Column) -> Column:
+    """Of samples, ``LEAST_DOCS`` at most that are each unlike those before."""
+    like = lambda x, y: F.size(F.array_intersect(x, y)) >= LIKE * F.greatest(F.size(x), F.size(y))
+    full = lambda found: F.size(found) >= LEAST_DOCS
+    return F.aggregate(words, F.array().cast("array<array<int>>"), lambda found, x: F.when(full(found) | F.exists(found, lambda y: like(x, y)), found).otherwise(F.concat(found, F.array(x))))
+
+
+def recurring(lines: DataFrame, words: DataFrame) -> DataFrame:
     """``h`` of the lines whose template recurs across documents that aren't copies of one another.
 
-    Of each surrounding, the first document counts, and documents of one text
-    count once. Every count first combines by a finer key, so a template that
-    stands in very many documents is no task of its own.
+    Documents of one text count once. Every count first combines by a finer key,
+    and documents are compared in cells, so a template that stands in very many
+    documents is no task of its own.
     """
     own = kept(generalised(lines), "lines-templates")
-    ids = lines.select("k1", "around", "h").distinct().join(own, "h", "left").select("h", "k1", "around", F.coalesce("template", "h").alias("id"))
+    ids = lines.select("k1", "h").distinct().join(own, "h", "left").select("h", "k1", F.coalesce("template", "h").alias("id"))
     ids = kept(ids, "lines-ids")
-    firsts = ids.groupBy("id", "around").agg(F.min("k1").alias("k1")).select("id", "k1").distinct().groupBy("id").agg(F.count("*").alias("apart"))
-    docs = ids.select("id", "k1").distinct().groupBy("id").agg(F.count("*").alias("docs"))
-    often = firsts.where(F.col("apart") >= LEAST_DOCS).join(docs, "id").where(F.col("apart") >= LEAST_SHARE * F.col("docs")).select("id")
-    return ids.select("id", "h").distinct().join(often, "id").select("h").distinct()
+    pairs = ids.select("id", "k1").distinct()
+    often = kept(pairs.groupBy("id").agg(F.count("*").alias("docs")).where(F.col("docs") >= LEAST_DOCS).select("id"), "lines-often")
+    pairs = pairs.join(often, "id").join(words, "k1")
+    rows = pairs.select("id", F.pmod("k1", F.lit(CELLS[0])).alias("cell"), F.array("words").alias("words"))
+    for cells in CELLS:
+        rows = rows.groupBy("id", F.pmod("cell", F.lit(cells)).alias("cell")).agg(_unlike(F.flatten(F.collect_list("words"))).alias("words"))
+    apart = kept(rows.where(F.size("words") >= LEAST_DOCS).select("id"), "lines-apart")
+    return ids.select("id", "h").distinct().join(apart, "id").select("h").distinct()
 
 
 def without_recurring_lines(docs: DataFrame, *, text: str = "text", counts: bool = False) -> DataFrame:
@@ -116,7 +139,7 @@ def without_recurring_lines(docs: DataFrame, *, text: str = "text", counts: bool
     an empty result. Names of other columns don't matter, but for those two.
     """
     lines = kept(line_table(docs, text), "lines")
-    gone = kept(recurring(lines), "lines-recurring")
+    gone = kept(recurring(lines, samples(docs, text)), "lines-recurring")
     drops = lines.select("k1", "k2", "pos", "h").join(gone, "h").groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))
     drops = kept(drops.select(F.struct("k1", "k2").alias("__key"), F.col("drop").alias("__drop")), "lines-drops")
     own = F.col(text)

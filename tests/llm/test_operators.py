@@ -423,6 +423,28 @@ def test_recurring_lines(spark):
     assert linededup.without_recurring_lines(table(spark, [])).count() == 0
 
 
+def dropped(spark, rows):
+    return {r["doc_id"]: r["text"] for r in linededup.without_recurring_lines(table(spark, rows)).collect()}
+
+
+def test_lines_with_the_same_neighbours(spark):
+    passage = [prose(300 + j, 12) for j in range(4)]
+    fixed = [prose(310 + j, 7) for j in range(3)]
+    blank = "Read more about all of it below"
+    rows = [(k, "\n".join([prose(400 + k, 20), *passage, prose(420 + k, 20)])) for k in range(6)]
+    rows += [(10 + k, f"{prose(440 + k, 20)}\n\n{blank}\n\n{prose(460 + k, 20)}") for k in range(6)]
+    rows += [(20 + k, f"Report {k} was written by the station of the northern harbour in winter") for k in range(6)]
+    rows += [(30 + k, "\n".join([*fixed, prose(480 + k, 40)])) for k in range(6)]
+    copies = [(40 + k, "\n".join([*(prose(500 + j, 40) for j in range(3)), f"tail {k}"])) for k in range(9)]
+    got = dropped(spark, rows + copies)
+    for k in range(6):
+        assert got[k] == f"{prose(400 + k, 20)}\n{prose(420 + k, 20)}"
+        assert got[10 + k] == f"{prose(440 + k, 20)}\n\n\n{prose(460 + k, 20)}"
+        assert got[20 + k] == ""
+        assert got[30 + k] == prose(480 + k, 40)
+    assert all(got[i] == text for i, text in copies)  # near copies alone make no line recur
+
+
 def test_fields_without_digits(spark):
     names = ["ann", "bob", "cid", "dee", "eve", "fay", "gus"]
     rows = [(k, f"{prose(k, 9)}\nPosted by the user {x} in our public forum\n{prose(90 + k, 9)}") for k, x in enumerate(names)]
