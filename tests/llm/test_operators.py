@@ -445,6 +445,16 @@ def test_lines_with_the_same_neighbours(spark):
     assert all(got[i] == text for i, text in copies)  # near copies alone make no line recur
 
 
+def test_copies_beside_unlike_documents(spark):
+    licence = "This page may be used under the terms of its licence"
+    rows = [(k, f"{prose(600 + k, 50)}\n{licence}\n{prose(700 + k, 50)}") for k in range(6)]
+    words = prose(650, 200).split(" ")
+    copies = [(100 + k, " ".join([*words[: 3 * k], f"other{k}", *words[3 * k :]]) + f"\n{licence}\n{prose(750, 60)}") for k in range(60)]
+    got = dropped(spark, rows + copies)
+    for i, text in rows + copies:
+        assert got[i] == text.replace(licence + "\n", "")
+
+
 def test_fields_without_digits(spark):
     names = ["ann", "bob", "cid", "dee", "eve", "fay", "gus"]
     rows = [(k, f"{prose(k, 9)}\nPosted by the user {x} in our public forum\n{prose(90 + k, 9)}") for k, x in enumerate(names)]
