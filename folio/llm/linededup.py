@@ -20,8 +20,8 @@ from folio.llm.store import kept
 #: Leading tokens on the path to a leaf.
 DEPTH = 3
 
-#: Lines with fewer tokens are never templates; those with more generalise only by digits.
-LEAST_TOKENS, MOST_TOKENS = 3, 24
+#: Lines with fewer tokens are never templates.
+LEAST_TOKENS = 3
 
 #: Lines of a leaf that agree on a token make it part of the template.
 AGREE = 0.8
@@ -73,22 +73,48 @@ def line_table(docs: DataFrame, text: str) -> DataFrame:
     rows = rows.select("k1", "k2", F.posexplode(F.transform(F.transform("lines", single_blanks), masked)).alias("pos", "line"))
     rows = rows.withColumn("n", n_tokens(F.col("line"))).where(F.col("n") >= LEAST_TOKENS)
     leaf = F.xxhash64("n", F.substring_index("line", " ", DEPTH))
-    short = F.when(F.col("n") <= MOST_TOKENS, F.col("line"))
-    return rows.select("k1", "k2", "pos", "n", F.xxhash64("line").alias("h"), leaf.alias("leaf"), short.alias("short"))
+    return rows.select("k1", "k2", "pos", "n", F.xxhash64("line").alias("h"), leaf.alias("leaf"), "line")
 
 
-def generalised(lines: DataFrame) -> DataFrame:
-    """``h, template``: the lines that follow a template with fields found in their leaf."""
-    kinds = lines.where("short is not null").groupBy("leaf", "h").agg(F.first("short").alias("short"), F.first("n").alias("n"))
+def generalised(lines: DataFrame) -> DataFrame | None:
+    """``h, template``: the lines that follow a template with fields found in their leaf, or None.
+
+    A group of lines, at first a leaf, has a template if its common tokens are
+    enough. The lines that don't follow it are a group again. A group without a
+    template is split by the tokens of the position whose most frequent token
+    is ahead, till no token is frequent enough to make a group.
+    """
+    size = lines.select("leaf", "h").distinct().groupBy("leaf").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= LEAST_DOCS)
+    kinds = lines.join(kept(size.select("leaf"), "lines-busy"), "leaf").groupBy("leaf", "h", "n").agg(F.first("line").alias("line"))
     kinds = kept(kinds, "lines-kinds")
-    busy = kinds.groupBy("leaf").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= LEAST_DOCS)
-    tokens = kinds.join(kept(busy, "lines-busy"), "leaf").select("leaf", "h", "n", "kinds", F.posexplode(F.split("short", " ")).alias("at", "token"))
-    tokens = kept(tokens, "lines-tokens")
-    common = tokens.groupBy("leaf", "n", "kinds", "at", "token").agg(F.count("*").alias("c")).where((F.col("c") >= AGREE * F.col("kinds")) & (F.col("token") != _FIELD))
-    common = kept(common.select("leaf", "n", "at", "token"), "lines-common")
-    whole = common.groupBy("leaf", "n").agg(F.count("*").alias("fixed")).where(F.col("fixed") >= FIXED * F.col("n")).select("leaf", "fixed")
-    agree = tokens.join(common.select("leaf", "at", "token"), ["leaf", "at", "token"]).groupBy("leaf", "h").agg(F.count("*").alias("same"))
-    return agree.join(whole, "leaf").where("same = fixed").select("h", F.xxhash64(F.lit("leaf"), "leaf").alias("template"))
+    tokens = kinds.select("h", F.posexplode(F.split("line", " ")).alias("at", "token")).where(F.col("token") != _FIELD)
+    tokens = kept(tokens.select("h", "at", F.xxhash64("token").alias("token")), "lines-tokens")
+    rows, found = kinds.select("h", "n", F.col("leaf").alias("g")), None
+    while True:
+        sizes = rows.groupBy("g", "n").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= LEAST_DOCS)
+        rows = kept(rows.join(sizes.drop("n"), "g"), "lines-groups")
+        if rows.isEmpty():
+            return found
+        own = kept(rows.select("g", "h").join(tokens, "h"), "lines-group-tokens")
+        counts = kept(own.groupBy("g", "at", "token").agg(F.count("*").alias("c")).where(F.col("c") >= LEAST_DOCS), "lines-counts")
+        first = counts.groupBy("g", "at").agg(F.max(F.struct("c", "token")).alias("x")).select("g", "at", "x.c", "x.token")
+        first = first.join(rows.select("g", "n", "kinds").distinct(), "g").withColumn("common", F.col("c") >= AGREE * F.col("kinds"))
+        first = kept(first, "lines-first")
+        ahead = F.max(F.when(~F.col("common"), F.struct("c", -F.col("at")))).alias("ahead")
+        groups = first.groupBy("g", "n").agg(F.count_if("common").alias("fixed"), ahead)
+        groups = kept(groups.select("g", "fixed", (F.col("fixed") >= FIXED * F.col("n")).alias("whole"), (-F.col("ahead.col2")).alias("at")), "lines-templates")
+        whole = groups.where("whole").select("g", "fixed")
+        agree = own.join(first.where("common").select("g", "at", "token").join(whole, "g"), ["g", "at", "token"])
+        agree = agree.groupBy("g", "h", "fixed").agg(F.count("*").alias("same")).where("same = fixed")
+        done = kept(agree.select("g", "h", F.xxhash64(F.lit("leaf"), "g").alias("template")), "lines-done")
+        found = done.drop("g") if found is None else found.unionByName(done.drop("g"))
+        # a group whose template none of its lines follows as a whole is given up
+        rest = rows.join(done.select("g").distinct(), "g").join(done.select("h"), "h", "left_anti")
+        rest = rest.select("h", "n", F.xxhash64("g", F.lit("rest")).alias("g"))
+        split = groups.where("not whole and at is not null").select("g", "at")
+        token = own.join(split, ["g", "at"]).join(counts.drop("c"), ["g", "at", "token"]).select("h", "token")
+        parts = rows.join(split, "g").join(token, "h", "left").select("h", "n", F.xxhash64("g", "at", "token").alias("g"))
+        rows = rest.unionByName(parts)
 
 
 def samples(docs: DataFrame, text: str) -> DataFrame:
@@ -115,8 +141,9 @@ def recurring(lines: DataFrame, words: DataFrame) -> DataFrame:
     and documents are compared in cells, so a template that stands in very many
     documents is no task of its own.
     """
-    own = kept(generalised(lines), "lines-templates")
-    ids = lines.select("k1", "h").distinct().join(own, "h", "left").select("h", "k1", F.coalesce("template", "h").alias("id"))
+    own = generalised(lines)
+    ids = lines.select("k1", "h").distinct()
+    ids = ids.withColumn("id", F.col("h")) if own is None else ids.join(own, "h", "left").select("h", "k1", F.coalesce("template", "h").alias("id"))
     ids = kept(ids, "lines-ids")
     pairs = ids.select("id", "k1").distinct()
     often = kept(pairs.groupBy("id").agg(F.count("*").alias("docs")).where(F.col("docs") >= LEAST_DOCS).select("id"), "lines-often")

@@ -463,6 +463,19 @@ def test_fields_without_digits(spark):
     assert all("Posted" not in got[k] for k in range(7)) and "goat" in got[50]
 
 
+def test_long_lines_and_mixed_leaves(spark):
+    names = ["ann", "bob", "cid", "dee", "eve", "fay", "gus"]
+    long = [prose(800 + j, 30) for j in range(2)]
+    rows = [(k, f"{prose(810 + k, 9)}\n{long[0]} {x} {long[1]}\n{prose(830 + k, 9)}") for k, x in enumerate(names)]
+    forms = ["Posted by the user {} in our public forum", "Posted by the guest {} at some other place"]
+    rows += [(20 + 10 * j + k, f"{prose(850 + 20 * j + k, 9)}\n{form.format(x)}\n{prose(900 + 20 * j + k, 9)}") for j, form in enumerate(forms) for k, x in enumerate(names)]
+    rows.append((50, f"{prose(50, 9)}\nPosted by the goat {prose(51, 4)} it\n{prose(52, 9)}"))
+    got = dropped(spark, rows)
+    for i, text in rows:
+        lines = text.split("\n")
+        assert got[i] == (text if i == 50 else f"{lines[0]}\n{lines[2]}")
+
+
 # sharding
 
 
