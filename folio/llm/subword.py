@@ -8,12 +8,15 @@ n-gram, so that scoring a text is a mean of table rows.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from folio.llm import arrays
 
@@ -80,7 +83,7 @@ def features(column: pa.Array, sizes: tuple[int, ...], bits: int) -> tuple[np.nd
 
 @dataclass(frozen=True)
 class Model:
-    """A trained model: logits by n-gram bucket, bias, and a temperature."""
+    """A trained model: logits by n-gram bucket, bias, a temperature and a level of rejection."""
 
     classes: tuple
     sizes: tuple[int, ...]
@@ -88,6 +91,8 @@ class Model:
     logits: np.ndarray  # buckets x classes
     bias: np.ndarray
     temperature: float = 1.0
+    #: Predictions under this calibrated probability are rejected; found on rows that took no part in the fit.
+    level: float = 0.0
 
     @property
     def columns(self) -> list[np.ndarray]:
@@ -129,54 +134,86 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _bags(column: pa.Array, sizes: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    _, at = arrays.text_buffers(column)
-    for lo, hi in arrays.chunks(at, 1 << 17):
-        ids, borders = features(column.slice(lo, hi - lo), sizes, bits)
-        for k in range(hi - lo):
-            own, n = np.unique(ids[borders[k] : borders[k + 1]], return_counts=True)
-            yield own.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
+_BAGS = "y string, h long, ids binary, counts binary"
+
+
+def bags(rows: DataFrame, sizes: tuple[int, ...], bits: int) -> pa.Table:
+    """Training rows ``y, t`` as bags: the distinct n-gram buckets of each whole text and how often each occurs.
+
+    Tasks make the bags, six bytes for each bucket, so the driver never holds a
+    text. Counts that don't fit in 16 bits are scaled down together.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, at = arrays.text_buffers(batch.column(2))
+            for lo, hi in arrays.chunks(at, 1 << 17):
+                found, borders = features(batch.column(2).slice(lo, hi - lo), sizes, bits)
+                ids, counts = [], []
+                for k in range(hi - lo):
+                    own, n = np.unique(found[borders[k] : borders[k + 1]], return_counts=True)
+                    top = n.max(initial=1)
+                    n = n if top < 1 << 16 else np.maximum(1, n * 65535 // top)
+                    ids.append(own.astype("<i4").tobytes())
+                    counts.append(n.astype("<u2").tobytes())
+                own_rows = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([own_rows.column(0), own_rows.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["y", "h", "ids", "counts"])
+
+    text = F.coalesce(F.col("t"), F.lit(""))
+    return rows.select(F.col("y").cast("string").alias("y"), F.xxhash64("y", text).alias("h"), text.alias("t")).mapInArrow(each, _BAGS).toArrow()
+
+
+def _parts(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
+    """A view of each value of a binary column, without a copy."""
+    out = []
+    for chunk in column.chunks:
+        data, at = arrays.text_buffers(chunk)
+        out += [data[lo:hi].view(kind) if hi > lo else np.zeros(0, kind) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist())]
+    return out
 
 
 def train(
-    texts: list[str],
-    labels: list,
+    table: pa.Table,
     *,
     sizes: tuple[int, ...],
     bits: int,
     width: int = 8,
-    epochs: int = 5,
+    epochs: int = 6,
     rate: float = 1.0,
     seed: int = 7,
 ) -> Model:
-    """Fit embeddings and softmax jointly; a fifth of the texts sets the temperature.
+    """Fit embeddings and softmax jointly on ``bags``; a fifth of the rows sets the temperature.
 
     Steps are scaled by the sum of squared gradients of each row (Adagrad), as
-    rare n-grams move rarely. Without texts the model knows no class.
+    rare n-grams move rarely. The result doesn't depend on the order of the rows.
+    Without rows the model knows no class.
     """
-    classes = tuple(sorted(set(labels)))
+    marks = table.column("y").to_pylist()
+    classes = tuple(sorted(set(marks)))
     if len(classes) < 2:
         known = classes or ("und",)
         return Model(known, sizes, bits, np.zeros((1 << bits, len(known)), np.float32), np.zeros(len(known)))
     rng = np.random.Generator(np.random.PCG64(seed))
-    y = np.array([classes.index(x) for x in labels])
-    column = pa.array(texts, pa.string())
-    del texts  # the driver holds the texts once
-    bags = list(_bags(column, sizes, bits))
-    del column
-    order = rng.permutation(len(bags))
-    held, fit = order[: len(bags) // 5], order[len(bags) // 5 :]
-    table = rng.normal(0, 0.01, (1 << bits, width)).astype(np.float32)
+    y = np.array([classes.index(x) for x in marks])
+    own, times = _parts(table.column("ids"), "<i4"), _parts(table.column("counts"), "<u2")
+
+    def bag(k: int) -> tuple[np.ndarray, np.ndarray]:
+        share = times[k].astype(np.float32)
+        return own[k], share / max(1.0, float(share.sum()))
+
+    order = np.argsort(table.column("h").to_numpy(), kind="stable")[rng.permutation(len(y))]
+    held, fit = order[: len(y) // 5], order[len(y) // 5 :]
+    embedding = rng.normal(0, 0.01, (1 << bits, width)).astype(np.float32)
     weights = rng.normal(0, 1, (width, len(classes))).astype(np.float32)
     bias = np.log(np.bincount(y[fit], minlength=len(classes)) + 1.0).astype(np.float32)
     bias -= bias.mean()
-    seen_table = np.full(1 << bits, 1e-8, np.float32)
+    seen_rows = np.full(1 << bits, 1e-8, np.float32)
     seen_weights, seen_bias = np.full_like(weights, 1e-4), np.full_like(bias, 1e-2)
     for epoch in range(epochs):
         now = rate * (1 - epoch / epochs)
-        for k in rng.permutation(fit):
-            ids, share = bags[k]
-            rows = table[ids]
+        for k in rng.permutation(fit).tolist():
+            ids, share = bag(k)
+            rows = embedding[ids]
             mean = share @ rows
             p = softmax(mean @ weights + bias)
             p[y[k]] -= 1
@@ -186,11 +223,35 @@ def train(
             weights -= 0.2 * now * grad / np.sqrt(seen_weights)
             seen_bias += p * p
             bias -= 0.1 * now * p / np.sqrt(seen_bias)
-            seen_table[ids] += share * share * float(back @ back) / width
-            table[ids] = rows - (now * 0.2) * (share / np.sqrt(seen_table[ids]))[:, None] * back[None, :]
-    logits = (table @ weights).astype(np.float32)
-    raw = np.array([bags[k][1] @ logits[bags[k][0]] + bias for k in held]) if len(held) else np.zeros((0, len(classes)))
-    return Model(classes, sizes, bits, logits, bias.astype(float), _temperature(raw, y[held]))
+            seen_rows[ids] += share * share * float(back @ back) / width
+            embedding[ids] = rows - (now * 0.2) * (share / np.sqrt(seen_rows[ids]))[:, None] * back[None, :]
+    logits = (embedding @ weights).astype(np.float32)
+    raw = np.zeros((len(held), len(classes)))
+    for i, k in enumerate(held.tolist()):
+        ids, share = bag(k)
+        raw[i] = share @ logits[ids] + bias
+    temperature = _temperature(raw, y[held])
+    return Model(classes, sizes, bits, logits, bias.astype(float), temperature, _level(raw / temperature, y[held]))
+
+
+def fitted(rows: DataFrame, **parameters) -> Model:
+    """Train on the rows ``y, t`` and give their memory back."""
+    model = train(bags(rows, parameters["sizes"], parameters["bits"]), **parameters)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    return model
+
+
+def _level(raw: np.ndarray, y: np.ndarray, wanted: float = 0.98) -> float:
+    """The least probability from which on held-out predictions are right in ``wanted`` of all cases."""
+    if not len(y):
+        return 0.0
+    p = softmax(raw)
+    best, right = p.max(axis=1), p.argmax(axis=1) == y
+    order = np.argsort(-best, kind="stable")
+    share = np.cumsum(right[order]) / np.arange(1, len(y) + 1)
+    good = np.flatnonzero(share >= wanted)
+    return float(best[order[good[-1]]]) if len(good) else 1.0
 
 
 def _temperature(raw: np.ndarray, y: np.ndarray) -> float:

@@ -26,8 +26,9 @@ def planted(spark, tmp_path_factory):
         rows[k] = body(k)
         if k % 5 == 0:
             words = rows[k].split(" ")
-            words[::6] = ["stupidly", "moronic", "pathetic", "worthless"] * (len(words[::6]) // 4 + 1)
-            rows[k] = " ".join(words[: len(rows[k].split(" "))])
+            marks = ["stupidly", "moronic", "pathetic", "worthless"]
+            words[::6] = [marks[j % 4] for j in range(len(words[::6]))]
+            rows[k] = " ".join(words)
         labels.append((k, 1, int(k % 5 == 0)))
     item = prose(99_999, 40)
     leaks, copies, marked = [1001, 1002], [301, 1011, 1012, 1013], list(range(1020, 1030))
