@@ -10,9 +10,11 @@ length, in closed form.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +49,12 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True
-        self.fast = _ranked(self.library)
+        # the strings of added tokens, which the library seeks before it splits a text
+        self.added = sorted({t.content for t in self.library.get_added_tokens_decoder().values()})
+        # single words are looked up only where the file says that they are split as below
+        parts = json.loads(Path(path).read_text())
+        split = parts.get("pre_tokenizer") or {}
+        self.by_words = parts.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
         self.clear()
 
     def clear(self) -> None:
@@ -59,12 +65,19 @@ class Tokenizer:
         self.used = 0
 
     def encode(self, text: str) -> list[int]:
-        return self.fast(text)
+        return self.library.encode(text, add_special_tokens=False).ids
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text of an Arrow column, null as empty, special strings as text."""
+        """The ids of each text of an Arrow column, null as empty.
+
+        Texts that hold the string of an added token or white space outside
+        ASCII go to the library as a whole.
+        """
         column = pc.fill_null(column, "")
         odd = pc.match_substring_regex(column, _OTHER_SPACE).to_numpy(zero_copy_only=False).astype(bool)
+        for word in self.added:
+            odd |= pc.match_substring(column, word).to_numpy(zero_copy_only=False).astype(bool)
+        odd |= not self.by_words
         data, at = arrays.text_buffers(column)
         for lo, hi in arrays.chunks(at, 1 << 21):
             part, borders = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
@@ -111,29 +124,6 @@ def _grown(table: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
     return table
 
 
-def _ranked(library):
-    """An encoder with the library's vocabulary and ids; the library's own where ranks aren't the ids."""
-    import tiktoken
-
-    letters = {c: b for b, c in _byte_letters().items()}
-    vocabulary = library.get_vocab(with_added_tokens=False)
-    ranks = {bytes(letters[c] for c in word): i for word, i in vocabulary.items() if all(c in letters for c in word)}
-    special = {t.content for t in library.get_added_tokens_decoder().values()}
-    ranks = {w: i for w, i in ranks.items() if w.decode("utf-8", "replace") not in special}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    probe = "Déjà vu, don't 12345 x\n\n  y\t naïve—日本 <|endoftext|> Zürich!! \U0001f600 " + " ".join(f"w{k}ungst" for k in range(50))
-    own = lambda text: library.encode(text, add_special_tokens=False).ids
-    return fast.encode_ordinary if fast.encode_ordinary(probe) == own(probe) else own
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
@@ -304,6 +294,7 @@ def pack(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text")
     schema = "length int, low long, high long, many int, first long, slot long"
     plan_table = F.broadcast(spark.createDataFrame(plan, schema))  # a few thousand rows at most, whatever the input
 
+    # ``ranks`` has up to 1024 rows a task: Spark sends it whole only under its broadcast threshold, else it sorts both sides
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     placed = table.join(ranks, ["part", "length"]).withColumn("rank", F.col("ahead") + F.col("place")).join(plan_table, "length")
