@@ -26,8 +26,11 @@ Q = 8
 #: Edits allowed for each character of an item.
 BUDGET = 0.08
 
-#: Items with fewer folded characters are too general to be a leak.
-LEAST = 24
+#: Items with fewer folded characters have too few q-grams for edits: they are sought exactly, as whole words.
+SHORT = 24
+
+#: Postings that are expanded at a time.
+SLICE = 1 << 21
 
 #: Folded bytes of benchmark text, about, that are sent to the tasks at a time.
 BLOCK_BYTES = 4 << 20
@@ -88,14 +91,15 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     table: np.ndarray  # whether some code hashes here
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by size under Q: codes in order, and their items
 
 
 def build(ids: list[int], texts: list[str]) -> Index:
     data, at = folded(pa.array(texts, pa.string()))
     able = [(i, data[at[k] : at[k + 1] - 1].tobytes().rstrip(b" ")) for k, i in enumerate(ids)]
-    able = [(i, t) for i, t in able if len(t) >= LEAST]
+    able = [(i, t) for i, t in able if t]
     size = np.array([len(t) for _, t in able], np.int64)
-    edits = np.minimum((BUDGET * size).astype(np.int64), np.maximum(size - Q, 0) // Q)
+    edits = np.where(size < SHORT, 0, np.minimum((BUDGET * size).astype(np.int64), np.maximum(size - Q, 0) // Q))
     own = [grams(np.frombuffer(t, np.uint8)) for _, t in able]
     codes = np.concatenate(own) if own else np.zeros(0, np.uint64)
     item = np.repeat(np.arange(len(able)), [len(x) for x in own])
@@ -105,8 +109,14 @@ def build(ids: list[int], texts: list[str]) -> Index:
     table = np.zeros(1 << _TABLE_BITS, bool)
     table[_slot(distinct)] = True
     need = np.maximum(1, size + 1 - Q - Q * edits)
+    short = {}
+    for n in sorted({len(t) for _, t in able if len(t) < Q}):
+        at = np.array([k for k, (_, t) in enumerate(able) if len(t) == n])
+        code = np.array([int.from_bytes(able[k][1], "little") for k in at], np.uint64)
+        by = np.argsort(code, kind="stable")
+        short[n] = (code[by], at[by])
     return Index(
-        np.array([i for i, _ in able], np.int64), [t for _, t in able], edits, need, distinct, np.append(first, len(codes)), item[order], place[order], table
+        np.array([i for i, _ in able], np.int64), [t for _, t in able], edits, need, distinct, np.append(first, len(codes)), item[order], place[order], table, short
     )
 
 
@@ -141,9 +151,70 @@ def banded(item: bytes, text: bytes, low: int, high: int, most: int) -> tuple[in
     return int(row[k]), int(diagonals[k] + len(a))
 
 
+def _place(item: bytes, text: bytes, before: int) -> int:
+    """Where ``item`` stands in ``text``, or -1; one under ``SHORT`` bytes only as whole words."""
+    at = text.find(item)
+    while at >= 0 and len(item) < SHORT:
+        lead = text[at - 1] if at else before
+        tail = text[at + len(item)] if at + len(item) < len(text) else 0x20
+        if lead == 0x20 and tail == 0x20:
+            break
+        at = text.find(item, at + 1)
+    return at
+
+
+def _short(index: Index, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, tuple[int, int]]]:
+    """Items under ``Q`` bytes that stand in the texts as whole words: pair, and no edits with the first end."""
+    if not index.short:
+        return
+    padded = np.concatenate([data, np.zeros(Q, np.uint8)])
+    codes = grams(padded)
+    starts = np.flatnonzero((data != 0x20) & (data != 0) & np.concatenate([[True], (data[:-1] == 0x20) | (data[:-1] == 0)]))
+    for n, (own, items) in index.short.items():
+        here = starts[(padded[starts + n] == 0x20) | (padded[starts + n] == 0)]
+        code = codes[here] & np.uint64((1 << (8 * n)) - 1)
+        lo, hi = np.searchsorted(own, code, side="left"), np.searchsorted(own, code, side="right")
+        met: set[int] = set()
+        for j in np.flatnonzero(hi > lo).tolist():
+            doc = int(np.searchsorted(at, here[j], side="right")) - 1
+            for i in items[lo[j] : hi[j]].tolist():
+                pair = doc * len(index.items) + i
+                if pair not in met:
+                    met.add(pair)
+                    yield pair, (0, int(here[j] - at[doc] + n))
+
+
+def _counts(index: Index, hit: np.ndarray, slot: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shared q-grams by document, item and band of diagonals, as sorted keys and their counts.
+
+    Postings are expanded in slices of bounded size; between slices only the
+    counts of the bands met so far are held.
+    """
+    size = index.first[slot + 1] - index.first[slot]
+    total = np.concatenate([[0], np.cumsum(size)])
+    keys, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for begin in range(0, int(total[-1]), SLICE):
+        span = np.arange(begin, min(begin + SLICE, int(total[-1])))
+        of = np.searchsorted(total, span, side="right") - 1
+        posting = index.first[slot[of]] + span - total[of]
+        where = hit[of]
+        doc = np.searchsorted(at, where, side="right") - 1
+        item = index.item[posting]
+        band = (where - at[doc] - index.place[posting] + (1 << 30)) // (index.edits[item] + 1)
+        # a band covers two widths, so each hit counts in two
+        pair = ((doc * len(index.items) + item) << 31) + band
+        own, n = np.unique(np.concatenate([pair, pair - 1]), return_counts=True)
+        if not len(keys):
+            keys, count = own, n
+            continue
+        both, back = np.unique(np.concatenate([keys, own]), return_inverse=True)
+        keys, count = both, np.bincount(back, np.concatenate([count, n])).astype(np.int64)
+    return keys, count
+
+
 def leaks(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int]]:
     """``(row, item's place in the index, edits, end)`` of each item found in each text, once."""
-    if not len(index.codes):
+    if not index.items:
         return
     _, sizes = arrays.text_buffers(column)
     for lo, hi in arrays.chunks(sizes, 1 << 19):
@@ -154,23 +225,10 @@ def leaks(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int]]
         slot[slot == len(index.codes)] = 0
         good = index.codes[slot] == codes[hit]
         hit, slot = hit[good], slot[good]
-        n = index.first[slot + 1] - index.first[slot]
-        if not n.sum():
-            continue
-        posting = np.repeat(index.first[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        where = np.repeat(hit, n)
-        doc = np.searchsorted(at, where, side="right") - 1
-        item = index.item[posting]
-        diagonal = where - at[doc] - index.place[posting]
-        width = index.edits[item] + 1
-        band = (diagonal + (1 << 30)) // width
-        # a band covers two widths, so each hit counts in two
-        pair = doc * len(index.items) + item
-        keys = np.concatenate([(pair << 31) + band, (pair << 31) + band - 1])
-        keys, count = np.unique(keys, return_counts=True)
+        found: dict[int, tuple[int, int]] = dict(_short(index, data, at))
+        keys, count = _counts(index, hit, slot, at)
         pair = keys >> 31
         enough = count >= index.need[pair % len(index.items)]
-        found: dict[int, tuple[int, int]] = {}
         for key, p in zip(keys[enough].tolist(), pair[enough].tolist()):
             k, i = divmod(p, len(index.items))
             if found.get(p, (1, 0))[0] == 0:
@@ -179,7 +237,9 @@ def leaks(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int]]
             low = ((key & ((1 << 31) - 1)) * (e + 1)) - (1 << 30)
             begin = max(0, low - e)
             text = data[at[k] + begin : min(at[k + 1] - 1, at[k] + low + 2 * (e + 1) + len(index.items[i]) + e)].tobytes()
-            exact = text.find(index.items[i])
+            exact = _place(index.items[i], text, data[at[k] + begin - 1] if begin else 0x20)
+            if exact < 0 and e == 0:
+                continue
             edits, end = (0, exact + len(index.items[i])) if exact >= 0 else banded(index.items[i], text, low - begin, low - begin + 2 * e + 1, e)
             if edits <= e and (p not in found or edits < found[p][0]):
                 found[p] = (edits, begin + end)
@@ -206,10 +266,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     ``end_at`` is where that place ends in the folded text, in bytes. Case, and
     anything between letters and digits, don't count.
 
-    Defined cases: null and empty texts, on either side, and items of fewer than
-    ``LEAST`` folded characters are never part of a leak; a null document id is
+    Defined cases: null and empty texts, on either side, and items without
+    letters and digits are never part of a leak; items of fewer than ``SHORT``
+    folded bytes are found exactly, as whole words; a null document id is
     reported as null, a null item id never; repeated rows are reported again,
-    repeated items once; other columns are ignored.
+    repeated items once; other columns are ignored; with an empty table on
+    either side the result is empty.
     """
     found = None
     for index in indexes(benchmark):
@@ -230,7 +292,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their own columns."""
+    """The rows of ``docs`` that hold no benchmark item, with their own columns.
+
+    Defined cases are those of ``contamination``; rows with null or empty texts
+    stay, and an empty benchmark changes nothing.
+    """
     at = docs.columns.index(text)
     out = docs
     for index in indexes(benchmark):
