@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from folio.llm.store import kept
 
 
+#: Blobs, 64 bytes of name each, that may be sent to all tasks.
+FEW = 200_000
+
+
 @dataclass(frozen=True)
 class Rule:
     kind: str
@@ -80,16 +84,29 @@ def blobs(versions: DataFrame, text: str) -> DataFrame:
     return rows.groupBy("blob").agg(F.first("body").alias("body"))
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, *, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """New ledger rows ``blob, rule, version, spans`` for pairs that ``ledger`` lacks."""
+def unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...], text: str) -> DataFrame:
+    """``blob, todo``: the blobs with rules that the ledger lacks, from hashes alone."""
     todo = F.array(*(F.lit(r.name) for r in rules))
-    rows = blobs(versions, text)
+    own = versions.select(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("blob")).distinct()
+    seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("seen"))
+    left = F.array_except(todo, F.coalesce("seen", F.array().cast("array<string>")))
+    return own.join(seen, "blob", "left").select("blob", left.alias("todo")).where(F.size("todo") > 0)
+
+
+def scan(versions: DataFrame, ledger: DataFrame | None = None, *, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """New ledger rows ``blob, rule, version, spans`` for pairs that ``ledger`` lacks.
+
+    With a ledger, hashes meet it first. Where up to ``FEW`` blobs are left to
+    scan they are sent to the tasks, so bodies of seen blobs never move.
+    """
     if ledger is None:
-        rows = rows.withColumn("todo", todo)
+        rows = blobs(versions, text).withColumn("todo", F.array(*(F.lit(r.name) for r in rules)))
     else:
-        seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("seen"))
-        rows = rows.join(seen, "blob", "left").withColumn("todo", F.array_except(todo, F.coalesce("seen", F.array().cast("array<string>"))))
-        rows = rows.where(F.size("todo") > 0)
+        wanted = kept(unseen(versions, ledger, rules, text), "secret-unseen")
+        few = wanted.limit(FEW + 1).count() <= FEW
+        names = F.broadcast(wanted.select("blob")) if few else wanted.select("blob")
+        keyed = versions.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+        rows = blobs(keyed.join(names, "blob", "left_semi"), text).join(F.broadcast(wanted) if few else wanted, "blob")
     done = F.array(
         *(
             F.when(
@@ -125,20 +142,26 @@ def written(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def digest(versions: DataFrame, *, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scan all versions into a new ledger and report one row for each path.
+def digest(versions: DataFrame, ledger: DataFrame | None = None, *, path: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Scan what ``ledger`` lacks; returns the report with one row for each path, and the ledger with what is new.
+
+    Store the second table and pass it in next time: only blobs and rule
+    versions that it lacks are scanned then.
 
     Defined cases: a null text counts as empty and has no finding; repeated rows
     are reported again and scanned once; a null path keeps its row; other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty report and leaves the
+    ledger as it is.
     """
-    ledger = kept(scan(versions, text=text), "secret-ledger")
-    rows = findings(versions, ledger, path=path, text=text)
+    new = kept(scan(versions, ledger, text=text), "secret-ledger")
+    grown = new if ledger is None else ledger.unionByName(new)
+    rows = findings(versions, grown, path=path, text=text)
     base = F.filter("found", lambda s: s["kind"].isin([r.kind for r in RULES if r.base]))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
-    return rows.select(
+    report = rows.select(
         F.col("path").alias(path),
         *(count(r.kind).alias(f"n_{r.kind}") for r in RULES if r.base),
         F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
         written(F.col("found")).alias("spans"),
     )
+    return report, grown
