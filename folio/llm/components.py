@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.store import kept
+from folio.llm.store import discard, kept
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -20,6 +20,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     both = kept(both, f"{name}-edges")
     labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), f"{name}-labels")
+    was = labels
     while True:
         # each node's own label and its neighbours', one row a node
         near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), F.lit(None).cast("long").alias("was"), "component")
@@ -28,6 +29,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("jumped"))
         moved = lower.join(jump, "via").select("node", "was", F.least("via", "jumped").alias("component"))
         moved = kept(moved, f"{name}-labels")
-        labels = moved.select("node", "component")
+        discard(was)
+        labels, was = moved.select("node", "component"), moved
         if moved.where("component <> was").isEmpty():
+            discard(both)
             return labels

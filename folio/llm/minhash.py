@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import arrays
 from folio.llm.components import components
-from folio.llm.store import kept
+from folio.llm.store import discard, kept
 
 #: 24 bands of 5 miss a pair of similarity 0.8 once in 14,000, one of 0.85 once in a million.
 BANDS, ROWS = 24, 5
@@ -59,7 +59,7 @@ def band_keys(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-_SETS = "doc_id long, n_shingles long, digest binary, bands array<long>"
+_SETS = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>"
 
 
 def shingle_table(docs: DataFrame, width: int, bands: int, rows: int, key: str, text: str) -> DataFrame:
@@ -69,16 +69,16 @@ def shingle_table(docs: DataFrame, width: int, bands: int, rows: int, key: str,
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, keys = [], [], []
-            for s in arrays.shingle_sets(batch.column(1), width):
+            for s in arrays.shingle_sets(batch.column(2), width):
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 keys.append(band_keys(signature(s, bands * rows), bands, rows) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "bands"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "bands"],
             )
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(each, _SETS)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text")).mapInArrow(each, _SETS)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -115,13 +115,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.select("a", "b", "left", "right").mapInArrow(each, "a long, b long")
 
 
-def _blocks_verified(buckets: DataFrame, groups: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _blocks_verified(buckets: DataFrame, groups: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links between the different groups that meet in a bucket, by ``buckets(band, node)`` and ``groups(node, component)``.
 
     A bucket's members are packed in blocks of bounded size. Members outside the
     bucket's largest group are compared with all blocks, so a bucket that is one
     group but for a few costs a few passes. A pair is compared in the first band
-    that it shares, and never leaves the task unless it is a link.
+    that it shares, and never leaves the task unless it is a link. The second
+    table returned holds the blocks, and can go when the links are written.
     """
     met = buckets.join(groups, "node").join(classes.select("node", "n_shingles"), "node")
     met = met.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
@@ -141,7 +142,8 @@ def _blocks_verified(buckets: DataFrame, groups: DataFrame, classes: DataFrame,
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     both = asking.join(blocks, "band").select("band", *(f"{f}_a" for f in fields), *fields)
-    return both.mapInArrow(each, "a long, b long")
+    discard(mixed)
+    return both.mapInArrow(each, "a long, b long"), blocks
 
 
 def _links(band: int, asking: list[pa.Array], block: list[pa.Array], width: int, percent: int) -> list[tuple[int, int]]:
@@ -184,7 +186,7 @@ def near_duplicates(
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
+    """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept, text_hash``.
 
     Documents with ``100 * intersection >= percent * union`` of their distinct
     ``width``-word shingles are linked; ``component_id`` is the smallest id
@@ -193,6 +195,7 @@ def near_duplicates(
     hub each, twice; what then still lies in different groups is compared in
     full, the smaller group against blocks of the larger one. So the work is
     linear in a bucket that forms one group, and no candidate pair is left out.
+    ``text_hash`` is xxhash64 of the text and tells apart rows that share an id.
 
     Defined cases: a null or blank text has an empty set and no link; a null id
     has no link and keeps its row; rows that repeat an id with other words keep
@@ -215,6 +218,7 @@ def near_duplicates(
     weighed = kept(shared.select("band", "node").join(central, "node"), "minhash-weighed")
     hubs = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("hub"))
     buckets = kept(weighed.select("band", "node").join(hubs.select("band", (-F.col("hub.node")).alias("hub")), "band"), "minhash-buckets")
+    discard(members, shared, weighed)
     nodes = buckets.select("node").distinct()
     bodies = docs.select(F.col(key).cast("long").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = kept(bodies.join(nodes, "node"), "minhash-texts")
@@ -238,7 +242,9 @@ def near_duplicates(
     joined = components(links, "minhash")
     groups = kept(nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "minhash-groups")
 
-    rest = kept(_blocks_verified(buckets, groups, classes, texts, width, percent), "minhash-rest")
+    between, blocks = _blocks_verified(buckets, groups, classes, texts, width, percent)
+    rest = kept(between, "minhash-rest")
+    discard(blocks, texts, buckets)
     if not rest.isEmpty():  # merge whole groups
         label = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
         between = rest.join(label("a"), "a").join(label("b"), "b").select(F.col("a_group").alias("a"), F.col("b_group").alias("b"))
@@ -247,8 +253,8 @@ def near_duplicates(
 
     final = classes.select("digest", "node").join(groups, "node", "left")
     final = kept(final.select("digest", F.coalesce("component", "node").alias("component")), "minhash-final")
-    out = sets.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
+    discard(classes, buckets, texts, tested, linked, rest)
+    out = sets.select("doc_id", "text_hash", "n_shingles", "digest").join(final, "digest", "left")
     group = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", group.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    keep = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return out.select("doc_id", "n_shingles", group.alias("component_id"), "text_hash").select("doc_id", "n_shingles", "component_id", keep.alias("kept"), "text_hash")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.llm.store import kept
+
 # The multiplier of the published 64-bit generator.
 MULTIPLIER = 2862933555777941757
 
@@ -75,8 +77,9 @@ def shard(docs: DataFrame, shards: int, *, key: str = "doc_id", text: str = "tex
         F.coalesce(jump_hash(k, shards), F.lit(0)).alias("shard"),
         F.coalesce(jump_hash(k, shards + 1), F.lit(0)).alias("grown_shard"),
     )
-    # The text's checksum takes part, so that repeats of a key spread over cells.
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(CELLS)).cast("int"))
+    # The row's own number takes part, so that repeats of a row spread over cells; written once, texts are read once.
+    own = F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id())
+    rows = kept(rows.withColumn("cell", F.pmod(own, F.lit(CELLS)).cast("int")), "shards")
     counts = rows.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

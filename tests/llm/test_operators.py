@@ -163,7 +163,8 @@ def place_edits(item, text):
 
 def test_contamination(spark):
     items = [(k, prose(100 + k, 18 + 4 * k)) for k in range(5)] + [(8, "too short"), (9, None), (None, prose(99, 20)), (5, "Große Straße über den Fluß und weiter " * 2)]
-    texts = [prose(200, 80) + " " + items[0][1] + " " + prose(201, 50), items[1][1].upper().replace(" ", ",\n"), prose(202, 300), items[5][1] if items[5][1] else ""]
+    items += [(10, "é ü"), (11, "Two!"), (12, "..."), (13, "tail end of it all")]
+    texts = [prose(200, 80) + " " + items[0][1] + " " + prose(201, 50), items[1][1].upper().replace(" ", ",\n"), prose(202, 300), "is it too short? two too shorts", "the tail end of it all, detail end of it all", "detail end of it all", "vor É ü nach"]
     worse = items[3][1]
     texts += [worse[:40] + "X" + worse[41:60] + worse[62:], edited(worse, 3), items[8][1] + "tail", items[2][1] + " x " + items[4][1]]
     rows = [*enumerate(texts), *ODD, (77, texts[0]), (77, texts[0])]
@@ -173,18 +174,40 @@ def test_contamination(spark):
     for i, t in rows:
         for k, item in items:
             size = len(folded(item).encode())
-            if k is None or item is None or size < decontaminate.LEAST:
+            if k is None or item is None or not size:
+                continue
+            if size < decontaminate.SHORT:
+                if f" {folded(item)} " in f" {folded(t)} ":
+                    expected.append((i, k, 0))
                 continue
             edits = place_edits(item, t)
             if edits <= min(int(decontaminate.BUDGET * size), (size - 8) // 8):
                 expected.append((i, k, edits))
     assert got == sorted(expected, key=str)
-    assert {x[1] for x in got} >= {0, 1, 2, 3, 4, 5}
+    assert {x[1] for x in got} >= {0, 1, 2, 3, 4, 5, 8, 10, 11, 13}
+    none = benchmark.where("false")
+    assert decontaminate.contamination(docs, none).count() == decontaminate.contamination(table(spark, []), benchmark).count() == 0
+    assert decontaminate.without_leaks(docs, none).count() == len(rows)
     left = decontaminate.without_leaks(docs, benchmark)
     assert left.columns == docs.columns
     assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted((i for i, _ in rows if i not in {x[0] for x in got}), key=str)
 
 
+def test_phrases_shared_by_many_items(spark, monkeypatch):
+    """Postings are expanded in slices, with the same result."""
+    phrase = prose(1, 9)
+    items = [(k, f"{prose(400 + k, 6)} {phrase}") for k in range(40)]
+    docs = table(spark, [(1, " ".join([phrase] * 300)), (2, f"x {items[7][1]} {phrase}"), (3, " ".join(t for _, t in items) + " y" * 40_000)])
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    full = decontaminate.contamination(docs, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in full} == {(2, 7)} | {(3, k) for k in range(40)}
+    index = decontaminate.build(*map(list, zip(*items)))
+    column = pa.array([r["text"] for r in docs.collect()])
+    want = list(decontaminate.leaks(index, column))
+    monkeypatch.setattr(decontaminate, "SLICE", 500)
+    assert list(decontaminate.leaks(index, column)) == want
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     items = [(k, prose(300 + k, 40)) for k in range(9)]
     docs = table(spark, [(k, "lead " + t) for k, t in items] + [(50, prose(1, 40))])
@@ -248,8 +271,16 @@ def base_spans(text):
 
 def test_secrets(spark):
     rows = [*enumerate(SECRETS), *ODD, (60, SECRETS[0]), (60, SECRETS[0])]
-    got = secrets.digest(table(spark, rows)).collect()
+    report, ledger = secrets.digest(table(spark, rows))
+    got = report.collect()
     assert len(got) == len(rows)
+    assert ledger.count() == len({t or "" for _, t in rows}) * len(secrets.RULES)
+    later, same = secrets.digest(table(spark, [*rows, (61, "token=abcdefgh")]), ledger)
+    assert same.count() == ledger.count() + len(secrets.RULES)
+    assert sorted(map(str, later.where("doc_id is null or doc_id <> 61").collect())) == sorted(map(str, got))
+    assert later.where("doc_id = 61").first()["spans"] == "assign:0:14"
+    empty, _ = secrets.digest(table(spark, []))
+    assert empty.count() == 0
     by = defaultdict(set)
     for r in got:
         by[r["doc_id"]].add((r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]))
@@ -282,8 +313,7 @@ def test_tokens_are_the_library_s():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer_path())
-    library.encode_special_tokens = True
-    texts = ["", " ", "  a  b\n\n c\n", "x\t\ty \n z", "don't we'll  'tis", "a  b   c", "<|endoftext|> a<|endoftext|>", "中文 \U0001f600é", "\n\n", "a \n", " a", "1 22  333", "tab\tword\r\n\r\nx", None, "w " * 3000]
+    texts = ["say <|endoftext|> now", "<|endoftext|>", "x<|endoftext|>  <|endoftext|>\n", "<|endoftext", "", " ", "  a  b\n\n c\n", "x\t\ty \n z", "don't we'll  'tis", "a  b   c", "<|endoftext|> a<|endoftext|>", "中文 \U0001f600é", "\n\n", "a \n", " a", "1 22  333", "tab\tword\r\n\r\nx", None, "w " * 3000]
     mine = packing.Tokenizer(tokenizer_path())
     for _ in range(2):
         got = [x.tolist() for x in mine.texts(pa.array(texts, pa.string()))]
