@@ -14,33 +14,56 @@ from folio.llm.store import kept
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic; the model is fitted on the labelled documents that are left."""
+    """Documents that aren't predicted toxic; the model is fitted on labelled documents.
+
+    Null and empty texts have the score of the bias and stay where that is low;
+    repeated rows share their fate; an empty table stays empty; other columns
+    are kept as they are.
+    """
     ship(spark)
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines whose template recurs; ``n_chars`` follows the text."""
+    """Documents without the lines whose template recurs; ``n_chars`` follows the text.
+
+    Every row stays, also one that loses all its lines; null texts stay null;
+    other columns are kept as they are; an empty table stays empty.
+    """
     out = linededup.without_recurring_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest id."""
+    """One document of each group, the one with the smallest id.
+
+    Rows are told apart by id and text: of rows that share an id each follows
+    the group of its own text. Null, empty and blank texts are in no group and
+    stay, as do rows with a null id; an empty table stays empty; other columns
+    are kept as they are.
+    """
     ship(spark)
     groups = minhash.near_duplicates(docs, width=5, percent=80)
-    lost = groups.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(kept(lost, "pipeline-lost"), "doc_id", "left_anti").select(*docs.columns)
+    lost = kept(groups.where(~F.col("kept")).select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).distinct(), "pipeline-lost")
+    return docs.join(lost, (docs["doc_id"] == lost["i"]) & (F.xxhash64(docs["text"]) == lost["h"]), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay; repeated rows share their fate; an
+    empty table, or an empty benchmark, changes nothing.
+    """
     ship(spark)
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 tokens."""
+    """Pieces of all documents in sequences of at most 1024 tokens.
+
+    Null and empty texts have one token, the closing 0; repeated rows are packed
+    again; an empty table gives no sequence.
+    """
     ship(spark)
     return packing.pack(docs, tokenizer_path())
 
