@@ -15,14 +15,11 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.store import kept
+from folio.llm.store import discard, kept
 
 #: Leading tokens on the path to a leaf.
 DEPTH = 3
 
-#: Lines with fewer tokens are never templates.
-LEAST_TOKENS = 3
-
 #: Lines of a leaf that agree on a token make it part of the template.
 AGREE = 0.8
 
@@ -71,59 +68,68 @@ def line_table(docs: DataFrame, text: str) -> DataFrame:
         F.xxhash64(F.col(text)).alias("k1"), F.xxhash64(F.lit(1), F.col(text)).alias("k2"), F.split(F.col(text), "\n", -1).alias("lines")
     )
     rows = rows.select("k1", "k2", F.posexplode(F.transform(F.transform("lines", single_blanks), masked)).alias("pos", "line"))
-    rows = rows.withColumn("n", n_tokens(F.col("line"))).where(F.col("n") >= LEAST_TOKENS)
+    rows = rows.where("line <> ''").withColumn("n", n_tokens(F.col("line")))
     leaf = F.xxhash64("n", F.substring_index("line", " ", DEPTH))
     return rows.select("k1", "k2", "pos", "n", F.xxhash64("line").alias("h"), leaf.alias("leaf"), "line")
 
 
-def generalised(lines: DataFrame) -> DataFrame | None:
-    """``h, template``: the lines that follow a template with fields found in their leaf, or None.
+def generalised(lines: DataFrame) -> DataFrame:
+    """``h, template``: the lines that follow a template with fields found in their leaf.
 
     A group of lines, at first a leaf, has a template if its common tokens are
     enough. The lines that don't follow it are a group again. A group without a
     template is split by the tokens of the position whose most frequent token
-    is ahead, till no token is frequent enough to make a group.
+    is ahead, till no token is frequent enough to make a group; a group whose
+    template no line follows whole is given up. One table is written a round,
+    and it holds only lines of groups that are left.
     """
     size = lines.select("leaf", "h").distinct().groupBy("leaf").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= LEAST_DOCS)
-    kinds = lines.join(kept(size.select("leaf"), "lines-busy"), "leaf").groupBy("leaf", "h", "n").agg(F.first("line").alias("line"))
-    kinds = kept(kinds, "lines-kinds")
-    tokens = kinds.select("h", F.posexplode(F.split("line", " ")).alias("at", "token")).where(F.col("token") != _FIELD)
-    tokens = kept(tokens.select("h", "at", F.xxhash64("token").alias("token")), "lines-tokens")
-    rows, found = kinds.select("h", "n", F.col("leaf").alias("g")), None
-    while True:
-        sizes = rows.groupBy("g", "n").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= LEAST_DOCS)
-        rows = kept(rows.join(sizes.drop("n"), "g"), "lines-groups")
-        if rows.isEmpty():
-            return found
-        own = kept(rows.select("g", "h").join(tokens, "h"), "lines-group-tokens")
-        counts = kept(own.groupBy("g", "at", "token").agg(F.count("*").alias("c")).where(F.col("c") >= LEAST_DOCS), "lines-counts")
-        first = counts.groupBy("g", "at").agg(F.max(F.struct("c", "token")).alias("x")).select("g", "at", "x.c", "x.token")
-        first = first.join(rows.select("g", "n", "kinds").distinct(), "g").withColumn("common", F.col("c") >= AGREE * F.col("kinds"))
-        first = kept(first, "lines-first")
-        ahead = F.max(F.when(~F.col("common"), F.struct("c", -F.col("at")))).alias("ahead")
-        groups = first.groupBy("g", "n").agg(F.count_if("common").alias("fixed"), ahead)
-        groups = kept(groups.select("g", "fixed", (F.col("fixed") >= FIXED * F.col("n")).alias("whole"), (-F.col("ahead.col2")).alias("at")), "lines-templates")
-        whole = groups.where("whole").select("g", "fixed")
-        agree = own.join(first.where("common").select("g", "at", "token").join(whole, "g"), ["g", "at", "token"])
-        agree = agree.groupBy("g", "h", "fixed").agg(F.count("*").alias("same")).where("same = fixed")
-        done = kept(agree.select("g", "h", F.xxhash64(F.lit("leaf"), "g").alias("template")), "lines-done")
-        found = done.drop("g") if found is None else found.unionByName(done.drop("g"))
-        # a group whose template none of its lines follows as a whole is given up
-        rest = rows.join(done.select("g").distinct(), "g").join(done.select("h"), "h", "left_anti")
-        rest = rest.select("h", "n", F.xxhash64("g", F.lit("rest")).alias("g"))
-        split = groups.where("not whole and at is not null").select("g", "at")
-        token = own.join(split, ["g", "at"]).join(counts.drop("c"), ["g", "at", "token"]).select("h", "token")
-        parts = rows.join(split, "g").join(token, "h", "left").select("h", "n", F.xxhash64("g", "at", "token").alias("g"))
-        rows = rest.unionByName(parts)
+    kinds = lines.join(size.select("leaf"), "leaf").groupBy("leaf", "h", "n").agg(F.first("line").alias("line"))
+    start = kinds.select("h", "n", F.split("line", " ").alias("tokens"), F.col("leaf").alias("g"), F.lit(None).cast("long").alias("was"), F.lit(None).cast("long").alias("template"))
+    rounds = [kept(start, "lines-groups")]
+    found = rounds[0].where("template is not null").select("h", "template")
+    while not (rows := rounds[-1].where("template is null")).isEmpty():
+        rounds.append(kept(_split(rows), "lines-groups"))
+        done = kept(rounds[-1].where("template is not null").select("h", "template"), "lines-done")
+        found = found.unionByName(done)
+        if len(rounds) > 2:
+            discard(rounds[-2])
+    return found
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """One round: lines with the template that they follow, or with the group that they belong to next."""
+    sizes = rows.groupBy("g", "n").agg(F.count("*").alias("kinds"), F.max("was").alias("was"))
+    sizes = sizes.where((F.col("kinds") >= LEAST_DOCS) & (F.col("was").isNull() | (F.col("kinds") < F.col("was"))))
+    tokens = rows.select("g", F.posexplode("tokens").alias("at", "token")).where(F.col("token") != _FIELD)
+    counts = tokens.groupBy("g", "at", "token").agg(F.count("*").alias("c")).where(F.col("c") >= LEAST_DOCS)
+    tops = counts.groupBy("g", "at").agg(F.max(F.struct("c", "token")).alias("top"))
+    tops = tops.groupBy("g").agg(F.collect_list(F.struct("at", "top.c", "top.token")).alias("tops"))
+    groups = sizes.join(tops, "g").select("g", "n", "kinds", F.filter("tops", lambda x: x["c"] >= AGREE * F.col("kinds")).alias("fixed"), "tops")
+    ahead = F.array_max(F.transform(F.filter("tops", lambda x: x["c"] < AGREE * F.col("kinds")), lambda x: F.struct(x["c"], (-x["at"]).alias("at"))))
+    groups = groups.select("g", "kinds", "fixed", (F.size("fixed") >= FIXED * F.col("n")).alias("whole"), (-ahead["at"]).alias("at"))
+    own = rows.drop("was", "template").join(groups.where("whole or at is not null"), "g")
+    own = own.withColumn("follows", F.col("whole") & F.forall("fixed", lambda x: F.get("tokens", x["at"]) == x["token"]))
+    split = groups.where("not whole and at is not null").select("g", "at")
+    often = counts.join(split, ["g", "at"]).select("g", "token", F.lit(True).alias("often"))
+    own = own.withColumn("token", F.when(~F.col("whole"), F.get("tokens", F.col("at")))).join(often, ["g", "token"], "left")
+    part = F.xxhash64("g", "at", F.when(F.col("often"), F.col("token")))
+    group = F.when(F.col("whole"), F.xxhash64("g", F.lit("rest"))).otherwise(part)
+    return own.select(
+        "h",
+        "n",
+        "tokens",
+        group.alias("g"),
+        F.when(F.col("whole"), F.col("kinds")).alias("was"),
+        F.when(F.col("follows"), F.xxhash64(F.lit("leaf"), "g")).alias("template"),
+    )
 
 
 def samples(docs: DataFrame, text: str) -> DataFrame:
     """``k1, words``: the least hashes of each text's distinct words, or the key alone for a short text."""
-    own = F.col(text)
-    words = F.transform(F.array_distinct(F.split(own, r"\s+")), lambda x: F.hash(x))
-    least = F.slice(F.array_sort(words), 1, SAMPLE)
-    alone = F.array(F.hash(F.lit(2), own))
-    rows = docs.where(own.isNotNull()).select(F.xxhash64(own).alias("k1"), F.when(F.size(F.split(own, r"\s+")) < COPY_WORDS, alone).otherwise(least).alias("words"))
+    rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("k1"), F.hash(F.lit(2), F.col(text)).alias("alone"), F.split(F.col(text), " ").alias("words"))
+    least = F.slice(F.array_sort(F.array_distinct(F.transform("words", lambda x: F.hash(x)))), 1, SAMPLE)
+    rows = rows.select("k1", F.when(F.size("words") < COPY_WORDS, F.array("alone")).otherwise(least).alias("words"))
     return rows.groupBy("k1").agg(F.first("words").alias("words"))
 
 
@@ -142,8 +148,7 @@ def recurring(lines: DataFrame, words: DataFrame) -> DataFrame:
     documents is no task of its own.
     """
     own = generalised(lines)
-    ids = lines.select("k1", "h").distinct()
-    ids = ids.withColumn("id", F.col("h")) if own is None else ids.join(own, "h", "left").select("h", "k1", F.coalesce("template", "h").alias("id"))
+    ids = lines.select("k1", "h").distinct().join(own, "h", "left").select("h", "k1", F.coalesce("template", "h").alias("id"))
     ids = kept(ids, "lines-ids")
     pairs = ids.select("id", "k1").distinct()
     often = kept(pairs.groupBy("id").agg(F.count("*").alias("docs")).where(F.col("docs") >= LEAST_DOCS).select("id"), "lines-often")
@@ -152,30 +157,32 @@ def recurring(lines: DataFrame, words: DataFrame) -> DataFrame:
     for cells in CELLS:
         rows = rows.groupBy("id", F.pmod("cell", F.lit(cells)).alias("cell")).agg(_unlike(F.flatten(F.collect_list("words"))).alias("words"))
     apart = kept(rows.where(F.size("words") >= LEAST_DOCS).select("id"), "lines-apart")
+    discard(often)
     return ids.select("id", "h").distinct().join(apart, "id").select("h").distinct()
 
 
 def without_recurring_lines(docs: DataFrame, *, text: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with recurring lines dropped from ``text``, other columns as they are.
 
-    With ``counts`` the columns ``n_lines`` and ``n_dropped`` are added.
+    With ``counts`` the columns ``n_lines`` and ``n_dropped`` follow; columns of
+    ``docs`` that have these names give way to them.
 
-    Defined cases: a null text stays null; blank lines and lines under
-    ``LEAST_TOKENS`` tokens stay; a text that loses all its lines becomes empty
-    and its row stays; repeated rows lose the same lines; an empty table gives
-    an empty result. Names of other columns don't matter, but for those two.
+    Defined cases: a null text stays null; blank lines stay; a text that loses
+    all its lines becomes empty and its row stays; repeated rows lose the same
+    lines; an empty table gives an empty result. Names of other columns don't
+    matter: a row's columns stay together in one struct on the way.
     """
     lines = kept(line_table(docs, text), "lines")
     gone = kept(recurring(lines, samples(docs, text)), "lines-recurring")
     drops = lines.select("k1", "k2", "pos", "h").join(gone, "h").groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))
-    drops = kept(drops.select(F.struct("k1", "k2").alias("__key"), F.col("drop").alias("__drop")), "lines-drops")
+    drops = kept(drops, "lines-drops")
+    discard(lines, gone)
     own = F.col(text)
-    keyed = docs.withColumn("__key", F.struct(F.xxhash64(own).alias("k1"), F.xxhash64(F.lit(1), own).alias("k2")))
-    found = keyed.join(drops, "__key", "left")
-    parts = F.split(own, "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__drop", i)), "\n")
-    new = F.when(F.col("__drop").isNull() | own.isNull(), own).otherwise(left)
-    out = [new.alias(c) if c == text else F.col(c) for c in docs.columns]
-    if counts:
-        out += [F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).alias("n_dropped")]
-    return found.select(*out)
+    keyed = docs.select(F.xxhash64(own).alias("k1"), F.xxhash64(F.lit(1), own).alias("k2"), own.alias("body"), F.struct(*docs.columns).alias("row"))
+    found = keyed.join(drops, ["k1", "k2"], "left")
+    parts = F.split("body", "\n", -1)
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("drop", i)), "\n")
+    new = F.when(F.col("drop").isNull() | F.col("body").isNull(), F.col("body")).otherwise(left)
+    added = {"n_lines": F.coalesce(F.size(parts), F.lit(0)), "n_dropped": F.coalesce(F.size("drop"), F.lit(0))} if counts else {}
+    out = [new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c not in added]
+    return found.select(*out, *(x.alias(c) for c, x in added.items()))

@@ -453,6 +453,14 @@ def test_recurring_lines(spark):
     assert linededup.without_recurring_lines(table(spark, [])).count() == 0
 
 
+def test_clashing_columns(spark):
+    rows = [(k, f"{prose(10 + k, 30)}\nOne and the same line\n}}", "x", k, 7, None, 3) for k in range(7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, drop string, k1 int, n_lines int, body string, __key int")
+    for r in linededup.without_recurring_lines(df, counts=True).collect():
+        assert (r["text"], r["drop"], r["k1"], r["n_lines"], r["__key"], r["n_dropped"]) == (prose(10 + r["doc_id"], 30), "x", r["doc_id"], 3, 3, 2)
+    assert linededup.without_recurring_lines(df).columns == df.columns
+
+
 def dropped(spark, rows):
     return {r["doc_id"]: r["text"] for r in linededup.without_recurring_lines(table(spark, rows)).collect()}
 
