@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import arrays
+from folio.llm.store import discard, kept
 
 #: Bytes that may be part of a word: ASCII letters and digits, and all of a multi-byte character.
 _WORD = np.zeros(256, dtype=bool)
@@ -136,12 +137,30 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 _BAGS = "y string, h long, ids binary, counts binary"
 
+#: Bytes of bags, about, that pass through the driver at a time.
+PART = 8 << 20
 
-def bags(rows: DataFrame, sizes: tuple[int, ...], bits: int) -> pa.Table:
-    """Training rows ``y, t`` as bags: the distinct n-gram buckets of each whole text and how often each occurs.
 
-    Tasks make the bags, six bytes for each bucket, so the driver never holds a
-    text. Counts that don't fit in 16 bits are scaled down together.
+@dataclass(frozen=True)
+class Bags:
+    """Texts as bags in flat arrays: row ``k`` has the buckets ``ids[at[k]:at[k + 1]]`` and how often each occurs."""
+
+    marks: list[str]
+    at: np.ndarray
+    ids: np.ndarray
+    counts: np.ndarray
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.at[k], self.at[k + 1])
+        share = self.counts[own].astype(np.float32)
+        return self.ids[own], share / max(1.0, float(share.sum()))
+
+
+def bag_table(rows: DataFrame, sizes: tuple[int, ...], bits: int) -> DataFrame:
+    """Training rows ``y, t`` as ``y, h, ids, counts``: the distinct n-gram buckets of each whole text and how often each occurs.
+
+    Six bytes for each bucket. Counts that don't fit in 16 bits are scaled down
+    together. ``h`` is a hash of the row.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,20 +179,33 @@ def bags(rows: DataFrame, sizes: tuple[int, ...], bits: int) -> pa.Table:
                 yield pa.RecordBatch.from_arrays([own_rows.column(0), own_rows.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["y", "h", "ids", "counts"])
 
     text = F.coalesce(F.col("t"), F.lit(""))
-    return rows.select(F.col("y").cast("string").alias("y"), F.xxhash64("y", text).alias("h"), text.alias("t")).mapInArrow(each, _BAGS).toArrow()
+    return rows.select(F.col("y").cast("string").alias("y"), F.xxhash64("y", text).alias("h"), text.alias("t")).mapInArrow(each, _BAGS)
+
 
+def collected(table: DataFrame) -> Bags:
+    """A stored ``bag_table`` in the driver's memory, in the order of its hashes.
 
-def _parts(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
-    """A view of each value of a binary column, without a copy."""
-    out = []
-    for chunk in column.chunks:
-        data, at = arrays.text_buffers(chunk)
-        out += [data[lo:hi].view(kind) if hi > lo else np.zeros(0, kind) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist())]
-    return out
+    Its rows have a bound, and they come in parts of about ``PART`` bytes, so
+    neither the JVM nor Arrow holds more than one part beside the arrays.
+    """
+    own = F.col("h"), F.octet_length("counts").alias("n"), F.col("y")
+    heads = table.select(*own).toArrow().sort_by([("h", "ascending"), ("n", "ascending"), ("y", "ascending")])
+    h, n = heads.column("h").to_numpy(), heads.column("n").to_numpy() // 2
+    at = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    ids, counts = np.zeros(at[-1], np.int32), np.zeros(at[-1], np.uint16)
+    cuts = np.unique(np.searchsorted(at, np.arange(0, at[-1], PART // 6)))
+    cuts = np.unique(np.searchsorted(h, h[cuts[cuts < len(h)]])) if len(h) else cuts  # rows of one hash stay together
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)]):
+        some = table.where(F.col("h").between(int(h[lo]), int(h[hi - 1]))).select("h", "ids", "counts").toArrow()
+        some = some.sort_by("h").combine_chunks()
+        for name, out in (("ids", ids), ("counts", counts)):
+            data, _ = arrays.text_buffers(some.column(name))
+            out[at[lo] : at[hi]] = data.view(f"<{out.dtype.kind}{out.dtype.itemsize}")
+    return Bags(heads.column("y").to_pylist(), at, ids, counts)
 
 
 def train(
-    table: pa.Table,
+    bags: Bags,
     *,
     sizes: tuple[int, ...],
     bits: int,
@@ -182,26 +214,19 @@ def train(
     rate: float = 1.0,
     seed: int = 7,
 ) -> Model:
-    """Fit embeddings and softmax jointly on ``bags``; a fifth of the rows sets the temperature.
+    """Fit embeddings and softmax jointly; a fifth of the rows sets temperature and level.
 
     Steps are scaled by the sum of squared gradients of each row (Adagrad), as
-    rare n-grams move rarely. The result doesn't depend on the order of the rows.
-    Without rows the model knows no class.
+    rare n-grams move rarely. Without rows the model knows no class.
     """
-    marks = table.column("y").to_pylist()
+    marks = bags.marks
     classes = tuple(sorted(set(marks)))
     if len(classes) < 2:
         known = classes or ("und",)
         return Model(known, sizes, bits, np.zeros((1 << bits, len(known)), np.float32), np.zeros(len(known)))
     rng = np.random.Generator(np.random.PCG64(seed))
     y = np.array([classes.index(x) for x in marks])
-    own, times = _parts(table.column("ids"), "<i4"), _parts(table.column("counts"), "<u2")
-
-    def bag(k: int) -> tuple[np.ndarray, np.ndarray]:
-        share = times[k].astype(np.float32)
-        return own[k], share / max(1.0, float(share.sum()))
-
-    order = np.argsort(table.column("h").to_numpy(), kind="stable")[rng.permutation(len(y))]
+    order = rng.permutation(len(y))
     held, fit = order[: len(y) // 5], order[len(y) // 5 :]
     embedding = rng.normal(0, 0.01, (1 << bits, width)).astype(np.float32)
     weights = rng.normal(0, 1, (width, len(classes))).astype(np.float32)
@@ -212,7 +237,7 @@ def train(
     for epoch in range(epochs):
         now = rate * (1 - epoch / epochs)
         for k in rng.permutation(fit).tolist():
-            ids, share = bag(k)
+            ids, share = bags[k]
             rows = embedding[ids]
             mean = share @ rows
             p = softmax(mean @ weights + bias)
@@ -228,15 +253,17 @@ def train(
     logits = (embedding @ weights).astype(np.float32)
     raw = np.zeros((len(held), len(classes)))
     for i, k in enumerate(held.tolist()):
-        ids, share = bag(k)
+        ids, share = bags[k]
         raw[i] = share @ logits[ids] + bias
     temperature = _temperature(raw, y[held])
     return Model(classes, sizes, bits, logits, bias.astype(float), temperature, _level(raw / temperature, y[held]))
 
 
 def fitted(rows: DataFrame, **parameters) -> Model:
-    """Train on the rows ``y, t`` and give their memory back."""
-    model = train(bags(rows, parameters["sizes"], parameters["bits"]), **parameters)
+    """Train on the rows ``y, t``; what it takes in memory is given back."""
+    table = kept(bag_table(rows, parameters["sizes"], parameters["bits"]), "subword-bags")
+    model = train(collected(table), **parameters)
+    discard(table)
     gc.collect()
     pa.default_memory_pool().release_unused()
     return model
