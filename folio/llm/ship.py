@@ -10,9 +10,16 @@ from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
 
+#: Rows and bytes of an Arrow batch, unless the session has its own: texts may be long, and a worker holds a batch several times.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the application once, as ``--py-files`` would."""
+    """Add the package to the application once, as ``--py-files`` would, and bound the batches that its workers get."""
+    own = spark.conf.getAll
+    for name, value in BATCH.items():
+        if name not in own:
+            spark.conf.set(name, value)
     context = spark.sparkContext
     if context.applicationId in _sent:
         return
