@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,6 +130,46 @@ def luminance(colour: Column) -> Column:
     return F.when(colour.rlike("^#[0-9a-fA-F]{6}$"), 0.2126 * channel(2) + 0.7152 * channel(4) + 0.0722 * channel(6))
 
 
+def rgb(colour: Column) -> Column:
+    """``array(red, green, blue)`` of ``#rgb`` or ``#rrggbb``; null for anything else."""
+    c = F.lower(F.trim(colour))
+    long = F.when(F.length(c) == 4, F.regexp_replace(c, "([0-9a-f])", "$1$1")).otherwise(c)
+    return F.when(c.rlike("^#([0-9a-f]{3}|[0-9a-f]{6})$"), F.array(*(F.conv(F.substring(long, k, 2), 16, 10).cast("int") for k in (2, 4, 6))))
+
+
+def mixed(a: Column, b: Column, ratio: float) -> Column:
+    """Two colours mixed, the first for 0 and the second for 1; the first as it is where one is no colour."""
+    x, y = rgb(a), rgb(b)
+    part = lambda k: F.lower(F.lpad(F.hex(F.least(F.lit(255), F.greatest(F.lit(0), half_up(x[k] + (y[k] - x[k]) * F.lit(ratio))))), 2, "0"))
+    return F.when(x.isNotNull() & y.isNotNull(), F.concat(F.lit("#"), *(part(k) for k in range(3)))).otherwise(a)
+
+
+def start_of_day(ts: Column) -> Column:
+    return F.date_trunc("day", ts)
+
+
+def start_of_week(ts: Column) -> Column:
+    """Midnight of the week's Monday."""
+    return F.date_trunc("week", ts)
+
+
+def string_config(c: Column) -> Column:
+    """The entries of a JSON object whose value is a string; empty for anything else."""
+    entries = F.from_json(c, "map<string,variant>")
+    strings = F.map_filter(entries, lambda _, v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)))
+    return F.coalesce(F.transform_values(strings, lambda _, v: F.try_variant_get(v, "$", "string")), F.create_map().cast(_MAP))
+
+
+def new_id() -> Column:
+    """A random UUID (version 4); differs at every evaluation."""
+    return F.uuid()
+
+
+def new_token() -> Column:
+    """32 random hex digits, for tokens and salts."""
+    return F.replace(F.uuid(), F.lit("-"), F.lit(""))
+
+
 def ipv4(c: Column) -> Column:
     """An IPv4 address as a number, null for anything else."""
     part = lambda k: F.split(c, r"\.")[k].cast("long")
@@ -146,11 +188,47 @@ def in_network(c: Column, network: str) -> Column:
 
 
 #: Networks that aren't public.
-PRIVATE = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16")
+PRIVATE = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "224.0.0.0/4", "0.0.0.0/32")
+PRIVATE_6 = ("::1/128", "::/128", "fc00::/7", "fe80::/10", "ff00::/8")
+
+
+def ipv6(c: Column) -> Column:
+    """An IPv6 address as 32 hex digits, null for anything else; an embedded IPv4 address stands for its last two groups."""
+    v4 = ipv4(F.regexp_extract(c, r":(\d+\.\d+\.\d+\.\d+)$", 1))
+    tail = F.concat_ws(":", F.lower(F.hex(F.floor(v4 / 65536))), F.lower(F.hex(v4 % 65536)))
+    text = F.lower(F.when(v4.isNotNull(), F.concat(F.regexp_replace(c, r"\d+\.\d+\.\d+\.\d+$", ""), tail)).otherwise(c))
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    head, rest = groups(F.substring_index(text, "::", 1)), groups(F.substring_index(text, "::", -1))
+    short = F.contains(text, F.lit("::"))
+    hole = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(head) - F.size(rest)))
+    full = F.when(short, F.concat(head, hole, rest)).otherwise(groups(text))
+    plain = text.rlike("^[0-9a-f:]*$") & ~text.rlike(":::|::.*::|^:[^:]|[^:]:$") & text.contains(":")
+    good = plain & (F.size(full) == 8) & (~short | (F.size(head) + F.size(rest) < 8)) & F.forall(full, lambda g: F.length(g) <= 4)
+    return F.when(good, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def in_network6(c: Column, network: str) -> Column:
+    """Whether an IPv6 address lies in a network written as ``address/n``."""
+    net = ipaddress.ip_network(network, strict=False)
+    digits, bits = f"{int(net.network_address):032x}", net.prefixlen
+    own, whole = ipv6(c), bits // 4
+    same = F.left(own, F.lit(whole)) == digits[:whole] if whole else own.isNotNull()
+    if bits % 4:
+        shift = 4 - bits % 4
+        same = same & (F.shiftright(F.conv(F.substring(own, whole + 1, 1), 16, 10).cast("int"), shift) == int(digits[whole], 16) >> shift)
+    return F.coalesce(same, F.lit(False))
 
 
 def is_private(c: Column) -> Column:
+    """Whether an address of either kind is of a loopback, private, link-local, multicast or unspecified network.
+
+    An IPv4 address written as IPv6 counts as IPv4.
+    """
+    mapped = F.regexp_extract(F.lower(c), r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
+    own = F.when(mapped != "", mapped).otherwise(c)
     out = F.lit(False)
     for network in PRIVATE:
-        out = out | in_network(c, network)
+        out = out | in_network(own, network)
+    for network in PRIVATE_6:
+        out = out | in_network6(own, network)
     return out

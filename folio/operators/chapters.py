@@ -35,8 +35,8 @@ def title_test(line: Column, rules: list[str], defaults: tuple[str, ...] = (T.CH
     return hit
 
 
-def segmented(docs: DataFrame, rules: list[str] | None = None, *, key: str = "doc_id", text: str = "text", defaults: tuple[str, ...] = (T.CHAPTER_TITLE,)) -> DataFrame:
-    """``<key>, chapter_index, title, content`` of plain texts.
+def segments(docs: DataFrame, rules: list[str] | None = None, *, key: str = "doc_id", text: str = "text", defaults: tuple[str, ...] = (T.CHAPTER_TITLE,)) -> DataFrame:
+    """``<key>, chapters array<struct<title, content>>, head`` of plain texts; ``head`` has the first lines.
 
     A title line opens a chapter and isn't content. Other lines are trimmed and
     end with a line break, blank ones too once a chapter is open; lines before
@@ -64,22 +64,31 @@ def segmented(docs: DataFrame, rules: list[str] | None = None, *, key: str = "do
 
     one = F.array(F.struct(F.lit(T.WHOLE).alias("title"), whole.alias("content")))
     found = F.when(F.size("__at") == 0, one).otherwise(F.transform("__at", chapter))
-    return rows.select(key, F.posexplode(found).alias("chapter_index", "__c")).select(key, "chapter_index", "__c.title", "__c.content")
-
-
-def book_meta(docs: DataFrame, chapters: DataFrame, *, key: str = "doc_id", text: str = "text", preview: int = 5) -> DataFrame:
-    """Per text: a guessed name, chapter count, characters, the last title and the first titles."""
-    head = F.slice(F.split(T.newlines(F.col(text)), "\n", -1), 1, 20)
-    named = F.filter(F.transform(head, T.trim), lambda x: (x != "") & (x != T.CONTENTS) & ~x.rlike(T.CHAPTER_TITLE))
-    guess = docs.select(key, F.coalesce(F.get(named, F.lit(0)), F.lit(T.UNNAMED)).alias("name"))
-    sums = chapters.groupBy(key).agg(
-        F.count("*").alias("chapter_count"),
-        F.sum(F.length("content")).alias("word_count"),
-        F.max_by("title", "chapter_index").alias("last_title"),
-        F.array_sort(F.collect_list(F.when(F.col("chapter_index") < preview, F.struct("chapter_index", "title")))).alias("__first"),
+    return rows.select(key, found.alias("chapters"), F.slice("__lines", 1, 20).alias("head"))
+
+
+def segmented(docs: DataFrame, rules: list[str] | None = None, *, key: str = "doc_id", text: str = "text", defaults: tuple[str, ...] = (T.CHAPTER_TITLE,)) -> DataFrame:
+    """``<key>, chapter_index, title, content`` of plain texts, by ``segments``."""
+    rows = segments(docs, rules, key=key, text=text, defaults=defaults)
+    return rows.select(key, F.posexplode("chapters").alias("chapter_index", "__c")).select(key, "chapter_index", "__c.title", "__c.content")
+
+
+def book_meta(docs: DataFrame, rules: list[str] | None = None, *, key: str = "doc_id", text: str = "text", preview: int = 5) -> DataFrame:
+    """Per text: a guessed name, chapter count, characters, the last title and the first titles.
+
+    All of it from the row's own array of chapters, so nothing is shuffled.
+    """
+    rows = segments(docs, rules, key=key, text=text)
+    named = F.filter("head", lambda x: (x != "") & (x != T.CONTENTS) & ~x.rlike(T.CHAPTER_TITLE))
+    titles = F.transform(F.slice("chapters", 1, preview), lambda c: c["title"])
+    return rows.select(
+        key,
+        F.coalesce(F.get(named, F.lit(0)), F.lit(T.UNNAMED)).alias("name"),
+        F.size("chapters").cast("long").alias("chapter_count"),
+        F.aggregate("chapters", F.lit(0).cast("long"), lambda n, c: n + F.length(c["content"])).alias("word_count"),
+        F.element_at("chapters", -1)["title"].alias("last_title"),
+        F.array_join(titles, "|").alias("preview"),
     )
-    out = guess.join(sums, key)
-    return out.select(key, "name", "chapter_count", "word_count", "last_title", F.array_join(F.transform("__first", lambda x: x["title"]), "|").alias("preview"))
 
 
 def toc_preview(toc: DataFrame, most: int = 50, *, book: str = "book_url", index: str = "chapter_index", volume: str = "is_volume") -> DataFrame:
@@ -118,9 +127,8 @@ def search_books(chapters: DataFrame, keyword: str, *, most: int = 10, book: str
     """The first ``most`` hits of each book with the book's number of hits."""
     hits = search(chapters, keyword, content=content)
     by = Window.partitionBy(book).orderBy(index)
-    rows = hits.select(book, index, "snippet", F.row_number().over(by).alias("hit"))
-    counts = hits.groupBy(book).agg(F.count("*").alias("hits"))
-    return rows.where(F.col("hit") <= most).join(counts, book)
+    rows = hits.select(book, index, "snippet", F.row_number().over(by).alias("hit"), F.count("*").over(Window.partitionBy(book)).alias("hits"))
+    return rows.where(F.col("hit") <= most)
 
 
 def matches(chapters: DataFrame, keyword: str, *, keys: tuple[str, ...] = ("book_url", "chapter_index"), content: str = "content") -> DataFrame:

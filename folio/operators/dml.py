@@ -6,8 +6,9 @@ the old table and then swaps the folders, so a failed job leaves the old state.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def latest(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -105,6 +106,50 @@ def with_group(groups: DataFrame, name: str, order_num: int, namespace: str, gro
     return groups.unionByName(new)
 
 
+def cache_cleared(chapters: DataFrame, tocs: DataFrame, book: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cached chapters and contents tables without a book's, or both empty."""
+    left = F.col("book_url") != F.lit(book) if book is not None else F.lit(False)
+    return chapters.where(left), tocs.where(left)
+
+
+def rebuilt(state: DataFrame, keys: list[str], schema: T.StructType, defaults: dict[str, object], seq: str) -> DataFrame:
+    """A table under a wider key: missing columns are added, null keys get their defaults, the last row of a key stays.
+
+    A table that has the key already comes out as it is, so the step can be repeated.
+    """
+    value = lambda f: F.col(f.name).cast(f.dataType) if f.name in state.columns else F.lit(None).cast(f.dataType)
+    filled = lambda f: F.coalesce(value(f), F.lit(defaults[f.name]).cast(f.dataType)) if f.name in defaults else value(f)
+    order = F.col(seq) if seq in state.columns else F.lit(0)
+    rows = state.select(*(filled(f).alias(f.name) for f in schema), order.alias("__seq"))
+    return latest(rows, keys, "__seq").drop("__seq")
+
+
+def snapshot(df: DataFrame, root: str, day: str) -> str:
+    """Write a table's state of a day under ``root/day``; a second one of that day replaces the first."""
+    path = f"{root.rstrip('/')}/{day}"
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
+def pruned(spark: SparkSession, root: str, keep: int = 5) -> list[str]:
+    """Delete all but the ``keep`` newest snapshots under ``root`` and return the names that stay."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(root)
+    files = place.getFileSystem(conf)
+    names = sorted((s.getPath().getName() for s in files.listStatus(place) if s.isDirectory()), reverse=True)
+    for name in names[keep:]:
+        files.delete(jvm.org.apache.hadoop.fs.Path(place, name), True)
+    return names[:keep]
+
+
+def copied(spark: SparkSession, source: str, target: str) -> bool:
+    """Copy a folder before an import changes it; false where there is nothing to copy."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    old, new = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    files = old.getFileSystem(conf)
+    return bool(files.exists(old) and jvm.org.apache.hadoop.fs.FileUtil.copy(files, old, new.getFileSystem(conf), new, False, conf))
+
+
 def newest(names: DataFrame, keep: int = 5, name: str = "name") -> DataFrame:
     """The newest snapshots by name."""
     return names.orderBy(F.desc(name)).limit(keep)

@@ -36,6 +36,43 @@ def local_book(url: Column, origin: Column) -> Column:
     return F.coalesce((origin == "loc_book") | url.startswith("local://") | url.startswith("loc_book") | F.lower(url).rlike(r"\.(txt|epub|html?)$"), F.lit(False))
 
 
+def searchable(url: Column, origin: Column) -> Column:
+    """Whether a book's contents can be searched: its chapters are stored here."""
+    return F.coalesce(origin.isin("loc_book", "local"), F.lit(False)) | F.coalesce(url.startswith("local://"), F.lit(False))
+
+
+#: Columns of a book's page.
+DETAIL = ("book_url", "name", "author", "kind", "intro", "cover_url", "toc_url", "word_count", "latest_chapter_title", "origin", "origin_name", "type")
+
+
+def detail(books: DataFrame, url: str) -> DataFrame:
+    """The twelve columns of a book's page, one row or none."""
+    return books.where(F.col("book_url") == url).select(*DETAIL).limit(1)
+
+
+def chunked(rows: DataFrame, width: int, *keys: Column, within: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with the shelf row and the column that they stand in, ``width`` books a row, in the order of ``keys``."""
+    place = F.row_number().over(Window.partitionBy(*within).orderBy(*keys)) - F.lit(1)
+    c = max(1, width)
+    numbered = rows.withColumn("shelf_column", place)
+    return numbered.withColumn("shelf_row", F.floor(F.col("shelf_column") / c)).withColumn("shelf_column", F.col("shelf_column") % F.lit(c))
+
+
+def group_place(columns: list[str]) -> Column:
+    """What groups are ordered by: ``order_num``, else ``order``, else the id."""
+    return F.coalesce(*(F.col(c) for c in ("order_num", "order", "id") if c in columns))
+
+
+def local_progress(progress: DataFrame, books: DataFrame, most: int = 5) -> DataFrame:
+    """The last ``most`` books read, by ``updated_at``; the URL stands for an unknown or empty name.
+
+    The rows are cut before they meet the names.
+    """
+    last = progress.where(F.col("updated_at").isNotNull()).orderBy(F.desc("updated_at"), "book_url").limit(most)
+    named = last.join(books.select("book_url", "name"), "book_url", "left")
+    return named.select("book_url", F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("book_url")).alias("name"), "updated_at")
+
+
 
 
 def order(mode: str, locale: str = "zh") -> tuple[Column, ...]:
@@ -47,7 +84,7 @@ def order(mode: str, locale: str = "zh") -> tuple[Column, ...]:
         "author": (local("author"), local("name")),
         "source": (local("origin_name"), local("name")),
         "group": (F.asc("group_name"), local("name")),
-        "added": (F.desc("created_at"),),
+        "added": (F.desc_nulls_last("created_at"),),
         "manual": (F.asc("order_num"), F.asc("created_at")),
     }
     return (*found[mode], F.asc("book_url"))
@@ -95,17 +132,15 @@ def duplicate_of(incoming: DataFrame, books: DataFrame) -> DataFrame:
     return incoming.join(urls, "book_url", "left").join(names, "name", "left").select("book_url", "name", kind.alias("duplicate"))
 
 
-def moved(rows: DataFrame, source: int, target: int, key: str = "id", place: str = "order_num") -> DataFrame:
-    """Rows with the source moved to the target's place, renumbered from 1; unknown ids change nothing.
-
-    A user's groups are few; the numbering is one namespace's.
-    """
-    one = lambda i: F.max(F.when(F.col(key) == i, F.col(place))).over(Window.partitionBy(F.lit(1)))
+def moved(rows: DataFrame, source: int, target: int, key: str = "id", place: str = "order_num", namespace: str = "user_namespace") -> DataFrame:
+    """Rows with the source moved to the target's place, renumbered from 1 in each namespace; unknown ids change nothing."""
+    own = Window.partitionBy(namespace)
+    one = lambda i: F.max(F.when(F.col(key) == i, F.col(place))).over(own)
     at, to = one(source), one(target)
     half = F.when(at < to, F.lit(0.5)).otherwise(F.lit(-0.5))
     by = F.when((F.col(key) == source) & at.isNotNull() & to.isNotNull() & (at != to), to + half).otherwise(F.col(place))
     ranked = rows.withColumn("__by", by)
-    return ranked.withColumn(place, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("__by", key)).cast("long")).drop("__by")
+    return ranked.withColumn(place, F.row_number().over(own.orderBy("__by", key)).cast("long")).drop("__by")
 
 
 def resume_chapter(toc: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,6 +56,45 @@ def cache_info(chapters: DataFrame, tocs: DataFrame | None = None) -> DataFrame:
     return own.join(F.broadcast(other), F.lit(True)).withColumn("total_chars", F.col("chapter_chars") + F.col("toc_chars"))
 
 
+def count_since(rows: DataFrame, column: str, *since: int) -> DataFrame:
+    """One row: how many rows there are from each of the times on, ``since_0``, ``since_1``, and in total."""
+    counts = (F.count_if(F.col(column) >= F.lit(t)).alias(f"since_{k}") for k, t in enumerate(since))
+    return rows.agg(*counts, F.count(column).alias("total"))
+
+
+def normalised(raw: Column) -> Column:
+    """Statistics of another server, in either of its shapes, as one struct; null where they are no JSON object.
+
+    ``today``, ``week`` and ``total`` may be seconds, or objects with seconds or
+    minutes and a count; books may be names or objects, under ``books`` or
+    ``topBooks``.
+    """
+    tree = F.try_parse_json(raw)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(tree, path, "variant"))
+    number = lambda path: F.try_variant_get(tree, path, "double")
+    plain = lambda path: kind(path).rlike("^(BIGINT|DOUBLE|DECIMAL)")
+    zero = F.lit(0.0)
+
+    def cell(name: str) -> Column:
+        own, minutes = f"$.{name}", F.coalesce(number(f"$.{name}.minutes"), zero)
+        inner = F.when(plain(f"{own}.seconds"), F.greatest(zero, number(f"{own}.seconds"))).when(minutes > 0, F.floor(minutes * 60 + 0.5).cast("double")).otherwise(zero)
+        seconds = F.when(plain(own), F.greatest(zero, number(own))).otherwise(inner)
+        count = F.when(plain(own), zero).otherwise(F.coalesce(number(f"{own}.count"), zero))
+        return F.struct(seconds.alias("seconds"), count.alias("count"))
+
+    array = "array<variant>"
+    books = F.coalesce(F.try_variant_get(tree, "$.books", array), F.try_variant_get(tree, "$.topBooks", array), F.array().cast(array))
+    field = lambda x, name: F.when(F.schema_of_variant(F.try_variant_get(x, f"$.{name}", "variant")) == "STRING", F.try_variant_get(x, f"$.{name}", "string"))
+    value = lambda x, name: F.try_variant_get(x, f"$.{name}", "double")
+
+    def book(x: Column) -> Column:
+        name = F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.coalesce(field(x, "name"), field(x, "bookName")))
+        return F.struct(name.alias("name"), field(x, "bookUrl").alias("book_url"), *(value(x, c).alias(c) for c in ("seconds", "chars", "count")))
+
+    top = F.filter(F.transform(books, book), lambda b: F.coalesce(b["name"], F.lit("")) != "")
+    return F.when(F.schema_of_variant(tree).startswith("OBJECT"), F.struct(*(cell(c).alias(c) for c in ("today", "week", "total")), top.alias("top")))
+
+
 def request_totals(requests: DataFrame, today: str) -> DataFrame:
     """One row: all requests and those of a day. ``requests(ts, path)``."""
     return requests.agg(F.count("*").alias("total"), F.count_if(F.date_format("ts", "yyyy-MM-dd") == today).alias("today"))

@@ -188,8 +188,8 @@ def reorder_groups(spark, d):
 
 
 def move_before(spark, d):
-    n = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_nationkey").cast("long").alias("order_num"))
-    return shelf.moved(n, 3, 10)
+    n = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_nationkey").cast("long").alias("order_num"), F.lit("n").alias("user_namespace"))
+    return shelf.moved(n, 3, 10).drop("user_namespace")
 
 
 def cascade_delete(spark, d):

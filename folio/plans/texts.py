@@ -37,7 +37,8 @@ def chapter_search(spark, d):
 
 
 def chapter_search_bytes(spark, d):
-    hits = C.search(_chapters(spark, d).where("content not rlike '[^\\\\x00-\\\\x7f]'"), "The", bytes_window=True)
+    """All chapters; places are bytes, which SQL can't cut, so plain Python stands against it in the tests."""
+    hits = C.search(_chapters(spark, d), "The", bytes_window=True)
     return hits.select("book_url", "chapter_index", "snippet")
 
 
@@ -87,7 +88,7 @@ def txt_chapters(spark, d):
 
 def txt_book_meta(spark, d):
     docs = read(spark, d, "documents")
-    return C.book_meta(docs, C.segmented(docs, [RULE]))
+    return C.book_meta(docs, [RULE])
 
 
 def toc_preview(spark, d):
@@ -117,7 +118,7 @@ def html_chapters(spark, d):
 
 def image_urls(spark, d):
     p = read(spark, d, "pages").select("page_id", F.concat(F.lit("![a](http://i.org/1.png 't') ![b](x.svg) "), "url", F.lit(".JPG "), "url", F.lit(".png) z")).alias("t"))
-    return p.select("page_id", F.array_join(F.array_sort(T.image_urls(F.col("t"))), " ").alias("urls"))
+    return p.select("page_id", F.array_join(T.image_urls(F.col("t")), " ").alias("urls"))
 
 
 def paragraphs(spark, d):
@@ -180,10 +181,7 @@ QUERIES = {
         "select count(*) chapter_count, cast(coalesce(sum(length(text)), 0) as bigint) chapter_chars, cast(0 as bigint) toc_count, cast(0 as bigint) toc_chars, cast(coalesce(sum(length(text)), 0) as bigint) total_chars from conversations",
     ),
     "chapter_search": (chapter_search, f"select book_url, chapter_index, title, {_SNIPPET.format(k='the', n=3)} snippet from {_C} where contains(lower(content), 'the')"),
-    "chapter_search_bytes": (
-        chapter_search_bytes,
-        f"select book_url, chapter_index, {_SNIPPET.format(k='the', n=3)} snippet from {_C} where contains(lower(content), 'the') and not regexp_matches(content, '[^\\x00-\\x7f]')",
-    ),
+    "chapter_search_bytes": (chapter_search_bytes, None),
     "search_across_books": (
         search_across_books,
         f"""with h as (select book_url, chapter_index, {_SNIPPET.format(k='on', n=2)} snippet from {_C} where contains(lower(content), 'on'))
@@ -238,7 +236,8 @@ QUERIES = {
     "image_urls": (
         image_urls,
         rf"""with t as (select page_id, '![a](http://i.org/1.png ''t'') ![b](x.svg) ' || url || '.JPG ' || url || '.png) z' t from pages)
-        select page_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(t, '!\[[^\]]*\]\(([^)\s]+)[^)]*\)', 1), regexp_extract_all(t, '{_URL}', 1)))), ' ') urls from t""",
+        , u as (select page_id, list_concat(regexp_extract_all(t, '!\[[^\]]*\]\(([^)\s]+)[^)]*\)', 1), regexp_extract_all(t, '{_URL}', 1)) l from t)
+        select page_id, array_to_string([x for x, i in l if list_position(l, x) = i], ' ') urls from u""",
     ),
     "paragraphs": (
         paragraphs,

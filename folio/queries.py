@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.plans import events, shelf, texts
+from folio.plans import admin, events, shelf, texts
 
-_ALL = shelf.QUERIES | events.QUERIES | texts.QUERIES
+_ALL = shelf.QUERIES | events.QUERIES | texts.QUERIES | admin.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -38,18 +38,26 @@ def step(state: tuple[int, int, int, int], time: int, success: bool) -> tuple[in
 def limited(attempts: DataFrame) -> DataFrame:
     """The limiter's final state of each key of ``attempts(key, time, event_id, success)``.
 
-    The batch form reads one key's attempts at a time, in the order of time and
-    id. For keys with more attempts than fit a task, use ``limited_stream``,
-    which holds four numbers a key.
+    A fold over a key's attempts in the order of time and id, in built-in
+    expressions. An attempt takes 17 bytes in the array; for keys whose attempts
+    don't fit a task even so, use ``limited_stream``, which holds four numbers a
+    key.
     """
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        state = (0, 0, 0, 0)
-        for row in frame.sort_values(["time", "event_id"]).itertuples():
-            state = step(state, row.time, row.success)
-        return pd.DataFrame([(frame["key"].iloc[0], *state)], columns=["key", "failures", "locked_until", "locks", "rejected"])
-
-    return attempts.groupBy("key").applyInPandas(fold, LIMITER)
+    start = F.struct(F.lit(0).alias("failures"), F.lit(0).cast("long").alias("until"), F.lit(0).alias("locks"), F.lit(0).alias("rejected"))
+
+    def fold(state: Column, x: Column) -> Column:
+        made = lambda failures, until, locks, rejected: F.struct(failures.alias("failures"), until.alias("until"), locks.alias("locks"), rejected.alias("rejected"))
+        none, never, failures = F.lit(0), F.lit(0).cast("long"), state["failures"] + 1
+        return (
+            F.when(x["time"] < state["until"], made(state["failures"], state["until"], state["locks"], state["rejected"] + 1))
+            .when(x["success"], made(none, never, state["locks"], state["rejected"]))
+            .when(failures >= MOST_FAILURES, made(none, x["time"] + F.lit(LOCK_MS), state["locks"] + 1, state["rejected"]))
+            .otherwise(made(failures, state["until"], state["locks"], state["rejected"]))
+        )
+
+    rows = attempts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("time", "event_id", "success"))).alias("all"))
+    folded = rows.select("key", F.aggregate("all", start, fold).alias("s"))
+    return folded.select("key", "s.failures", F.col("s.until").alias("locked_until"), "s.locks", "s.rejected")
 
 
 class Limiter(StatefulProcessor):

@@ -143,3 +143,70 @@ def test_statistics_of_nothing(spark):
 def test_chinese_order(spark):
     rows = spark.createDataFrame([("张",), ("阿",), ("王",), ("李",)], "name string").withColumn("author", F.lit("")).withColumn("book_url", F.lit(""))
     assert [r["name"] for r in rows.orderBy(*shelf.order("name")).collect()] == ["阿", "李", "王", "张"]
+
+
+def test_sanitised(spark):
+    cases = {
+        '<a href="javascript:alert(1)">x</a>': "<a>x</a>",
+        "<a HREF='javascript:alert(1)'>x</a>": "<a>x</a>",
+        "<a href=javascript:alert(1)>x</a>": "<a>x</a>",
+        '<img src="data:text/html;base64,PHNj">': "<img>",
+        '<a href="&#106;avascript:alert(1)">x</a>': "<a>x</a>",
+        '<a href="&amp;#106;avascript:alert(1)">x</a>': "<a>x</a>",
+        '<a xlink:href="java\tscript:x" href="https://e.org/?a=1&amp;b">x</a><img src=/a.png>': '<a href="https://e.org/?a=1&amp;b">x</a><img src=/a.png>',
+        "a<script>b</script>c<style>d</style><iframe src=x>e</iframe><embed src=x>f<p onclick='x()' class=y>g</p>": "acf<p class=y>g</p>",
+        "<p>plain</p>": "<p>plain</p>",
+        "": "",
+    }
+    rows = spark.createDataFrame([*((k, v) for k, v in cases.items()), (None, None)], "source string, clean string")
+    for r in rows.select("source", "clean", T.sanitised(F.col("source")).alias("got")).collect():
+        assert r["got"] == r["clean"], r["source"]
+    c = spark.createDataFrame([("&colon;&sol;&sol;x",), ("&amp;amp;#106;",), ("a&unknown;b",), ("&#x6A;&#1114112;",), (None,)], "c string")
+    assert [r["x"] for r in c.select(T.resolved_references(F.col("c")).alias("x")).collect()] == ["://x", "j", "a&unknown;b", "j", None]
+    c = spark.createDataFrame([(x,) for x in ("JaVaScRiPt:x", "java script:x", "jav\0ascript:x", "vbscript:x", "https://e.org", "/data:", "")], "c string")
+    assert [r["x"] for r in c.select(T.dangerous_url(F.col("c")).alias("x")).collect()] == [True] * 4 + [False] * 3
+    c = spark.createDataFrame([("<p>caf&eacute; &mdash; &amp;lt;</p>",)], "c string")
+    assert c.select(T.html_text(F.col("c"), every_reference=True).alias("x")).first()["x"] == "café — &lt;"
+
+
+def test_addresses(spark):
+    known = {"::1": True, "fe80::1": True, "FD00:1:2::3": True, "ff02::1": True, "::": True, "::ffff:10.1.2.3": True, "::ffff:8.8.8.8": False, "2001:db8::1": False, "2001:db8:0:0:0:0:0:1": False}
+    known |= {"1::2::3": False, "12345::1": False, "10.0.0.1": True, "239.1.1.1": True, "0.0.0.0": True, "8.8.8.8": False, "1:2:3:4:5:6:7": False, "x": False, ":1": False}
+    rows = spark.createDataFrame([(k,) for k in known], "a string")
+    got = {r["a"]: (r["p"], r["six"]) for r in rows.select("a", V.is_private(F.col("a")).alias("p"), V.ipv6(F.col("a")).alias("six")).collect()}
+    assert {k: p for k, (p, _) in got.items()} == known
+    import ipaddress
+
+    for k, (_, six) in got.items():
+        try:
+            want = f"{int(ipaddress.IPv6Address(k)):032x}"
+        except ValueError:
+            want = None
+        assert six == want, k
+    inside = rows.select("a", V.in_network6(F.col("a"), "2001:db8::/31").alias("i")).where("i").collect()
+    assert {r["a"] for r in inside} == {"2001:db8::1", "2001:db8:0:0:0:0:0:1"}
+
+
+def test_random_ids(spark):
+    r = spark.range(50).select(V.new_id().alias("i"), V.new_token().alias("t")).collect()
+    assert len({x["i"] for x in r}) == 50 and all(x["i"][14] == "4" and len(x["t"]) == 32 for x in r)
+
+
+def test_snippets_in_bytes(spark):
+    texts = ["é" * 40 + " the " + "中" * 20 + "\nx", "The end", "x" * 29 + "ü the" + "ü" * 20, "none", "ab THE\U0001f600" + "y" * 40]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.snippet_bytes(F.col("t"), "The").alias("s")).collect()
+    for text, r in zip(texts, got):
+        data, at = text.encode(), text.lower().encode().find(b"the")
+        if at < 0:
+            assert r["s"] is None
+            continue
+        cut = data[max(0, at - 30) : at + 33]
+        # one U+FFFD may stand for one byte or for the rest of a character
+        want = cut.decode("utf-8", "replace").replace("\n", " ")
+        assert r["s"].strip("\ufffd") == want.strip("\ufffd")
+
+
+def test_groups_renumber_by_namespace(spark):
+    rows = spark.createDataFrame([(i, i, ns) for ns in "ab" for i in range(1, 5)], "id long, order_num long, user_namespace string")
+    got = shelf.moved(rows.where("user_namespace = 'a' or id < 3"), 4, 1).collect()
+    assert {(r["user_namespace"], r["id"]): r["order_num"] for r in got} == {("a", 4): 1, ("a", 1): 2, ("a", 2): 3, ("a", 3): 4, ("b", 1): 1, ("b", 2): 2}

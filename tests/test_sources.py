@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio import schema
 from folio.functions import text as T
+from folio.operators import dml
 from folio.sources import epub, files, html, json_import
 
 
@@ -38,11 +39,79 @@ def test_epub():
     name, author, found = epub.parse(make_epub(("a", "b", "a", "missing")))
     assert (name, author) == ("My Book", "Ann")
     assert found == [("One", "One\nfirst&\nsecond"), ("Two", "Two\nthird")]
-    for bad in (b"no zip", make_epub(()), make_epub(package="other.opf")):
+    assert epub.parse(make_epub(package="other.opf"))[2] == found  # a container that points nowhere
+    for bad in (b"no zip", make_epub(())):
         with pytest.raises(epub.EpubError):
             epub.parse(bad)
 
 
+def zipped(members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in members.items():
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def package(items, spine):
+    listed = "".join(f'<item id="{i}" href="{h}" media-type="{m}"/>' for i, h, m in items)
+    refs = "".join(f'<itemref idref="{i}"/>' for i in spine)
+    return f'<package xmlns="o"><metadata><title>N</title></metadata><manifest>{listed}</manifest><spine>{refs}</spine></package>'
+
+
+PAGE = "application/xhtml+xml"
+
+
+@pytest.mark.parametrize(
+    "members, chapters",
+    [
+        ({"OEBPS/content.opf": package([("a", "a.xhtml", PAGE)], "a"), "OEBPS/a.xhtml": "<h1>A</h1>x"}, [("A", "A\nx")]),  # no container
+        ({"META-INF/container.xml": "<broken", "x/Content.OPF": package([("a", "a.xhtml", PAGE)], "a"), "x/a.xhtml": "<h1>A</h1>x"}, [("A", "A\nx")]),
+        ({"OEBPS/content.opf": package([("a", "/OEBPS/Text/a.xhtml", PAGE)], "a"), "OEBPS/Text/a.xhtml": "<h1>A</h1>x"}, [("A", "A\nx")]),  # absolute
+        ({"OEBPS/content.opf": package([("a", "other/a.xhtml", PAGE)], "a"), "OEBPS/Text/A.xhtml": "<h1>A</h1>x"}, [("A", "A\nx")]),  # by base name
+        ({"OEBPS/content.opf": package([("a", "a.xhtml", PAGE)], "a"), "OEBPS/a.xhtml": "<h1>第一章</h1>中文".encode("gbk")}, [("第一章", "第一章\n中文")]),
+        ({"OEBPS/content.opf": package([("s", "s.svg", "image/svg+xml"), ("a", "a.htm", "x")], "sa"), "OEBPS/s.svg": "<svg>t</svg>pic", "OEBPS/a.htm": "x"}, [("a", "x")]),
+    ],
+)
+def test_epub_in_odd_shapes(members, chapters):
+    assert epub.parse(zipped(members)) == ("N", "", chapters)
+
+
+def test_contents_from_cache_chapters_or_file(spark, tmp_path):
+    (tmp_path / "novel.txt").write_text("第一章 起\n甲\n第二章 承\n乙\n")
+    scanned = files.scan(spark, str(tmp_path))
+    path = scanned.first()["path"]
+    books = spark.createDataFrame([("a", path), ("b", path), ("c", path), ("d", None)], "book_url string, local_file string")
+    tocs = spark.createDataFrame([("a", '[{"title":"T","url":"u","isVolume":false,"index":0}]'), ("b", "[{"), ("c", "")], "book_url string, chapters_json string")
+    chapters = spark.createDataFrame([("b", 1, "two"), ("b", 0, "one")], "book_url string, chapter_index long, title string")
+    found = {r["book_url"]: r for r in files.resolved_contents(books, tocs, chapters, scanned).collect()}
+    assert {i: (r["source"], [x["title"] for x in r["contents"] or ()]) for i, r in found.items()} == {
+        "a": ("cache", ["T"]), "b": ("chapters", ["one", "two"]), "c": ("file", ["第一章 起", "第二章 承"]), "d": (None, []),
+    }
+    assert [x["url"] for x in found["c"]["contents"]] == ["c@0", "c@1"]
+
+
+def test_store(spark, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "a.txt").write_text("line\nline")
+    root = str(tmp_path / "in")
+    assert files.stored_text(spark, root, "/sub/../a.txt").first()["value"] == "line\nline"
+    for bad in ("../x", "sub/../../x", "/../x"):
+        with pytest.raises(ValueError):
+            files.confined(root, bad)
+    assert sorted((r["path"].rpartition("/")[2], r["is_folder"], r["is_folder"] or r["length"]) for r in files.children(spark, root).collect()) == [("a.txt", False, 9), ("in", True, True), ("sub", True, True)]
+    assert files.children(spark, root, 0).count() == 1 and files.children(spark, root + "/none").count() == 0
+    files.stored(files.scan(spark, root), str(tmp_path / "raw"), "ann")
+    row = spark.read.parquet(str(tmp_path / "raw")).first()
+    assert (row["user_namespace"], row["name"], bytes(row["content"])) == ("ann", "a.txt", b"line\nline")
+    for day in ("2024-01-01", "2024-01-02", "2024-01-03", "2024-01-03"):
+        dml.snapshot(spark.range(3), str(tmp_path / "days"), day)
+    assert dml.pruned(spark, str(tmp_path / "days"), 2) == ["2024-01-03", "2024-01-02"]
+    assert sorted(p.name for p in (tmp_path / "days").iterdir()) == ["2024-01-02", "2024-01-03"]
+    assert dml.copied(spark, root, str(tmp_path / "copy")) and (tmp_path / "copy" / "a.txt").exists()
+    assert not dml.copied(spark, root + "/none", str(tmp_path / "copy2"))
+
+
 @pytest.mark.parametrize(
     "source, name, chapters",
     [
