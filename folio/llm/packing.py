@@ -79,7 +79,7 @@ class Tokenizer:
             odd |= pc.match_substring(column, word).to_numpy(zero_copy_only=False).astype(bool)
         odd |= not self.by_words
         data, at = arrays.text_buffers(column)
-        for lo, hi in arrays.chunks(at, 1 << 21):
+        for lo, hi in arrays.chunks(at, 1 << 19):
             part, borders = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
             ids, first = self._chunk(part, borders)
             for k in range(hi - lo):

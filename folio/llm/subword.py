@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import arrays
-from folio.llm.store import discard, kept
 
 #: Bytes that may be part of a word: ASCII letters and digits, and all of a multi-byte character.
 _WORD = np.zeros(256, dtype=bool)
@@ -137,23 +136,23 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 _BAGS = "y string, h long, ids binary, counts binary"
 
-#: Bytes of bags, about, that pass through the driver at a time.
-PART = 8 << 20
+#: Parts in which bags pass through the driver, and buckets that one of its arrays has room for.
+PARTS, ROOM = 24, 1 << 24
 
 
 @dataclass(frozen=True)
 class Bags:
-    """Texts as bags in flat arrays: row ``k`` has the buckets ``ids[at[k]:at[k + 1]]`` and how often each occurs."""
+    """Texts as bags: each part has the buckets of its texts in one array and how often each occurs in another."""
 
     marks: list[str]
-    at: np.ndarray
-    ids: np.ndarray
-    counts: np.ndarray
+    place: list[tuple[int, int, int]]  # part, begin, end
+    ids: list[np.ndarray]
+    counts: list[np.ndarray]
 
     def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        own = slice(self.at[k], self.at[k + 1])
-        share = self.counts[own].astype(np.float32)
-        return self.ids[own], share / max(1.0, float(share.sum()))
+        part, begin, end = self.place[k]
+        share = self.counts[part][begin:end].astype(np.float32)
+        return self.ids[part][begin:end], share / max(1.0, float(share.sum()))
 
 
 def bag_table(rows: DataFrame, sizes: tuple[int, ...], bits: int) -> DataFrame:
@@ -183,25 +182,25 @@ def bag_table(rows: DataFrame, sizes: tuple[int, ...], bits: int) -> DataFrame:
 
 
 def collected(table: DataFrame) -> Bags:
-    """A stored ``bag_table`` in the driver's memory, in the order of its hashes.
+    """A ``bag_table`` in the driver's memory, in the order of its hashes.
 
-    Its rows have a bound, and they come in parts of about ``PART`` bytes, so
-    neither the JVM nor Arrow holds more than one part beside the arrays.
+    Its rows have a bound, and one of ``PARTS`` parts at a time comes to the
+    driver, so the JVM holds no more than one part beside the arrays.
     """
-    own = F.col("h"), F.octet_length("counts").alias("n"), F.col("y")
-    heads = table.select(*own).toArrow().sort_by([("h", "ascending"), ("n", "ascending"), ("y", "ascending")])
-    h, n = heads.column("h").to_numpy(), heads.column("n").to_numpy() // 2
-    at = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
-    ids, counts = np.zeros(at[-1], np.int32), np.zeros(at[-1], np.uint16)
-    cuts = np.unique(np.searchsorted(at, np.arange(0, at[-1], PART // 6)))
-    cuts = np.unique(np.searchsorted(h, h[cuts[cuts < len(h)]])) if len(h) else cuts  # rows of one hash stay together
-    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)]):
-        some = table.where(F.col("h").between(int(h[lo]), int(h[hi - 1]))).select("h", "ids", "counts").toArrow()
-        some = some.sort_by("h").combine_chunks()
-        for name, out in (("ids", ids), ("counts", counts)):
-            data, _ = arrays.text_buffers(some.column(name))
-            out[at[lo] : at[hi]] = data.view(f"<{out.dtype.kind}{out.dtype.itemsize}")
-    return Bags(heads.column("y").to_pylist(), at, ids, counts)
+    heads, ids, counts, used = [], [], [], ROOM
+    for row in table.toLocalIterator():
+        n = len(row["counts"]) // 2
+        if used + n > ROOM:
+            room = max(ROOM, n)  # untouched pages of it take no memory
+            ids.append(np.empty(room, np.int32))
+            counts.append(np.empty(room, np.uint16))
+            used = 0
+        ids[-1][used : used + n] = np.frombuffer(row["ids"], "<i4")
+        counts[-1][used : used + n] = np.frombuffer(row["counts"], "<u2")
+        heads.append((row["h"], row["y"], (len(ids) - 1, used, used + n)))
+        used += n
+    heads.sort()
+    return Bags([y for _, y, _ in heads], [place for _, _, place in heads], ids, counts)
 
 
 def train(
@@ -261,9 +260,8 @@ def train(
 
 def fitted(rows: DataFrame, **parameters) -> Model:
     """Train on the rows ``y, t``; what it takes in memory is given back."""
-    table = kept(bag_table(rows, parameters["sizes"], parameters["bits"]), "subword-bags")
-    model = train(collected(table), **parameters)
-    discard(table)
+    dealt = rows.repartition(PARTS, F.xxhash64("y", "t"))
+    model = train(collected(bag_table(dealt, parameters["sizes"], parameters["bits"])), **parameters)
     gc.collect()
     pa.default_memory_pool().release_unused()
     return model
