@@ -19,6 +19,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +33,14 @@ WINDOW = 1024
 #: Words whose ids a worker keeps at most.
 CACHE = 400_000
 
-# White space of Unicode outside ASCII: texts with it are tokenised in one go.
+# White space of Unicode outside ASCII. Inside a word it is split off in the same way wherever the word
+# stands; where it touches ASCII white space both are one run, so such texts are tokenised in one go.
 _OTHER_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_MIXED_RUN = rf"[\x20\x09-\x0d]{_OTHER_SPACE}|{_OTHER_SPACE}[\x20\x09-\x0d]"
+
+
+#: Fixed value: the split pattern of byte-level vocabularies.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Tokenizer:
@@ -55,6 +62,8 @@ class Tokenizer:
         parts = json.loads(Path(path).read_text())
         split = parts.get("pre_tokenizer") or {}
         self.by_words = parts.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+        ranks = _ranks(parts["model"], set(self.added)) if self.by_words else None
+        self.word = self.encode if ranks is None else tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.clear()
 
     def clear(self) -> None:
@@ -70,11 +79,11 @@ class Tokenizer:
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text of an Arrow column, null as empty.
 
-        Texts that hold the string of an added token or white space outside
-        ASCII go to the library as a whole.
+        Texts that hold the string of an added token, or a run of white space
+        inside and outside ASCII, go to the library as a whole.
         """
         column = pc.fill_null(column, "")
-        odd = pc.match_substring_regex(column, _OTHER_SPACE).to_numpy(zero_copy_only=False).astype(bool)
+        odd = pc.match_substring_regex(column, _MIXED_RUN).to_numpy(zero_copy_only=False).astype(bool)
         for word in self.added:
             odd |= pc.match_substring(column, word).to_numpy(zero_copy_only=False).astype(bool)
         odd |= not self.by_words
@@ -106,7 +115,7 @@ class Tokenizer:
     def _learn(self, words: list[str], hashes: list[int]) -> None:
         if not words:
             return
-        found = [self.encode(w) for w in words]
+        found = [self.word(w) for w in words]
         size = np.array([len(x) for x in found], np.int64)
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
         n = len(self.place)
@@ -124,6 +133,31 @@ def _grown(table: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
     return table
 
 
+def _ranks(model: dict, added: set[str]) -> dict[bytes, int] | None:
+    """The vocabulary by bytes, if its ids are its merges' ranks; else None.
+
+    That holds if every token but the single bytes comes from exactly one merge,
+    and ids rise with the merges. Then the pair that merges first is the one
+    whose whole has the smallest id, and an encoder by ranks gives the same ids.
+    """
+    vocabulary = {w: i for w, i in model["vocab"].items() if w not in added}
+    letters = {c: b for b, c in _byte_letters().items()}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", [])]
+    ids = [vocabulary.get(w, -1) for w in merged]
+    rising = all(a < b for a, b in zip(ids, ids[1:])) and all(i >= 0 for i in ids)
+    single = {w for w in vocabulary if len(w) == 1}
+    whole = plain and rising and set(merged) | single == set(vocabulary) and single == set(letters)
+    return {bytes(letters[c] for c in w): i for w, i in vocabulary.items()} if whole else None
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)

@@ -314,7 +314,11 @@ def test_tokens_are_the_library_s():
 
     library = Tokenizer.from_file(tokenizer_path())
     texts = ["say <|endoftext|> now", "<|endoftext|>", "x<|endoftext|>  <|endoftext|>\n", "<|endoftext", "", " ", "  a  b\n\n c\n", "x\t\ty \n z", "don't we'll  'tis", "a  b   c", "<|endoftext|> a<|endoftext|>", "中文 \U0001f600é", "\n\n", "a \n", " a", "1 22  333", "tab\tword\r\n\r\nx", None, "w " * 3000]
+    rng = np.random.default_rng(8)
+    parts = ["a", "bc", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u2028", "\x85", "\x1c", "é", "12", "'s", "!", "中", "\u200b"]
+    texts += ["".join(rng.choice(parts, rng.integers(1, 14))) for _ in range(3000)]
     mine = packing.Tokenizer(tokenizer_path())
+    assert mine.word != mine.encode  # this vocabulary's ids are ranks
     for _ in range(2):
         got = [x.tolist() for x in mine.texts(pa.array(texts, pa.string()))]
         assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
