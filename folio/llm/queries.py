@@ -89,5 +89,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Inner products in double precision, summed in order; ties to the smaller id.
+_NEAREST = """with v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+fine as (select * from v where vec_id is not null and e is not null and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e) as score from fine q join fine c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 20 = 0)
+select query_id, cast(row_number() over w as integer) as rank, vec_id, score from s window w as (partition by query_id order by score desc, vec_id) qualify row_number() over w <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_nearest_neighbours": _NEAREST}

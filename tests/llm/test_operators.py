@@ -245,6 +245,19 @@ def test_nearest(spark, monkeypatch, queries, tile):
     assert set(got) == set(range(0, 180, 20))
 
 
+def test_nearest_query_equals_its_sql(spark):
+    import duckdb
+
+    from folio.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    duck.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    want = duck.execute(queries.oracle_sql()["op4_nearest_neighbours"]).fetchall()
+    got = queries.queries()["op4_nearest_neighbours"](spark, sf).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 # secrets
 
 KINDS = [
