@@ -1,36 +1,35 @@
 """Stupid-backoff language-model scores (Brants et al., 2007), computed relationally.
 
-n-grams are 64-bit hashes of lower-cased words. Counts and lookups meet in one
-shuffle by hash. What is frequent enough to fill a task of its own, the words
-of ``HOT_WORDS`` and pairs of the ``HOT_PAIRS`` most frequent of them, is
-counted with combiners and sent to all tasks in tables of fixed size.
+Count tables of one to three words are kept, partitioned by the n-grams' 64-bit
+hashes, and joined to the exploded n-grams of the documents. What a known n-gram
+adds to a score beyond its step back depends on the n-gram alone, so each table
+holds that gain, and a document's score is a sum over joined rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import arrays
-from folio.llm.store import kept
+from folio.llm.store import discard, kept, released
 
 #: The factor for each step back, as published.
 BACKOFF = 0.4
 
-#: Words whose counts are sent to the tasks (16 bytes each), and those whose pairs are (squared, 8 bytes each).
-HOT_WORDS, HOT_PAIRS = 1 << 17, 512
+#: An n-gram with at least this share of all words is hot: there are at most ``1 / HOT`` of a length, whatever the corpus.
+HOT = 1 / (1 << 18)
 
-#: Text of a batch in bytes; words that are combined before they leave a task.
-BATCH, COMBINE = 2 << 20, 1_500_000
+#: N-grams are counted and joined in so many slices of their hashes, one after the other, to bound the disk in use.
+SLICES = 4
 
-# What an n-gram adds to its document's score, in the low bits of its hash.
-_PAIR, _CONTEXT, _COUNTED, _ALONE, _BASE = range(5)
-_BITS = 3
+#: Text of a batch in bytes; n-grams that are combined before they leave a task.
+BATCH, COMBINE = 2 << 20, 1_500_000
 
 
 def _hashed(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -44,208 +43,193 @@ def _hashed(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray,
             yield a, b, arrays.span_hashes(part, starts, ends), first
 
 
-def _pairs(hashes: np.ndarray) -> np.ndarray:
-    """A hash for each word and its successor."""
-    return arrays.mixed(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + arrays.mixed(hashes[1:]))
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash for each pair of hashes."""
+    return arrays.mixed(a * np.uint64(0x9E3779B97F4A7C15) + arrays.mixed(b))
+
+
+def _inner(size: int, first: np.ndarray) -> np.ndarray:
+    """Whether each word but the last is followed by one of the same text."""
+    inner = np.ones(max(0, size - 1), bool)
+    edge = first[1:-1]
+    inner[edge[(edge > 0) & (edge < size)] - 1] = False
+    return inner
 
 
-def _counted(docs: DataFrame, text: str, of) -> DataFrame:
-    """``h, n``: how often each hash that ``of(hashes, firsts)`` gives occurs in all documents."""
+def _grams(words: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For one, two and three words: hash, the hashes of its first and last part, and the place of its first word.
+
+    The parts of a pair are its words, those of a triple its pairs.
+    """
+    place = np.arange(len(words))
+    out = [(words, words, words, place)]
+    if len(words):
+        good = _inner(len(words), first)
+        both = _joined(words[:-1], words[1:])
+        out.append((both[good], words[:-1][good], words[1:][good], place[:-1][good]))
+        wide = good[:-1] & good[1:]
+        a, b = both[:-1][wide], both[1:][wide]
+        out.append((_joined(a, b), a, b, place[: max(0, len(words) - 2)][wide]))
+    return out
+
+
+def gram_counts(docs: DataFrame, order: int, *, text: str = "text", part: int = 0, parts: int = 1) -> DataFrame:
+    """``h, a, b, n``: how often each n-gram of ``order`` words occurs, with the hashes of its parts.
+
+    Only n-grams whose hash falls into ``part`` of ``parts`` are counted.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            rows = np.concatenate(held, axis=1) if held else np.zeros((3, 0), np.uint64)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+            _, at, n = np.unique(rows[0], return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in rows), pa.array(n.astype(np.int64))], names=["h", "a", "b", "n"])
 
         for batch in batches:
-            for _, _, hashes, first in _hashed(batch.column(0), BATCH):
-                held.append(of(hashes, first))
-                if sum(map(len, held)) > COMBINE:
+            for _, _, words, first in _hashed(batch.column(0), BATCH):
+                if not len(words):
+                    continue
+                h, a, b, _ = _grams(words, first)[order - 1]
+                own = h % np.uint64(parts) == part
+                held.append(np.stack([h[own], a[own], b[own]]))
+                if sum(x.shape[1] for x in held) > COMBINE:
                     yield out()
         yield out()
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(each, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-
-
-def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """``h, n``: the count of each word, by hash."""
-    return _counted(docs, text, lambda hashes, first: hashes)
-
-
-def _inner(size: int, first: np.ndarray) -> np.ndarray:
-    """Whether each word but the last is followed by one of the same text."""
-    inner = np.ones(max(0, size - 1), bool)
-    edge = first[1:-1]
-    inner[edge[(edge > 0) & (edge < size)] - 1] = False
-    return inner
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(each, "h long, a long, b long, n long")
+    return rows.groupBy("h", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """``h, n``: the count of each word pair, by hash."""
-    return _counted(docs, text, lambda hashes, first: _pairs(hashes)[_inner(len(hashes), first)] if len(hashes) else hashes)
+def _counted(docs: DataFrame, order: int, text: str, least: int, slices: int) -> list[DataFrame]:
+    """The kept count table of ``order``, one slice after the other, without n-grams under ``least``."""
+    out = []
+    for part in range(slices):
+        out.append(kept(gram_counts(docs, order, text=text, part=part, parts=slices).where(F.col("n") >= least), f"ngrams-{order}"))
+        released(docs.sparkSession)
+    return out
 
 
-def _ranks(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The place of each hash in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(hashes), -1)
-    at = np.searchsorted(table, hashes)
-    at[at == len(table)] = 0
-    return np.where(table[at] == hashes, at, -1)
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, tables)
 
 
-def corpus_scores(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, log_score, mean_log_score`` of each row under the model of all rows.
+def gains(corpus: DataFrame, *, text: str = "text", apart: bool = False, slices: int = SLICES) -> tuple[list[DataFrame], int]:
+    """For one to three words a kept table ``h, n, g``, and the number of words.
 
-    A word after another scores ``count(pair) / count(first)``, a text's first
-    word ``count(word) / words of the corpus``; ``log_score`` sums their natural
-    logarithms. As every pair of a row is in the tables, no step back occurs;
-    ``scores`` has it for other documents. The sums fall apart into one term for
-    each n-gram, so a row's n-grams are joined to the counts once, each with its
-    own sign.
+    ``g`` is what a known n-gram adds to a logarithmic score in place of its step
+    back. With ``apart``, counts are those without the occurrence that is scored,
+    so an n-gram that occurs once is unknown.
+    """
+    own = int(apart)
+    one = _counted(corpus, 1, text, 1, 1)[0].select("h", "n")
+    total = one.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    share = F.ln(F.greatest(F.col("n") - own, F.lit(1))) - float(np.log(max(1, total - own)))
+    one = kept(one.select("h", "n", share.alias("g")), "ngrams-words")
+    two, three = (_counted(corpus, order, text, 1 + own, slices) for order in (2, 3))
+    step = float(np.log(BACKOFF))
+    lead = one.select(F.col("h").alias("a"), F.ln(F.col("n") - own).alias("lead"))
+    last = one.select(F.col("h").alias("b"), F.col("g").alias("last"))
+    ratio = F.ln(F.col("n") - own) - F.col("lead")
+    pairs = _all(two).join(lead, "a").join(last, "b").select("h", "n", (ratio - step - F.col("last")).alias("g"), ratio.alias("r"))
+    pairs = kept(pairs, "ngrams-pairs")
+    lead = pairs.select(F.col("h").alias("a"), F.ln(F.col("n") - own).alias("lead"))
+    last = pairs.select(F.col("h").alias("b"), F.col("r").alias("last"))
+    triples = kept(_all(three).join(lead, "a").join(last, "b").select("h", "n", (ratio - step - F.col("last")).alias("g")), "ngrams-triples")
+    discard(*two, *three)
+    released(corpus.sparkSession)
+    return [one, pairs.select("h", "n", "g"), triples], total
+
+
+def _found(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes a sorted table has, and their gains."""
+    keys, gain = table
+    if not len(keys):
+        return np.zeros(len(hashes), bool), np.zeros(len(hashes))
+    at = np.searchsorted(keys, hashes)
+    at[at == len(keys)] = 0
+    known = keys[at] == hashes
+    return known, np.where(known, gain[at], 0.0)
+
+
+def scores(docs: DataFrame, corpus: DataFrame, *, key: str = "doc_id", text: str = "text", apart: bool = False, slices: int = SLICES) -> DataFrame:
+    """``doc_id, n_tokens, log_score, mean_log_score`` of each row under the model of ``corpus``.
+
+    A word after two others scores ``count(triple) / count(first pair)`` if the
+    triple is known, else ``BACKOFF`` times what it scores after one, that is
+    ``count(pair) / count(first word)`` or else ``BACKOFF`` times its share of
+    all words; an unknown word counts as one occurrence. A text's first word
+    scores its share, the second one starts at the pair. ``log_score`` sums
+    natural logarithms. With ``apart``, each occurrence is taken out of the
+    counts that score it, for documents that are part of the corpus.
+
+    The gains of hot n-grams, a bounded number, are sent to the tasks; the others
+    meet their tables in joins by hash.
 
     Defined cases: null and blank texts have 0 words, score 0 and a null mean; a
-    null id keeps its row; repeated rows count again and are scored alike; other
+    null id keeps its row; rows that repeat id and text are scored alike; other
     columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    counts = kept(word_counts(docs, text=text), "ngrams-words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    top = counts.orderBy(F.desc("n"), "h").limit(HOT_WORDS).toArrow()
-    hashes = top.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    hot, log_hot = hashes[order], np.log(top.column("n").to_numpy()[order].astype(float))
-    hottest = np.full(len(hot), -1)
-    hottest[np.argsort(order)[:HOT_PAIRS]] = np.arange(min(HOT_PAIRS, len(hot)))
-
-    def hot_pairs(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        if not len(words):
-            return words
-        rank = _ranks(hot, words)
-        own = np.where(rank >= 0, hottest[rank], -1)
-        good = _inner(len(words), first) & (own[:-1] >= 0) & (own[1:] >= 0)
-        return (own[:-1][good] * HOT_PAIRS + own[1:][good]).astype(np.uint64)
-
-    log_pair = np.zeros(HOT_PAIRS * HOT_PAIRS)
-    if len(hot):
-        found = _counted(docs, text, hot_pairs).toArrow()  # HOT_PAIRS squared rows at most
-        log_pair[found.column("h").to_numpy()] = np.log(found.column("n").to_numpy().astype(float))
-    sent = spark.sparkContext.broadcast((hot, log_hot, hottest, log_pair))
-    buckets = int(min(1 << 18, max(1 << 12, total // 20_000_000)))
-    low = np.uint64((1 << _BITS) - 1)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, log_hot, hottest, log_pair = sent.value
-        number = TaskContext.get().partitionId() << 32
+    tables, total = gains(corpus, text=text, apart=apart, slices=slices)
+    hot = []
+    for table in tables:
+        top = table.where(F.col("n") >= HOT * total).select("h", "g").toArrow()  # 1 / HOT rows at most
+        keys, gain = top.column("h").to_numpy().view(np.uint64), top.column("g").to_numpy()
+        order = np.argsort(keys)
+        hot.append((keys[order], gain[order]))
+    sent = spark.sparkContext.broadcast(hot)
+    step, unknown = float(np.log(BACKOFF)), -float(np.log(max(1, total - int(apart))))
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key).cast("long"), F.col(text)).alias("ref"), F.col(text).alias("text"))
+
+    def bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, words, first in _hashed(batch.column(1), BATCH):
-                number += 1
-                n = len(words)
-                doc = np.repeat(np.arange(hi - lo), np.diff(first))
-                begins, ends = np.zeros(n, bool), np.zeros(n, bool)
-                some = first[:-1][np.diff(first) > 0]
-                begins[some] = True
-                ends[np.append(some[1:], n)[: len(some)] - 1] = True
-                rank = _ranks(hot, words)
-                known = rank >= 0
-                log_word = np.where(known, log_hot[rank], 0.0) if len(hot) else np.zeros(n)
-                base = np.bincount(doc, log_word * (begins.astype(int) - ~ends), minlength=hi - lo)
-                code = np.where(begins & ends, _ALONE, np.where(~begins & ~ends, _CONTEXT, _COUNTED)).astype(np.uint64)
-                grams = [((words & ~low) | code)[~known]]
-                owner = [doc[~known]]
-                if n > 1:
-                    inner = ~ends[:-1]
-                    own = np.where(known, hottest[rank], -1) if len(hot) else np.full(n, -1)
-                    both = inner & (own[:-1] >= 0) & (own[1:] >= 0)
-                    base += np.bincount(doc[:-1][both], log_pair[own[:-1][both] * HOT_PAIRS + own[1:][both]], minlength=hi - lo)
-                    rest = inner & ~both
-                    grams.append((_pairs(words)[rest] & ~low) | np.uint64(_PAIR))
-                    owner.append(doc[:-1][rest])
-                gram, own_doc = np.concatenate(grams), np.concatenate(owner)
-                bucket = (arrays.mixed(gram >> np.uint64(_BITS)) % np.uint64(buckets)).astype(np.int32)
-                by = np.argsort(bucket, kind="stable")
-                gram, own_doc, bucket = gram[by].view(np.int64), own_doc[by].astype(np.int16), bucket[by]
-                cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-                place = pa.array(np.append(cut, len(gram)).astype(np.int32))
-                yield _batch(
-                    pa.array(bucket[cut]),
-                    number,
-                    pa.ListArray.from_arrays(place, pa.array(own_doc)),
-                    pa.ListArray.from_arrays(place, pa.array(gram)),
-                    *(_empty(len(cut), t) for t in (pa.int64(), pa.float64(), pa.int64())),
-                )
-                # each row's own part, under a hash that no n-gram shares
-                one = pa.array([0, hi - lo], pa.int32())
-                alone = (arrays.mixed(np.uint64(number << 15) + np.arange(hi - lo, dtype=np.uint64)) & ~low) | np.uint64(_BASE)
-                yield _batch(
-                    pa.array([number % buckets], pa.int32()),
-                    number,
-                    pa.ListArray.from_arrays(one, pa.array(np.arange(hi - lo, dtype=np.int16))),
-                    pa.ListArray.from_arrays(one, pa.array(alone.view(np.int64))),
-                    pa.ListArray.from_arrays(one, batch.column(0).slice(lo, hi - lo)),
-                    pa.ListArray.from_arrays(one, pa.array(base)),
-                    pa.ListArray.from_arrays(one, pa.array(np.diff(first).astype(np.int64))),
+            for lo, hi, words, first in _hashed(batch.column(2), BATCH):
+                n = np.diff(first)
+                base = step * (np.maximum(n - 1, 0) + np.maximum(n - 2, 0))
+                doc = np.repeat(np.arange(hi - lo), n)
+                for k, (h, _, _, place) in enumerate(_grams(words, first)):
+                    known, gain = _found(sent.value[k], h)
+                    if not k:  # words that no table has keep this
+                        gain = np.where(known, gain, unknown)
+                    base += np.bincount(doc[place], gain, minlength=hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(base)],
+                    names=["doc_id", "ref", "n_tokens", "base"],
                 )
 
-    schema = "bucket int, batch long, doc array<smallint>, gram array<long>, id array<long>, base array<double>, words array<long>"
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(each, schema).repartition("bucket")
-    rows = rows.select("bucket", "batch", F.inline(F.arrays_zip("doc", "gram", "id", "base", "words")))
-    code, same = F.col("gram").bitwiseAND(F.lit((1 << _BITS) - 1)), F.shiftright("gram", _BITS)
-    # bases are no n-grams; a pair's hash and a word's are told apart by their code
-    rows = rows.select("*", code.alias("code")).withColumn("kind", (F.col("code") == _PAIR) | (F.col("code") == _BASE)).withColumn("same", same)
-    together = Window.partitionBy("bucket", "same", "kind")
-    rows = rows.withColumn("n", F.count("*").over(together))
-    sign = F.when(F.col("code").isin(_PAIR, _ALONE), 1).when(F.col("code") == _CONTEXT, -1).otherwise(0)
-    part = F.coalesce("base", sign * F.ln("n"))
-    out = rows.groupBy("batch", "doc").agg(F.max("id").alias("doc_id"), F.max("words").alias("n_tokens"), F.sum(part).alias("sum"))
-    score = F.when(F.col("n_tokens") > 0, F.col("sum") - F.lit(float(np.log(max(1, total))))).otherwise(F.lit(0.0))
-    return out.select("doc_id", "n_tokens", score.alias("log_score"), F.try_divide(score, "n_tokens").alias("mean_log_score")).withColumn(
-        "mean_log_score", F.when(F.col("n_tokens") > 0, F.col("mean_log_score"))
-    )
-
-
-def _empty(n: int, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], kind))
-
-
-def _batch(bucket: pa.Array, number: int, *lists: pa.Array) -> pa.RecordBatch:
-    names = ["bucket", "batch", "doc", "gram", "id", "base", "words"]
-    return pa.RecordBatch.from_arrays([bucket, pa.array(np.full(len(bucket), number, np.int64)), *lists], names=names)
-
-
-def scores(docs: DataFrame, corpus: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """As ``corpus_scores``, of other documents than the model's, with steps back.
-
-    A pair that the corpus lacks scores ``BACKOFF`` times its word's share of
-    the corpus, and a word that it lacks counts as one occurrence. Count tables
-    are partitioned by hash and joined to the exploded n-grams; rows that repeat
-    an id are scored together.
-    """
-    one, two = kept(word_counts(corpus, text=text), "ngrams-words"), kept(pair_counts(corpus, text=text), "ngrams-pairs")
-    total = float(one.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] or 1)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, words, first in _hashed(batch.column(1), 1 << 20):
-                doc = np.repeat(np.arange(lo, hi), np.diff(first))
-                leads = np.ones(len(words), bool)
-                leads[1:] = ~_inner(len(words), first)
-                before, pair = np.zeros_like(words), np.zeros_like(words)
-                if len(words) > 1:
-                    before[1:], pair[1:] = words[:-1], _pairs(words)
-                hole = [pa.array(x.view(np.int64), mask=leads) for x in (before, pair)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), *hole, pa.array(words.view(np.int64))], names=["doc_id", "v", "p", "w"])
-
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(each, "doc_id long, v long, p long, w long")
-    rows = rows.groupBy("doc_id", "v", "p", "w").agg(F.count("*").alias("times"))
-    count = lambda table, name, to: table.select(F.col("h").alias(name), F.col("n").alias(to))
-    rows = rows.join(count(two, "p", "np"), "p", "left").join(count(one, "v", "nv"), "v", "left").join(count(one, "w", "nw"), "w", "left")
-    share = F.coalesce("nw", F.lit(1)) / F.lit(total)
-    value: Column = F.when(F.col("v").isNull(), share).when(F.col("np") > 0, F.col("np") / F.col("nv")).otherwise(F.lit(BACKOFF) * share)
-    sums = rows.groupBy("doc_id").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.ln(value)).alias("s"))
-    ids = docs.select(F.col(key).cast("long").alias("doc_id")).distinct()
-    out = ids.join(sums, ids["doc_id"].eqNullSafe(sums["doc_id"]), "left").select(ids["doc_id"], F.coalesce("n", F.lit(0)).alias("n_tokens"), F.coalesce("s", F.lit(0.0)).alias("log_score"))
-    return out.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))
+    def exploded(part: int):
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                refs = batch.column(0).to_numpy()
+                for lo, hi, words, first in _hashed(batch.column(1), BATCH):
+                    doc = np.repeat(refs[lo:hi], np.diff(first))
+                    for k, (h, _, _, place) in enumerate(_grams(words, first)):
+                        rest = np.flatnonzero((h % np.uint64(slices) == part) & ~_found(sent.value[k], h)[0])
+                        yield pa.RecordBatch.from_arrays([pa.array(h[rest].view(np.int64)), pa.array(doc[place[rest]])], names=["h", "ref"])
+
+        return each
+
+    # a word that isn't hot has its share of ``unknown`` in the base already
+    cold = [t.where(F.col("n") < HOT * total).select("h", (F.col("g") - (unknown if not k else 0.0)).alias("g")) for k, t in enumerate(tables)]
+    sums = []
+    for part in range(slices):
+        # as the slices of ``gram_counts``: the remainder of the unsigned hash
+        own = _all(cold).where(F.pmod(F.pmod("h", F.lit(slices)) + F.when(F.col("h") < 0, (1 << 64) % slices).otherwise(0), F.lit(slices)) == part)
+        rows = texts.select("ref", "text").mapInArrow(exploded(part), "h long, ref long")
+        sums.append(kept(rows.join(own, "h").groupBy("ref").agg(F.sum("g").alias("g")), "ngrams-sums"))
+        released(spark)
+    discard(*tables)
+    base = kept(texts.mapInArrow(bases, "doc_id long, ref long, n_tokens long, base double"), "ngrams-bases")
+    times = base.groupBy("ref").agg(F.count("*").alias("times"))
+    added = _all(sums).groupBy("ref").agg(F.sum("g").alias("g")).join(times, "ref").select("ref", (F.col("g") / F.col("times")).alias("g"))
+    out = base.join(added, "ref", "left")
+    score = F.when(F.col("n_tokens") > 0, F.col("base") + F.coalesce("g", F.lit(0.0))).otherwise(F.lit(0.0))
+    return out.select("doc_id", "n_tokens", score.alias("log_score"), F.when(F.col("n_tokens") > 0, score / F.col("n_tokens")).alias("mean_log_score"))
+
+
+def corpus_scores(docs: DataFrame, *, key: str = "doc_id", text: str = "text", slices: int = SLICES) -> DataFrame:
+    """``scores`` of the corpus' own rows, each word's occurrence left out of the counts that score it."""
+    return scores(docs, docs, key=key, text=text, apart=True, slices=slices)

@@ -6,6 +6,7 @@ whole cluster shares (``spark.checkpoint.dir``).
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import weakref
@@ -48,3 +49,9 @@ def discard(*tables: DataFrame | None) -> None:
             context = table.sparkSession.sparkContext
             place = context._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Let the cluster delete the shuffle files of plans that nothing refers to any more, before the next large job."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

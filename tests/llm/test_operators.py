@@ -111,35 +111,65 @@ def test_components(spark):
 # language-model scores
 
 
-def test_scores(spark):
-    rows = [(1, "the cat sat on the mat"), (2, "the cat ran"), (3, "The\tcat sat"), *ODD, (4, "cat"), (4, prose(5, 400))]
-    words = [WORD.findall(lower(t)) for _, t in rows]
-    one = Counter(w for x in words for w in x)
-    two = Counter(p for x in words for p in zip(x, x[1:]))
-    total = sum(one.values())
-    own = [math.log(one[x[0]] / total) + sum(math.log(two[p] / one[p[0]]) for p in zip(x, x[1:])) if x else 0.0 for x in words]
-    found = sorted(((r["doc_id"], r["n_tokens"], round(r["log_score"], 6)) for r in ngrams.corpus_scores(table(spark, rows)).collect()), key=str)
-    assert found == sorted(((i, len(x), round(s, 6)) for (i, _), x, s in zip(rows, words, own)), key=str)
-    assert ngrams.corpus_scores(table(spark, [])).count() == 0
-
-
-def test_scores_without_hot_tables(spark, monkeypatch):
-    rows = [(k, prose(k, 60 + k)) for k in range(8)]
-    full = {r["doc_id"]: r["log_score"] for r in ngrams.corpus_scores(table(spark, rows)).collect()}
-    monkeypatch.setattr(ngrams, "HOT_WORDS", 5)
-    monkeypatch.setattr(ngrams, "HOT_PAIRS", 2)
-    for r in ngrams.corpus_scores(table(spark, rows)).collect():
-        assert r["log_score"] == pytest.approx(full[r["doc_id"]])
-
-
-def test_scores_step_back(spark):
-    corpus = [(1, "a b a b c")]
-    rows = [(1, "a b"), (2, "b a c"), (3, "c z"), (4, None)]
-    got = {r["doc_id"]: r["log_score"] for r in ngrams.scores(table(spark, rows), table(spark, corpus)).collect()}
-    assert got[1] == pytest.approx(math.log(2 / 5) + math.log(2 / 2))
-    assert got[2] == pytest.approx(math.log(2 / 5) + math.log(1 / 2) + math.log(0.4 * 1 / 5))
-    assert got[3] == pytest.approx(math.log(1 / 5) + math.log(0.4 * 1 / 5))
-    assert got[4] == 0
+def backoff(docs, corpus, apart):
+    """Each row's tokens and score by the published rule, with counts in dictionaries."""
+    split = lambda rows: [tuple(WORD.findall(lower(t))) for _, t in rows]
+    count = Counter(x[i : i + k] for x in split(corpus) for k in (1, 2, 3) for i in range(len(x) - k + 1))
+    own = int(apart)
+    total = sum(n for g, n in count.items() if len(g) == 1) - own
+
+    def score(gram):
+        if len(gram) == 1:
+            return max(count[gram] - own, 1) / max(total, 1)
+        if count[gram] > own:
+            return (count[gram] - own) / (count[gram[:-1]] - own)
+        return 0.4 * score(gram[1:])
+
+    return by_row((i, len(x), math.fsum(math.log(score(x[max(0, k - 2) : k + 1])) for k in range(len(x)))) for (i, _), x in zip(docs, split(docs)))
+
+
+def by_row(rows):
+    """Rows in order, their scores to be compared within rounding of sums."""
+    return [(i, n, pytest.approx(s, rel=1e-9, abs=1e-6)) for i, n, s in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2]))]
+
+
+def found_scores(frame):
+    rows = frame.collect()
+    assert all(r["mean_log_score"] == (pytest.approx(r["log_score"] / r["n_tokens"]) if r["n_tokens"] else None) for r in rows)
+    return sorted(((r["doc_id"], r["n_tokens"], r["log_score"]) for r in rows), key=lambda r: (str(r[0]), r[1], r[2]))
+
+
+SCORED = [(1, "the cat sat on the mat"), (2, "the cat ran"), (3, "The\tcat sat"), *ODD, (4, "cat"), (4, "cat cat cat cat"), (5, prose(5, 400)), (6, prose(5, 300) + " the cat sat on"), (7, "w1 w2 w3 " * 20_000)]
+
+
+@pytest.mark.parametrize("hot, slices", [(ngrams.HOT, 1), (0.001, 2), (1.1, 3)])
+def test_scores(spark, monkeypatch, hot, slices):
+    """All n-grams hot, some, and none; in slices whose number divides 2**64, and doesn't."""
+    monkeypatch.setattr(ngrams, "HOT", hot)
+    assert found_scores(ngrams.corpus_scores(table(spark, SCORED), slices=slices)) == backoff(SCORED, SCORED, True)
+
+
+def test_scores_of_other_documents(spark, monkeypatch):
+    corpus = [(1, "a b a b c"), (2, "a b c d"), (None, "b c a"), (3, None)]
+    rows = [(1, "a b"), (2, "b a c"), (3, "c z"), (4, None), (None, "a b c d"), (5, "z"), (6, "x y a b a"), (6, "x y a b a")]
+    for hot in (ngrams.HOT, 1.1):
+        monkeypatch.setattr(ngrams, "HOT", hot)
+        assert found_scores(ngrams.scores(table(spark, rows), table(spark, corpus), slices=2)) == backoff(rows, corpus, False)
+
+
+def test_scores_of_empty_tables(spark):
+    none = table(spark, [])
+    assert ngrams.corpus_scores(none, slices=1).count() == 0
+    assert ngrams.scores(none, table(spark, SCORED[:3]), slices=1).count() == 0
+    assert found_scores(ngrams.scores(table(spark, [(1, "a b"), (2, None)]), none, slices=1)) == backoff([(1, "a b"), (2, None)], [], False)
+
+
+def test_copies_score_apart(spark):
+    """Known n-grams are those that occur elsewhere, so a text that occurs twice scores higher than others."""
+    twice = prose(900, 200)
+    rows = [(k, prose(k, 200)) for k in range(20)] + [(100, twice), (101, twice)]
+    mean = {r["doc_id"]: r["mean_log_score"] for r in ngrams.corpus_scores(table(spark, rows), slices=1).collect()}
+    assert min(mean[100], mean[101]) > max(v for k, v in mean.items() if k < 100) + 1
 
 
 # decontamination
