@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,43 +74,84 @@ def _grams(words: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.nd
     return out
 
 
-def gram_counts(docs: DataFrame, order: int, *, text: str = "text", part: int = 0, parts: int = 1) -> DataFrame:
-    """``h, a, b, n``: how often each n-gram of ``order`` words occurs, with the hashes of its parts.
+def _buckets(words: int) -> int:
+    """The bits of a hash that name its bucket, so that a bucket stays small whatever the corpus."""
+    return max(12, (words // 50_000).bit_length())
 
-    Only n-grams whose hash falls into ``part`` of ``parts`` are counted.
+
+def _lists(h: np.ndarray, bits: int, *columns: pa.Array) -> list[pa.Array]:
+    """Sorted hashes' buckets, and the columns as one list for each bucket."""
+    bucket = h >> np.uint64(64 - bits)
+    cut = np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << 63)))
+    place = pa.array(np.append(cut, len(h)).astype(np.int32))
+    return [pa.array(bucket[cut].view(np.int64)), *(pa.ListArray.from_arrays(place, c) for c in columns)]
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def gram_counts(docs: DataFrame, *, text: str = "text", bits: int = 12, part: int = 0, parts: int = 1, least: int = 1) -> DataFrame:
+    """``size, h, a, b, n``: how often each n-gram of two and three words occurs, with the hashes of its parts.
+
+    Tasks combine what they count and send it in lists, one for a bucket of
+    hashes. Only buckets of ``part`` of ``parts`` are counted, and n-grams with
+    fewer than ``least`` occurrences left out.
     """
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], []]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for k, own in enumerate(held):
+                rows = np.concatenate(own, axis=1) if own else np.zeros((3, 0), np.uint64)
+                own.clear()
+                h, at, n = np.unique(rows[0], return_index=True, return_counts=True)
+                lists = _lists(h, bits, *(pa.array(x[at].view(np.int64)) for x in rows[1:]), pa.array(n.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lists[0]), k + 2, np.int32)), *lists], names=["size", "bucket", "a", "b", "n"])
+
+        for batch in batches:
+            for _, _, words, first in _hashed(batch.column(0), BATCH):
+                for own, (h, a, b, _) in zip(held, _grams(words, first)[1:]):
+                    good = (h >> np.uint64(64 - bits)) % np.uint64(parts) == part
+                    own.append(np.stack([h[good], a[good], b[good]]))
+                if sum(x.shape[1] for own in held for x in own) > COMBINE:
+                    yield from out()
+        yield from out()
+
+    def counted(rows: pa.Table) -> pa.Table:
+        a, b, n = (_flat(rows.column(c)) for c in ("a", "b", "n"))
+        h = _joined(a.view(np.uint64), b.view(np.uint64)).view(np.int64)
+        _, at, group = np.unique(h, return_index=True, return_inverse=True)
+        n = np.bincount(group, n, minlength=len(at)).astype(np.int64)
+        good = n >= least
+        at, n = at[good], n[good]
+        size = pa.array(np.full(len(at), rows.column("size")[0].as_py(), np.int32))
+        return pa.table([size, pa.array(h[at]), pa.array(a[at]), pa.array(b[at]), pa.array(n)], names=["size", "h", "a", "b", "n"])
+
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(each, "size int, bucket long, a array<long>, b array<long>, n array<int>")
+    return rows.groupBy("size", "bucket").applyInArrow(counted, "size int, h long, a long, b long, n long")
+
+
+def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """``h, n``: how often each word occurs, by hash."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            rows = np.concatenate(held, axis=1) if held else np.zeros((3, 0), np.uint64)
+            h, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
             held.clear()
-            _, at, n = np.unique(rows[0], return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in rows), pa.array(n.astype(np.int64))], names=["h", "a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
         for batch in batches:
-            for _, _, words, first in _hashed(batch.column(0), BATCH):
-                if not len(words):
-                    continue
-                h, a, b, _ = _grams(words, first)[order - 1]
-                own = h % np.uint64(parts) == part
-                held.append(np.stack([h[own], a[own], b[own]]))
-                if sum(x.shape[1] for x in held) > COMBINE:
+            for _, _, words, _ in _hashed(batch.column(0), BATCH):
+                held.append(words)
+                if sum(map(len, held)) > COMBINE:
                     yield out()
         yield out()
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(each, "h long, a long, b long, n long")
-    return rows.groupBy("h", "a", "b").agg(F.sum("n").alias("n"))
-
-
-def _counted(docs: DataFrame, order: int, text: str, least: int, slices: int) -> list[DataFrame]:
-    """The kept count table of ``order``, one slice after the other, without n-grams under ``least``."""
-    out = []
-    for part in range(slices):
-        out.append(kept(gram_counts(docs, order, text=text, part=part, parts=slices).where(F.col("n") >= least), f"ngrams-{order}"))
-        released(docs.sparkSession)
-    return out
+    return docs.select(F.col(text).alias("text")).mapInArrow(each, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
@@ -124,21 +166,25 @@ def gains(corpus: DataFrame, *, text: str = "text", apart: bool = False, slices:
     so an n-gram that occurs once is unknown.
     """
     own = int(apart)
-    one = _counted(corpus, 1, text, 1, 1)[0].select("h", "n")
+    one = kept(word_counts(corpus, text=text), "ngrams-counts")
     total = one.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     share = F.ln(F.greatest(F.col("n") - own, F.lit(1))) - float(np.log(max(1, total - own)))
     one = kept(one.select("h", "n", share.alias("g")), "ngrams-words")
-    two, three = (_counted(corpus, order, text, 1 + own, slices) for order in (2, 3))
+    counts = []
+    for part in range(slices):
+        counts.append(kept(gram_counts(corpus, text=text, bits=_buckets(total), part=part, parts=slices, least=1 + own), "ngrams-counts"))
+        released(corpus.sparkSession)
+    two, three = (_all(counts).where(F.col("size") == size) for size in (2, 3))
     step = float(np.log(BACKOFF))
     lead = one.select(F.col("h").alias("a"), F.ln(F.col("n") - own).alias("lead"))
     last = one.select(F.col("h").alias("b"), F.col("g").alias("last"))
     ratio = F.ln(F.col("n") - own) - F.col("lead")
-    pairs = _all(two).join(lead, "a").join(last, "b").select("h", "n", (ratio - step - F.col("last")).alias("g"), ratio.alias("r"))
+    pairs = two.join(lead, "a").join(last, "b").select("h", "n", (ratio - step - F.col("last")).alias("g"), ratio.alias("r"))
     pairs = kept(pairs, "ngrams-pairs")
     lead = pairs.select(F.col("h").alias("a"), F.ln(F.col("n") - own).alias("lead"))
     last = pairs.select(F.col("h").alias("b"), F.col("r").alias("last"))
-    triples = kept(_all(three).join(lead, "a").join(last, "b").select("h", "n", (ratio - step - F.col("last")).alias("g")), "ngrams-triples")
-    discard(*two, *three)
+    triples = kept(three.join(lead, "a").join(last, "b").select("h", "n", (ratio - step - F.col("last")).alias("g")), "ngrams-triples")
+    discard(*counts)
     released(corpus.sparkSession)
     return [one, pairs.select("h", "n", "g"), triples], total
 
@@ -154,6 +200,42 @@ def _found(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> tuple[np
     return known, np.where(known, gain[at], 0.0)
 
 
+def _empty(n: int, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], kind))
+
+
+def _sent(bucket: pa.Array, number: int, h: pa.Array, doc: pa.Array, ref: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([bucket, pa.array(np.full(len(bucket), number, np.int64)), h, doc, ref], names=["bucket", "batch", "h", "doc", "ref"])
+
+
+def _met(rows: pa.Table, table: pa.Table) -> pa.Table:
+    """A bucket's n-grams joined to its part of the tables, summed for each text; and the texts' names, where rows have them."""
+    names = ["batch", "doc", "ref", "g"]
+    kinds = [pa.int64(), pa.int16(), pa.int64(), pa.float64()]
+    if not len(rows):
+        return pa.table([pa.array([], kind) for kind in kinds], names=names)
+    named = rows.filter(pc.greater(pc.list_value_length(rows.column("ref")), 0))
+    owner = [np.repeat(named.column("batch").to_numpy(), pc.list_value_length(named.column("ref")).to_numpy())]
+    doc, ref = [_flat(named.column("doc"))], [_flat(named.column("ref"))]
+    gain = [np.zeros(len(doc[0]))]
+    grams = rows.filter(pc.equal(pc.list_value_length(rows.column("ref")), 0))
+    h = _flat(grams.column("h"))
+    if len(table) and len(h):
+        batch = np.repeat(np.arange(len(grams)), pc.list_value_length(grams.column("h")).to_numpy())
+        keys = table.column("h").to_numpy()
+        order = np.argsort(keys)
+        known, found = _found((keys[order], table.column("g").to_numpy()[order]), h)
+        code, group = np.unique(batch[known] * (1 << 15) + _flat(grams.column("doc"))[known], return_inverse=True)
+        owner.append(grams.column("batch").to_numpy()[code >> 15])
+        doc.append((code & ((1 << 15) - 1)).astype(np.int16))
+        gain.append(np.bincount(group, found[known], minlength=len(code)))
+    size = sum(map(len, doc))
+    refs = np.concatenate([*ref, np.zeros(size - len(ref[0]), np.int64)])
+    hole = np.arange(size) >= len(ref[0])
+    out = [pa.array(np.concatenate(owner)), pa.array(np.concatenate(doc), pa.int16()), pa.array(refs, mask=hole), pa.array(np.concatenate(gain))]
+    return pa.table(out, names=names)
+
+
 def scores(docs: DataFrame, corpus: DataFrame, *, key: str = "doc_id", text: str = "text", apart: bool = False, slices: int = SLICES) -> DataFrame:
     """``doc_id, n_tokens, log_score, mean_log_score`` of each row under the model of ``corpus``.
 
@@ -166,7 +248,8 @@ def scores(docs: DataFrame, corpus: DataFrame, *, key: str = "doc_id", text: str
     counts that score it, for documents that are part of the corpus.
 
     The gains of hot n-grams, a bounded number, are sent to the tasks; the others
-    meet their tables in joins by hash.
+    meet their tables in joins by hash: a bucket of hashes is one group, its
+    n-grams lists from many texts beside its rows of the tables.
 
     Defined cases: null and blank texts have 0 words, score 0 and a null mean; a
     null id keeps its row; rows that repeat id and text are scored alike; other
@@ -200,26 +283,42 @@ def scores(docs: DataFrame, corpus: DataFrame, *, key: str = "doc_id", text: str
                     names=["doc_id", "ref", "n_tokens", "base"],
                 )
 
+    bits = _buckets(total)
+
     def exploded(part: int):
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                refs = batch.column(0).to_numpy()
                 for lo, hi, words, first in _hashed(batch.column(1), BATCH):
-                    doc = np.repeat(refs[lo:hi], np.diff(first))
+                    doc = np.repeat(np.arange(hi - lo, dtype=np.int16), np.diff(first))
+                    grams, owners = [], []
                     for k, (h, _, _, place) in enumerate(_grams(words, first)):
-                        rest = np.flatnonzero((h % np.uint64(slices) == part) & ~_found(sent.value[k], h)[0])
-                        yield pa.RecordBatch.from_arrays([pa.array(h[rest].view(np.int64)), pa.array(doc[place[rest]])], names=["h", "ref"])
+                        rest = np.flatnonzero(((h >> np.uint64(64 - bits)) % np.uint64(slices) == part) & ~_found(sent.value[k], h)[0])
+                        grams.append(h[rest])
+                        owners.append(doc[place[rest]])
+                    h = np.concatenate(grams)
+                    order = np.argsort(h)
+                    h, own = h[order], np.concatenate(owners)[order]
+                    refs = batch.column(0).slice(lo, hi - lo)
+                    # named by its rows, so that a task that is run again names it alike
+                    number = int(arrays.mixed(refs.to_numpy().view(np.uint64) + np.arange(hi - lo, dtype=np.uint64)).sum().view(np.int64))
+                    bucket, *lists = _lists(h, bits, pa.array(h.view(np.int64)), pa.array(own))
+                    yield _sent(bucket, number, *lists, _empty(len(bucket), pa.int64()))
+                    one = pa.array([0, hi - lo], pa.int32())
+                    docs_own = pa.ListArray.from_arrays(one, pa.array(np.arange(hi - lo, dtype=np.int16)))
+                    yield _sent(pa.array([number % (1 << bits)]), number, _empty(1, pa.int64()), docs_own, pa.ListArray.from_arrays(one, refs))
 
         return each
 
     # a word that isn't hot has its share of ``unknown`` in the base already
     cold = [t.where(F.col("n") < HOT * total).select("h", (F.col("g") - (unknown if not k else 0.0)).alias("g")) for k, t in enumerate(tables)]
+    cold = _all(cold).select(F.shiftrightunsigned("h", 64 - bits).alias("bucket"), "h", "g")
     sums = []
     for part in range(slices):
-        # as the slices of ``gram_counts``: the remainder of the unsigned hash
-        own = _all(cold).where(F.pmod(F.pmod("h", F.lit(slices)) + F.when(F.col("h") < 0, (1 << 64) % slices).otherwise(0), F.lit(slices)) == part)
-        rows = texts.select("ref", "text").mapInArrow(exploded(part), "h long, ref long")
-        sums.append(kept(rows.join(own, "h").groupBy("ref").agg(F.sum("g").alias("g")), "ngrams-sums"))
+        rows = texts.select("ref", "text").mapInArrow(exploded(part), "bucket long, batch long, h array<long>, doc array<smallint>, ref array<long>")
+        own = cold.where(F.pmod("bucket", F.lit(slices)) == part)
+        met = rows.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(_met, "batch long, doc smallint, ref long, g double")
+        met = met.groupBy("batch", "doc").agg(F.max("ref").alias("ref"), F.sum("g").alias("g"))
+        sums.append(kept(met.groupBy("ref").agg(F.sum("g").alias("g")), "ngrams-sums"))
         released(spark)
     discard(*tables)
     base = kept(texts.mapInArrow(bases, "doc_id long, ref long, n_tokens long, base double"), "ngrams-bases")
