@@ -166,10 +166,11 @@ def gains(corpus: DataFrame, *, text: str = "text", apart: bool = False, slices:
     so an n-gram that occurs once is unknown.
     """
     own = int(apart)
-    one = kept(word_counts(corpus, text=text), "ngrams-counts")
-    total = one.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    words = kept(word_counts(corpus, text=text), "ngrams-counts")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     share = F.ln(F.greatest(F.col("n") - own, F.lit(1))) - float(np.log(max(1, total - own)))
-    one = kept(one.select("h", "n", share.alias("g")), "ngrams-words")
+    one = kept(words.select("h", "n", share.alias("g")), "ngrams-words")
+    discard(words)
     counts = []
     for part in range(slices):
         counts.append(kept(gram_counts(corpus, text=text, bits=_buckets(total), part=part, parts=slices, least=1 + own), "ngrams-counts"))
