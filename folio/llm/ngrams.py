@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import arrays
-from folio.llm.store import discard, kept, released
+from folio.llm.store import discard, kept
 
 #: The factor for each step back, as published.
 BACKOFF = 0.4
@@ -57,8 +57,8 @@ def _inner(size: int, first: np.ndarray) -> np.ndarray:
     return inner
 
 
-def _grams(words: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For one, two and three words: hash, the hashes of its first and last part, and the place of its first word.
+def _grams(words: np.ndarray, first: np.ndarray, most: int = 3) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For one, two and three words (``most`` at most): hash, the hashes of its first and last part, and the place of its first word.
 
     The parts of a pair are its words, those of a triple its pairs.
     """
@@ -68,6 +68,7 @@ def _grams(words: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.nd
         good = _inner(len(words), first)
         both = _joined(words[:-1], words[1:])
         out.append((both[good], words[:-1][good], words[1:][good], place[:-1][good]))
+    if len(words) and most > 2:
         wide = good[:-1] & good[1:]
         a, b = both[:-1][wide], both[1:][wide]
         out.append((_joined(a, b), a, b, place[: max(0, len(words) - 2)][wide]))
@@ -91,8 +92,8 @@ def _flat(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
 
-def gram_counts(docs: DataFrame, *, text: str = "text", bits: int = 12, part: int = 0, parts: int = 1, least: int = 1) -> DataFrame:
-    """``size, h, a, b, n``: how often each n-gram of two and three words occurs, with the hashes of its parts.
+def gram_counts(docs: DataFrame, size: int, *, text: str = "text", bits: int = 12, part: int = 0, parts: int = 1, least: int = 1) -> DataFrame:
+    """``h, a, b, n``: how often each n-gram of two or three words (``size``) occurs, with the hashes of its parts.
 
     Tasks combine what they count and send it in lists, one for a bucket of
     hashes. Only buckets of ``part`` of ``parts`` are counted, and n-grams with
@@ -100,24 +101,23 @@ def gram_counts(docs: DataFrame, *, text: str = "text", bits: int = 12, part: in
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
+        held: list[np.ndarray] = []
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for k, own in enumerate(held):
-                rows = np.concatenate(own, axis=1) if own else np.zeros((3, 0), np.uint64)
-                own.clear()
-                h, at, n = np.unique(rows[0], return_index=True, return_counts=True)
-                lists = _lists(h, bits, *(pa.array(x[at].view(np.int64)) for x in rows[1:]), pa.array(n.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lists[0]), k + 2, np.int32)), *lists], names=["size", "bucket", "a", "b", "n"])
+        def out() -> pa.RecordBatch:
+            rows = np.concatenate(held, axis=1) if held else np.zeros((3, 0), np.uint64)
+            held.clear()
+            h, at, n = np.unique(rows[0], return_index=True, return_counts=True)
+            lists = _lists(h, bits, *(pa.array(x[at].view(np.int64)) for x in rows[1:]), pa.array(n.astype(np.int32)))
+            return pa.RecordBatch.from_arrays(lists, names=["bucket", "a", "b", "n"])
 
         for batch in batches:
             for _, _, words, first in _hashed(batch.column(0), BATCH):
-                for own, (h, a, b, _) in zip(held, _grams(words, first)[1:]):
+                for h, a, b, _ in _grams(words, first, size)[size - 1 :]:
                     good = (h >> np.uint64(64 - bits)) % np.uint64(parts) == part
-                    own.append(np.stack([h[good], a[good], b[good]]))
-                if sum(x.shape[1] for own in held for x in own) > COMBINE:
-                    yield from out()
-        yield from out()
+                    held.append(np.stack([h[good], a[good], b[good]]))
+                if sum(x.shape[1] for x in held) > COMBINE:
+                    yield out()
+        yield out()
 
     def counted(rows: pa.Table) -> pa.Table:
         a, b, n = (_flat(rows.column(c)) for c in ("a", "b", "n"))
@@ -126,11 +126,10 @@ def gram_counts(docs: DataFrame, *, text: str = "text", bits: int = 12, part: in
         n = np.bincount(group, n, minlength=len(at)).astype(np.int64)
         good = n >= least
         at, n = at[good], n[good]
-        size = pa.array(np.full(len(at), rows.column("size")[0].as_py(), np.int32))
-        return pa.table([size, pa.array(h[at]), pa.array(a[at]), pa.array(b[at]), pa.array(n)], names=["size", "h", "a", "b", "n"])
+        return pa.table([pa.array(h[at]), pa.array(a[at]), pa.array(b[at]), pa.array(n)], names=["h", "a", "b", "n"])
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(each, "size int, bucket long, a array<long>, b array<long>, n array<int>")
-    return rows.groupBy("size", "bucket").applyInArrow(counted, "size int, h long, a long, b long, n long")
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(each, "bucket long, a array<long>, b array<long>, n array<int>")
+    return rows.groupBy("bucket").applyInArrow(counted, "h long, a long, b long, n long")
 
 
 def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -158,12 +157,14 @@ def _all(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, tables)
 
 
-def gains(corpus: DataFrame, *, text: str = "text", apart: bool = False, slices: int = SLICES) -> tuple[list[DataFrame], int]:
-    """For one to three words a kept table ``h, n, g``, and the number of words.
+def gains(corpus: DataFrame, *, text: str = "text", apart: bool = False, slices: int = SLICES) -> tuple[list[list[DataFrame]], int]:
+    """For one to three words kept tables ``h, n, g``, one for a slice of hashes, and the number of words.
 
     ``g`` is what a known n-gram adds to a logarithmic score in place of its step
     back. With ``apart``, counts are those without the occurrence that is scored,
-    so an n-gram that occurs once is unknown.
+    so an n-gram that occurs once is unknown. Pairs' tables have their score ``r``
+    besides. A slice is counted and joined before the next, and pairs, which are
+    fewer, take half the slices.
     """
     own = int(apart)
     words = kept(word_counts(corpus, text=text), "ngrams-counts")
@@ -171,23 +172,22 @@ def gains(corpus: DataFrame, *, text: str = "text", apart: bool = False, slices:
     share = F.ln(F.greatest(F.col("n") - own, F.lit(1))) - float(np.log(max(1, total - own)))
     one = kept(words.select("h", "n", share.alias("g")), "ngrams-words")
     discard(words)
-    counts = []
-    for part in range(slices):
-        counts.append(kept(gram_counts(corpus, text=text, bits=_buckets(total), part=part, parts=slices, least=1 + own), "ngrams-counts"))
-        released(corpus.sparkSession)
-    two, three = (_all(counts).where(F.col("size") == size) for size in (2, 3))
     step = float(np.log(BACKOFF))
-    lead = one.select(F.col("h").alias("a"), F.ln(F.col("n") - own).alias("lead"))
-    last = one.select(F.col("h").alias("b"), F.col("g").alias("last"))
     ratio = F.ln(F.col("n") - own) - F.col("lead")
-    pairs = two.join(lead, "a").join(last, "b").select("h", "n", (ratio - step - F.col("last")).alias("g"), ratio.alias("r"))
-    pairs = kept(pairs, "ngrams-pairs")
-    lead = pairs.select(F.col("h").alias("a"), F.ln(F.col("n") - own).alias("lead"))
-    last = pairs.select(F.col("h").alias("b"), F.col("r").alias("last"))
-    triples = kept(three.join(lead, "a").join(last, "b").select("h", "n", (ratio - step - F.col("last")).alias("g")), "ngrams-triples")
-    discard(*counts)
-    released(corpus.sparkSession)
-    return [one, pairs.select("h", "n", "g"), triples], total
+
+    def gained(size: int, parts: int, below: DataFrame, score: str) -> list[DataFrame]:
+        lead = below.select(F.col("h").alias("a"), F.ln(F.col("n") - own).alias("lead"))
+        last = below.select(F.col("h").alias("b"), F.col(score).alias("last"))
+        out = []
+        for part in range(parts):
+            counts = kept(gram_counts(corpus, size, text=text, bits=_buckets(total), part=part, parts=parts, least=1 + own), "ngrams-counts")
+            joined = counts.join(lead, "a").join(last, "b").select("h", "n", (ratio - step - F.col("last")).alias("g"), ratio.alias("r"))
+            out.append(kept(joined if size == 2 else joined.drop("r"), "ngrams-gains"))
+            discard(counts)
+        return out
+
+    pairs = gained(2, max(1, slices // 2), one, "g")
+    return [[one], pairs, gained(3, slices, _all(pairs), "r")], total
 
 
 def _found(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +257,8 @@ def scores(docs: DataFrame, corpus: DataFrame, *, key: str = "doc_id", text: str
     columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    tables, total = gains(corpus, text=text, apart=apart, slices=slices)
+    held, total = gains(corpus, text=text, apart=apart, slices=slices)
+    tables = [_all(parts).select("h", "n", "g") for parts in held]
     hot = []
     for table in tables:
         top = table.where(F.col("n") >= HOT * total).select("h", "g").toArrow()  # 1 / HOT rows at most
@@ -320,8 +321,8 @@ def scores(docs: DataFrame, corpus: DataFrame, *, key: str = "doc_id", text: str
         met = rows.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(_met, "batch long, doc smallint, ref long, g double")
         met = met.groupBy("batch", "doc").agg(F.max("ref").alias("ref"), F.sum("g").alias("g"))
         sums.append(kept(met.groupBy("ref").agg(F.sum("g").alias("g")), "ngrams-sums"))
-        released(spark)
-    discard(*tables)
+    for parts in held:
+        discard(*parts)
     base = kept(texts.mapInArrow(bases, "doc_id long, ref long, n_tokens long, base double"), "ngrams-bases")
     times = base.groupBy("ref").agg(F.count("*").alias("times"))
     added = _all(sums).groupBy("ref").agg(F.sum("g").alias("g")).join(times, "ref").select("ref", (F.col("g") / F.col("times")).alias("g"))

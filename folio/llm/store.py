@@ -6,13 +6,15 @@ whole cluster shares (``spark.checkpoint.dir``).
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Has Spark delete the shuffle files of a query when it ends, rather than when the driver's memory is next cleared.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local: dict[str, str] = {}
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -32,10 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the written table."""
+    """Write ``df`` once and return the written table; the shuffle files of the write go with its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    own = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if own is None else spark.conf.set(CLEANUP, own)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
@@ -49,9 +56,3 @@ def discard(*tables: DataFrame | None) -> None:
             context = table.sparkSession.sparkContext
             place = context._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def released(spark: SparkSession) -> None:
-    """Let the cluster delete the shuffle files of plans that nothing refers to any more, before the next large job."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
