@@ -27,7 +27,7 @@ BACKOFF = 0.4
 HOT = 1 / (1 << 18)
 
 #: N-grams are counted and joined in so many slices of their hashes, one after the other, to bound the disk in use.
-SLICES = 4
+SLICES = 3
 
 #: Text of a batch in bytes; n-grams that are combined before they leave a task.
 BATCH, COMBINE = 2 << 20, 1_500_000
@@ -181,7 +181,8 @@ def gains(corpus: DataFrame, *, text: str = "text", apart: bool = False, slices:
         out = []
         for part in range(parts):
             counts = kept(gram_counts(corpus, size, text=text, bits=_buckets(total), part=part, parts=parts, least=1 + own), "ngrams-counts")
-            joined = counts.join(lead, "a").join(last, "b").select("h", "n", (ratio - step - F.col("last")).alias("g"), ratio.alias("r"))
+            # the parts' tables have each hash once, so they are dealt evenly and need no sorting
+            joined = counts.join(lead.hint("shuffle_hash"), "a").join(last.hint("shuffle_hash"), "b").select("h", "n", (ratio - step - F.col("last")).alias("g"), ratio.alias("r"))
             out.append(kept(joined if size == 2 else joined.drop("r"), "ngrams-gains"))
             discard(counts)
         return out
