@@ -88,6 +88,13 @@ def _lists(h: np.ndarray, bits: int, *columns: pa.Array) -> list[pa.Array]:
     return [pa.array(bucket[cut].view(np.int64)), *(pa.ListArray.from_arrays(place, c) for c in columns)]
 
 
+def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts hashes, and where each distinct one begins in it."""
+    order = np.argsort(h)
+    own = h[order]
+    return order, np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+
+
 def _flat(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
@@ -106,8 +113,9 @@ def gram_counts(docs: DataFrame, size: int, *, text: str = "text", bits: int = 1
         def out() -> pa.RecordBatch:
             rows = np.concatenate(held, axis=1) if held else np.zeros((3, 0), np.uint64)
             held.clear()
-            h, at, n = np.unique(rows[0], return_index=True, return_counts=True)
-            lists = _lists(h, bits, *(pa.array(x[at].view(np.int64)) for x in rows[1:]), pa.array(n.astype(np.int32)))
+            order, first = _groups(rows[0])
+            at, n = order[first], np.diff(first, append=len(order))
+            lists = _lists(rows[0][at], bits, *(pa.array(x[at].view(np.int64)) for x in rows[1:]), pa.array(n.astype(np.int32)))
             return pa.RecordBatch.from_arrays(lists, names=["bucket", "a", "b", "n"])
 
         for batch in batches:
@@ -122,10 +130,10 @@ def gram_counts(docs: DataFrame, size: int, *, text: str = "text", bits: int = 1
     def counted(rows: pa.Table) -> pa.Table:
         a, b, n = (_flat(rows.column(c)) for c in ("a", "b", "n"))
         h = _joined(a.view(np.uint64), b.view(np.uint64)).view(np.int64)
-        _, at, group = np.unique(h, return_index=True, return_inverse=True)
-        n = np.bincount(group, n, minlength=len(at)).astype(np.int64)
+        order, first = _groups(h)
+        n = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
         good = n >= least
-        at, n = at[good], n[good]
+        at, n = order[first][good], n[good]
         return pa.table([pa.array(h[at]), pa.array(a[at]), pa.array(b[at]), pa.array(n)], names=["h", "a", "b", "n"])
 
     rows = docs.select(F.col(text).alias("text")).mapInArrow(each, "bucket long, a array<long>, b array<long>, n array<int>")
@@ -295,7 +303,8 @@ def scores(docs: DataFrame, corpus: DataFrame, *, key: str = "doc_id", text: str
                     doc = np.repeat(np.arange(hi - lo, dtype=np.int16), np.diff(first))
                     grams, owners = [], []
                     for k, (h, _, _, place) in enumerate(_grams(words, first)):
-                        rest = np.flatnonzero(((h >> np.uint64(64 - bits)) % np.uint64(slices) == part) & ~_found(sent.value[k], h)[0])
+                        own = np.flatnonzero((h >> np.uint64(64 - bits)) % np.uint64(slices) == part)
+                        rest = own[~_found(sent.value[k], h[own])[0]]
                         grams.append(h[rest])
                         owners.append(doc[place[rest]])
                     h = np.concatenate(grams)
