@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import decontaminate, language, linededup, minhash, neighbours, ngrams, packing, secrets, sharding, toxicity
+from folio.llm import decontaminate, filters, language, linededup, minhash, neighbours, ngrams, packing, secrets, sharding, toxicity, whitening
 from folio.llm.ship import ship
 
 
@@ -73,6 +73,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_minhash_dedup,
@@ -85,6 +94,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_dedup,
         op9_jump_sharding,
         op10_toxicity,
+        op11_filter_audit,
+        op13_whitening,
     )
     return {f.__name__: f for f in found}
 
@@ -95,6 +106,26 @@ fine as (select * from v where vec_id is not null and e is not null and len(list
 s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e) as score from fine q join fine c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 20 = 0)
 select query_id, cast(row_number() over w as integer) as rank, vec_id, score from s window w as (partition by query_id order by score desc, vec_id) qualify row_number() over w <= 20"""
 
+#: Every row's failed filters as bits, then for each part, order and step the rows by what they fail before.
+_AUDIT = r"""with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, min(doc_id) over (partition by t) as least from d),
+m as (select doc_id, part, (case when len(ws) < 50 then 1 else 0 end) + (case when 100 * len(list_distinct(ws)) < 65 * len(ws) then 2 else 0 end) + (case when 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) then 4 else 0 end) + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end) + (case when doc_id > least then 16 else 0 end) as failed from w),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+c as (select part, failed, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from m left join l using (doc_id) group by part, failed),
+f as (select unnest([0, 1, 2, 3, 4]) as x),
+o as (select [a.x, b.x, c.x, d.x, e.x] as xs from f a, f b, f c, f d, f e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select list_aggregate(list_transform(xs, lambda x: chr(65 + x)), 'string_agg', '') as filter_order, i.x + 1 as step, 1 << xs[i.x + 1] as bit, coalesce(list_sum(list_transform(xs[1:i.x], lambda x: 1 << x)), 0)::bigint as before from o, f i),
+v as (select part, bit, sum(case when failed & bit > 0 then n * 120 // bit_count(failed) else 0 end) as shapley from c, (select distinct bit from s) group by part, bit)
+select part, filter_order, step::integer as step,
+sum(case when failed & (before | bit) = 0 then n else 0 end)::bigint as kept,
+sum(case when failed & before = 0 and failed & bit > 0 then n else 0 end)::bigint as removed,
+sum(case when failed & before > 0 and failed & bit > 0 then n else 0 end)::bigint as redundant,
+sum(case when failed = bit then n else 0 end)::bigint as unique_fails,
+sum(case when failed & before = 0 and failed & bit > 0 then good else 0 end)::bigint as good_lost,
+sum(case when failed & before = 0 and failed & bit > 0 then toxic else 0 end)::bigint as toxic_lost,
+max(shapley)::bigint as shapley
+from c join v using (part) join s using (bit) group by part, filter_order, step"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_nearest_neighbours": _NEAREST}
+    return {"op4_nearest_neighbours": _NEAREST, "op11_filter_audit": _AUDIT}

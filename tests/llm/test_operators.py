@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import arrays, components, decontaminate, language, linededup, minhash, neighbours, ngrams, packing, secrets, sharding, subword, toxicity
+from folio.llm import arrays, components, decontaminate, filters, language, linededup, minhash, neighbours, ngrams, packing, secrets, sharding, subword, toxicity, whitening
 from folio.llm.queries import tokenizer_path
 from folio.llm.ship import ship
 
@@ -593,3 +593,101 @@ def test_shards(spark):
     want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
     assert sharding.shard(table(spark, []), 24).count() == 0
+
+
+# filter audit
+
+
+def audited(rows, labels):
+    """Every order played out over the rows, one after the other."""
+    from itertools import permutations
+
+    quality, toxic = ({i for i, q, t in labels if i is not None and (q, t)[k] == 1} for k in (0, 1))
+    parts = defaultdict(list)
+    for i, text, source in rows:
+        t = text or ""
+        w = WORD.findall(t)
+        failed = set("A" * (len(w) < 50) + "B" * (100 * len(set(w)) < 65 * len(w)) + "C" * (100 * len(re.findall("[A-Z]", t)) > 5 * len(t)) + "D" * bool(re.search("[#$%&*|]", t)))
+        if i is not None and any(j is not None and j < i and (u or "") == t for j, u, _ in rows):
+            failed.add("E")
+        parts[source or ""].append((i, failed))
+    out, removed_in_all = {}, Counter()
+    for part, own in parts.items():
+        for order in permutations("ABCDE"):
+            left, gone = own, []
+            for step, f in enumerate(order, 1):
+                hit, left = [x for x in left if f in x[1]], [x for x in left if f not in x[1]]
+                removed_in_all[part, f] += len(hit)
+                out[part, "".join(order), step] = [len(left), len(hit), sum(f in x[1] for x in gone), sum(x[1] == {f} for x in own), sum(x[0] in quality for x in hit), sum(x[0] in toxic for x in hit)]
+                gone += hit
+    return {k: (*v, removed_in_all[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
+
+
+def test_filter_audit(spark):
+    rng = np.random.default_rng(5)
+    long = prose(31, 80)
+    rows = [(i, t, "odd") for i, t in ODD] + [(1, long, None), (2, long, ""), (3, long, "b"), (3, long, "b"), (3, "A" + long, "b"), (4, "x y " * 40 + "#", "b"), (None, long, "b")]
+    for k in range(60):
+        words = rng.choice(prose(32, 40).split(), rng.integers(1, 120))
+        words[:: int(rng.integers(2, 30))] = rng.choice(["NOISE", "a|b", " ", "é", "50%"])
+        rows.append((int(rng.integers(10, 50)), " ".join(words), rng.choice(["", "b", "c"])))
+    labels = [(k, int(rng.integers(0, 2)), int(rng.integers(0, 2))) for k in range(1, 50, 2)] + [(1, 1, 1), (3, None, None), (None, 1, 1), (900, 1, 0), (901, None, 1)]
+    docs = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, source string, word string, n int").repartition(3)
+    marks = spark.createDataFrame([(*r, 1) for r in labels], "doc_id long, quality int, toxic int, n int")
+    found = filters.audit(docs, marks)
+    assert {(r["part"], r["filter_order"], r["step"]): tuple(r)[3:] for r in found.collect()} == audited(rows, labels)
+    assert filters.audit(docs.limit(0), marks).count() == 0
+    assert {r["good_lost"] for r in filters.audit(docs, marks.limit(0)).collect()} == {0}
+
+
+def test_words_of_repeated_rows_and_long_texts(spark):
+    rows = [(1, "a b a")] * 50 + [(2, "a b a")] + [(3, " ".join(f"w{k}" for k in range(300_000)) + " w0")]
+    docs = filters.rows(table(spark, rows).withColumn("source", F.lit("s")).repartition(5))
+    found = Counter((r["words"], r["different"]) for r in filters.word_counts(docs).collect())
+    assert found == {(3, 2): 2, (300_001, 300_000): 1}
+
+
+# whitening
+
+
+def vector_table(spark, rows):
+    return spark.createDataFrame([(i, v, "x", 3) for i, v in rows], "vec_id long, embedding array<double>, dim string, n int")
+
+
+@pytest.mark.parametrize("merge_bytes, block", [(64 << 20, 4096), (1, 1)])
+def test_whitening(spark, monkeypatch, merge_bytes, block):
+    monkeypatch.setattr(whitening, "MERGE_BYTES", merge_bytes)
+    monkeypatch.setattr(whitening, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    data = rng.normal(0, 1, (700, 11)) * np.geomspace(1, 0.02, 11) + 3
+    data[::3] = data[0]  # a third of all rows are copies
+    rows = [(k, v.tolist()) for k, v in enumerate(data)]
+    odd = [(-1, None), (-2, [1.0] * 10 + [None]), (-3, [1.0] * 10 + [math.nan]), (-4, [math.inf] + [1.0] * 10), (-5, [1e300] + [1.0] * 10), (-6, [])]
+    found = whitening.whiten(vector_table(spark, rows + odd).repartition(9)).collect()
+    x = np.floor(data * 1024).astype(np.int64) + 100_000
+    n, total = len(x), x.sum(axis=0)
+    centred = x - total / n
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    assert len(found) == 8 * n and {r["vec_id"] for r in found} == set(range(n))
+    out = np.zeros((n, 8))
+    for r in found:
+        k = r["component"] - 1
+        out[r["vec_id"], k] = r["whitened"]
+        assert r["n"] == n and r["deviation"] == ((n * x[r["vec_id"]] - total) ** 2).sum()
+        assert abs(r["explained"] - values[k] / values.sum()) < 1e-9 and r["identity_error"] < 1e-9
+    expected = centred @ vectors[:, :8] / np.sqrt(values[:8])
+    assert np.abs(np.abs(out) - np.abs(expected)).max() < 1e-7
+    assert np.abs(np.abs((out * expected).mean(axis=0)) - 1).max() < 1e-9  # one sign for all rows
+
+
+def test_whitening_defined_cases(spark):
+    assert whitening.whiten(vector_table(spark, [])).count() == 0
+    rows = [(1, [2.0, 5.0]), (1, [4.0, 5.0]), (None, [2.0, 5.0]), (7, [9.0]), (8, [2.0**51] * 3), (9, [0.0, 1.0, 2.0])]
+    found = whitening.whiten(vector_table(spark, rows)).collect()
+    two = [r for r in found if r["n"] == 3]
+    assert len(two) == 6 and {(r["component"], r["whitened"] is None, r["explained"]) for r in two} == {(1, False, 1.0), (2, True, 0.0)}
+    assert sorted(round(abs(r["whitened"]), 9) for r in two if r["component"] == 1) == [round(0.5**0.5, 9)] * 2 + [round(2**0.5, 9)]
+    one = [r for r in found if r["n"] == 1]
+    assert [(r["vec_id"], r["whitened"], r["deviation"], r["identity_error"]) for r in one] == [(7, None, 0, 0.0)]
+    assert {r["deviation"] for r in found if r["n"] == 2} == {None}  # 2^124
