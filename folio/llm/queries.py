@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import decontaminate, filters, language, linededup, minhash, neighbours, ngrams, packing, secrets, sharding, toxicity, whitening
+from folio.llm import decontaminate, filters, language, linededup, minhash, neighbours, ngrams, packing, pii, secrets, sharding, toxicity, whitening
 from folio.llm.ship import ship
 
 
@@ -77,6 +77,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(docs, pii.fit(docs))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
@@ -95,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_jump_sharding,
         op10_toxicity,
         op11_filter_audit,
+        op12_pii_crf,
         op13_whitening,
     )
     return {f.__name__: f for f in found}

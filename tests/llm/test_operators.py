@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import arrays, components, decontaminate, filters, language, linededup, minhash, neighbours, ngrams, packing, secrets, sharding, subword, toxicity, whitening
+from folio.llm import arrays, components, decontaminate, filters, language, linededup, minhash, neighbours, ngrams, packing, pii, secrets, sharding, subword, toxicity, whitening
 from folio.llm.queries import tokenizer_path
 from folio.llm.ship import ship
 
@@ -691,3 +691,113 @@ def test_whitening_defined_cases(spark):
     one = [r for r in found if r["n"] == 1]
     assert [(r["vec_id"], r["whitened"], r["deviation"], r["identity_error"]) for r in one] == [(7, None, 0, 0.0)]
     assert {r["deviation"] for r in found if r["n"] == 2} == {None}  # 2^124
+
+
+# personal data
+
+
+def plain_base(text):
+    """The contract's patterns as they stand."""
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    digits = lambda m: [int(c) for c in m[0] if c.isdigit()]
+    luhn = lambda d: sum(x if k % 2 == 0 else sum(map(int, str(2 * x))) for k, x in enumerate(reversed(d))) % 10 == 0
+    out = [(m.start(), 0, m.end()) for m in email.finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in ip.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in card.finditer(text) if 12 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    out += [(m.start(), 3, m.end()) for m in phone.finditer(text) if 9 <= len(digits(m)) <= 15]
+    return sorted(out)
+
+
+def test_base_spans_are_the_patterns_matches():
+    rng = np.random.default_rng(11)
+    pieces = ["a", "Z9", "@", ".", "-", "+", "_", " ", "(", ")", "é", "\n", "1", "25", "300", "0255", "4111 1111 1111 1111", "4111111111111112", "+1 (487) 555-7209", "10.0.0.1", "a@b.c", "x.y@b-c.de"]
+    for _ in range(6000):
+        text = "".join(rng.choice(pieces, rng.integers(1, 14)))
+        assert pii.base_spans(text) == plain_base(text), text
+
+
+def labellings(field, features):
+    """All labellings of one sequence with their scores."""
+    from itertools import product
+
+    each = field.emissions(features)
+    for labels in product(range(len(pii.LABELS)), repeat=len(features)):
+        path = (0, *labels, 0)
+        yield labels, sum(each[k, x] for k, x in enumerate(labels)) + sum(field.links[a, b] for a, b in zip(path, path[1:]))
+
+
+def test_field_agrees_with_all_labellings():
+    rng = np.random.default_rng(12)
+    n = len(pii.LABELS)
+    field = pii.Field(rng.normal(0, 1, (1 << pii.BITS, n)), rng.normal(0, 1, (n, n)) + pii.possible())
+    borders = np.array([0, 3, 4, 8, 10])
+    features = rng.integers(0, 1 << pii.BITS, (10, 5))
+    found = field.decode(pii.Words(None, None, borders, None, features))
+    p, pairs, total = field.marginals(features, borders)
+    sums, expected, counts = 0.0, np.zeros((10, n)), np.zeros((n, n))
+    for a, b in zip(borders, borders[1:]):
+        all_of = list(labellings(field, features[a:b]))
+        assert tuple(found[a:b]) == max(all_of, key=lambda x: x[1])[0]
+        weight = np.exp([s for _, s in all_of])
+        sums += np.log(weight.sum())
+        for (labels, _), w in zip(all_of, weight / weight.sum()):
+            for k, x in enumerate(labels):
+                expected[a + k, x] += w
+            path = (0, *labels, 0)
+            for x, y in zip(path, path[1:]):
+                counts[x, y] += w
+    assert np.allclose(p, expected) and np.allclose(pairs, counts) and np.isclose(total, sums)
+
+
+def test_examples_are_marked_where_they_say():
+    text, spans = pii.marked("call <phone>030 12</phone> or <email>a(at)b.c</email>")
+    assert text == "call 030 12 or a(at)b.c" and spans == [(5, 3, 11), (15, 0, 23)]
+
+
+@pytest.fixture(scope="module")
+def field(spark, shipped):
+    return pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_field_finds_what_patterns_find_and_more(spark, field):
+    """On documents that took no part in the fit, and on forms that no pattern covers."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id >= 2000").select("text").collect()]
+    base = hit = more = 0
+    data, at = arrays.text_buffers(pa.array(texts))
+    found = pii.field_spans(field, data, at)
+    for k, text in enumerate(texts):
+        own, mine = pii.base_spans(text or ""), sorted(found.get(k, []))
+        base, hit, more = base + len(own), hit + len(set(own) & set(mine)), more + len(pii.apart(own, mine))
+    assert base > 300 and hit >= 0.98 * base and more <= 0.03 * base
+    new = {"Please call (646) 555-0177 today": "(646) 555-0177", "mobile: 0160 5551234": "0160 5551234", "write to tom.smith(at)example.org!": "tom.smith(at)example.org", "ip 2001:db8:abcd::42 down": "2001:db8:abcd::42", "card 4929.1234.5678.9012 ok": "4929.1234.5678.9012"}
+    clean = ["on 2023-11-05 at 09:15", "price 12.99 or 1,200", "version 10.4.2 build 77", "pages 3-9", "ISBN 978-0-306-40615-7", "a (b) [c] + d"]
+    data, at = arrays.text_buffers(pa.array([*new, *clean]))
+    found = pii.field_spans(field, data, at)
+    assert {k: [t[a:b] for a, _, b in found.get(k, [])] for k, t in enumerate([*new, *clean])} == {k: [x] for k, x in enumerate(new.values())} | {k + len(new): [] for k in range(len(clean))}
+
+
+def test_personal_data(spark, field):
+    texts = [t for _, t in ODD] + [
+        "é 10.0.0.1, a@b.c\n+1 (487) 555-7209",
+        "two 4736962573099581 4550997810720808 cards",  # one chain of digits for the pattern, two words for the field
+        "tel. (646) 555-0177",
+        "x" * 400_000 + " a@b.cd " + "9" * 400_000 + "@" * 1000 + " 1" * 100_000,
+    ]
+    rows = [(i if i is not None else None, t) for i, t in ODD] + [(2000 + k, t) for k, t in enumerate(texts[len(ODD) :])]
+    got = pii.digest(table(spark, rows + rows[-2:-1]), field).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter([i for i, _ in rows] + [2002])
+    by = {r["doc_id"]: r for r in got}
+    for i, t in rows:
+        own = plain_base(t or "") if len(t or "") < 1000 else [(400_001, 0, 400_007)]
+        if i in (905,):
+            continue
+        assert by[i]["base_sha256"] == hashlib.sha256(pii.joined(own).encode()).hexdigest()
+        assert [by[i][f"n_{k}"] for k in pii.KINDS] == [sum(x[1] == n for x in own) for n in range(4)]
+        assert set(filter(None, pii.joined(own).split(","))) <= set(by[i]["spans"].split(","))
+    assert by[2000]["spans"] == "ip:2:10,email:12:17,phone:18:35"
+    assert by[2001]["spans"] == "card:4:20,card:21:37" and by[2001]["n_added"] == 2
+    assert by[2002]["spans"] == "phone:5:19"
+    assert pii.digest(table(spark, []), field).count() == 0
+    assert pii.fit(table(spark, []), ()).weights.any() == False  # noqa: E712
