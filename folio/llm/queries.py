@@ -133,6 +133,19 @@ sum(case when failed & before = 0 and failed & bit > 0 then toxic else 0 end)::b
 max(shapley)::bigint as shapley
 from c join v using (part) join s using (bit) group by part, filter_order, step"""
 
+#: Each rule's matches and the pieces between them; running sums of their lengths give the places.
+_SECRETS = r"""with r(k, kind, base, pat) as (values
+  (0, 'assign', true, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  (1, 'access', true, '(AKIA)([A-Z0-9]+)'), (2, 'hex', true, '()([0-9a-f]+)'),
+  (3, 'pem', false, '()(-----BEGIN [A-Z ]*PRIVATE KEY-----)'), (4, 'forge', false, '(gh[pousr]_)([A-Za-z0-9]{36,})')),
+d as (select row_number() over () as row, doc_id, coalesce(text, '') as t from documents),
+m as (select row, k, kind, base, list_transform(regexp_extract_all(t, pat), lambda x: length(x)) as size,
+  list_transform(regexp_extract_all(t, pat, 2), lambda x: length(x)) as inner_size, list_transform(regexp_split_to_array(t, pat), lambda x: length(x)) as gap from d, r where regexp_matches(t, pat)),
+p as (select row, k, kind, base, unnest(list_transform(range(1, len(size) + 1), lambda i: {'s': cast(list_sum(gap[1:i]) + coalesce(list_sum(size[1:i - 1]), 0) as bigint), 'n': size[i], 'g': inner_size[i]})) as x from m),
+f as (select row, k, kind, base, x.s as s, kind || ':' || x.s || ':' || (x.s + x.n) as w from p where case kind when 'assign' then x.g >= 6 when 'access' then x.n >= 20 when 'hex' then x.n >= 24 else true end),
+a as (select row, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex, string_agg(w, ',' order by s, k) filter (base) as b, string_agg(w, ',' order by s, k) as w from f group by row)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(b, '')) as base_sha256, coalesce(w, '') as spans from d left join a using (row)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_nearest_neighbours": _NEAREST, "op11_filter_audit": _AUDIT}
+    return {"op4_nearest_neighbours": _NEAREST, "op5_secret_scan": _SECRETS, "op11_filter_audit": _AUDIT}

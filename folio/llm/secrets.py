@@ -8,6 +8,7 @@ join back to all paths that hold the blob. All of it is DataFrame expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -50,26 +51,55 @@ RULES = (
 )
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, as the variable of a lambda function."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+_PLACE = "struct<start:int,end:int,match:string>"
+
+
+def _placed(pairs: Column, start: Column) -> Column:
+    """Places of matches, each behind its piece of other text, from ``start`` on; the list is copied at each match."""
+
+    def place(state: Column, pair: Column) -> Column:
+        begin = state["at"] + F.length(pair["piece"])
+        end = begin + F.length(pair["match"])
+        one = F.array(F.struct(begin.alias("start"), end.alias("end"), pair["match"].alias("match")))
+        return F.struct(end.alias("at"), F.concat(state["out"], one).alias("out"))
+
+    return F.aggregate(pairs, F.struct(start.alias("at"), F.array().cast(f"array<{_PLACE}>").alias("out")), place, lambda s: s["out"])
+
+
+def places(pairs: Column) -> Column:
+    """``array<struct<start, end, match>>`` of ``array<struct<piece, match>>``, from running sums of their lengths.
+
+    The sums run over blocks of about the root of all pairs and then within each
+    block, so that lists that grow by copying stay short.
+    """
+    length = lambda block: F.aggregate(block, F.lit(0), lambda n, p: n + F.length(p["piece"]) + F.length(p["match"]))
+    wide = lambda all_of: F.ceil(F.sqrt(F.size(all_of))).cast("int")
+    cut = lambda all_of: F.transform(F.sequence(F.lit(1), F.size(all_of), wide(all_of)), lambda i: F.slice(all_of, i, wide(all_of)))
+    sums = lambda blocks: F.aggregate(blocks, F.array(F.lit(0)), lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + length(x))))
+    within = lambda blocks, starts: F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), _placed))
+    return bound(pairs, lambda all_of: bound(cut(all_of), lambda blocks: bound(sums(blocks), lambda starts: within(blocks, starts))))
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """``array<struct<start, end>>`` of a rule's leftmost matches, in code points.
 
-    Spark gives the matches and the pieces between them; the running sum of
-    their lengths gives the places.
+    Spark gives the matches and the pieces between them; the running sums of
+    their lengths give the places.
     """
-    pieces = F.split(text, rule.pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-
-    def place(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["piece"])
-        end = start + F.length(pair["match"])
-        good = F.length(F.regexp_extract(pair["match"], rule.pattern, rule.group)) >= rule.least if rule.least else F.lit(True)
-        one = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(good, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
-
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), place, lambda s: s["out"])
+    pieces = F.split(text, rule.pattern, -1)
+    pairs = lambda m: F.zip_with(F.slice(pieces, 1, F.size(m)), m, lambda p, x: F.struct(p.alias("piece"), x.alias("match")))
+    found = places(bound(matches, pairs))
+    if rule.least:
+        found = F.filter(found, lambda x: F.length(F.regexp_extract(x["match"], rule.pattern, rule.group)) >= rule.least)
+    found = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     able = text.rlike(rule.pattern)
+    none = F.array().cast("array<struct<start:int,end:int>>")
     return F.when((text.contains(rule.literal) & able) if rule.literal else able, found).otherwise(none)
 
 

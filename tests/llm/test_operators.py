@@ -334,6 +334,31 @@ def test_secrets(spark):
     assert {r["spans"] for r in got if r["doc_id"] == 6} == {"pem:0:31,forge:32:72,hex:36:72"}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 200_000])
+def test_secrets_of_a_text_with_very_many(spark, n):
+    """Time grows about as the matches do: the whole text is one row, so one task has all of them."""
+    import time
+
+    text = "é " + "token=abcdef0 " * n
+    began = time.time()
+    got = secrets.digest(table(spark, [(1, text)]))[0].first()
+    assert time.time() - began < 20
+    assert got["n_assign"] == n and got["spans"] == ",".join(f"assign:{2 + 14 * k}:{15 + 14 * k}" for k in range(n))
+
+
+def test_secret_scan_equals_its_sql(spark):
+    import duckdb
+
+    from folio.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = db.execute(queries.oracle_sql()["op5_secret_scan"])
+    names = [c[0] for c in want.description]
+    assert sorted(map(tuple, queries.op5_secret_scan(spark, sf).select(*names).collect())) == sorted(want.fetchall())
+
+
 def test_ledger_scans_only_unseen_pairs(spark):
     first = table(spark, [(1, SECRETS[0]), (2, SECRETS[2])])
     ledger = secrets.scan(first).cache()
