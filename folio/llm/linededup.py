@@ -9,6 +9,7 @@ another are dropped. All of it is DataFrame expressions, joins and aggregates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -29,14 +30,13 @@ FIXED = 0.5
 #: Documents, each unlike the others, in which a template recurs before it is dropped.
 LEAST_DOCS = 5
 
-#: Documents are copies if so much of their word samples of this size is common; they
-#: are left to the removal of near-duplicates. Where one word of a document with fewer
-#: than ``COPY_WORDS`` differs, less than 0.8 of its five-word shingles are common, so
-#: such a document is a copy of its equals only.
-LIKE, SAMPLE, COPY_WORDS = 0.9, 96, 45
+#: Documents are alike if this share of their pairs of neighbouring words is common, as estimated from the
+#: least ``SAMPLE`` hashes of each. Pairs, because two near copies of one document that each keep 0.8 of its
+#: five-word shingles may share half of theirs, but eight of ten of these.
+WIDTH, LIKE, SAMPLE = 2, 0.77, 96
 
-#: A template's documents are compared in cells, whose documents are then compared in fewer cells.
-CELLS = (4096, 64, 1)
+#: Documents of a template that are compared in one cell at first, and cells whose unlike documents then are.
+CELL, CELLS = 64, 12
 
 _FIELD = "<*>"
 
@@ -125,38 +125,71 @@ def _split(rows: DataFrame) -> DataFrame:
     )
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, as the variable of a lambda function."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def shingled(text: Column) -> Column:
+    """Hashes of a text's pairs of neighbouring words, or of its only word, and of its tokens with digits.
+
+    Numbers count by themselves because they tell filled-in forms apart.
+    """
+    words = F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
+    hashes = F.transform(words, lambda w: F.hash(w))
+    runs = lambda h: F.transform(F.slice(h, 1, F.size(h) - WIDTH + 1), lambda x, i: F.hash(x, *(F.get(h, i + k) for k in range(1, WIDTH))))
+    whole = bound(hashes, lambda h: F.when(F.size(h) < WIDTH, F.array(F.hash(h))).otherwise(runs(h)))
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(?<!\S)[^\s0-9]*+[0-9]\S*+"), F.lit(0)), lambda w: F.hash(F.lit(1), w))
+    return F.when(text.rlike("[0-9]"), F.concat(whole, numbers)).otherwise(whole)
+
+
 def samples(docs: DataFrame, text: str) -> DataFrame:
-    """``k1, words``: the least hashes of each text's distinct words, or the key alone for a short text."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("k1"), F.hash(F.lit(2), F.col(text)).alias("alone"), F.split(F.col(text), " ").alias("words"))
-    least = F.slice(F.array_sort(F.array_distinct(F.transform("words", lambda x: F.hash(x)))), 1, SAMPLE)
-    rows = rows.select("k1", F.when(F.size("words") < COPY_WORDS, F.array("alone")).otherwise(least).alias("words"))
-    return rows.groupBy("k1").agg(F.first("words").alias("words"))
+    """``k1, sample``: the least hashes of each distinct text, sorted."""
+    least = F.slice(F.sort_array(F.array_distinct(shingled(F.col(text)))), 1, SAMPLE)
+    rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("k1"), least.alias("sample"))
+    return rows.groupBy("k1").agg(F.first("sample").alias("sample"))
+
+
+def _alike(x: Column, y: Column) -> Column:
+    """Whether the estimated share of the larger one's hashes that both have is ``LIKE`` at least.
+
+    A sample shorter than ``SAMPLE`` has all hashes; of others only those up to
+    the lesser end are known of both.
+    """
+    end = lambda s: F.when(F.size(s) < SAMPLE, F.lit(2**31 - 1)).otherwise(F.element_at(s, -1))
+    known = lambda s, to: F.size(F.filter(s, lambda v: v <= to))
+    both = F.size(F.array_intersect(x, y))
+    return bound(F.least(end(x), end(y)), lambda to: both >= LIKE * F.greatest(known(x, to), known(y, to)))
 
 
-def _unlike(words: str | Column) -> Column:
+def _unlike(found: Column) -> Column:
     """Of samples, ``LEAST_DOCS`` at most that are each unlike those before."""
-    like = lambda x, y: F.size(F.array_intersect(x, y)) >= LIKE * F.greatest(F.size(x), F.size(y))
-    full = lambda found: F.size(found) >= LEAST_DOCS
-    return F.aggregate(words, F.array().cast("array<array<int>>"), lambda found, x: F.when(full(found) | F.exists(found, lambda y: like(x, y)), found).otherwise(F.concat(found, F.array(x))))
+    full = lambda out: F.size(out) >= LEAST_DOCS
+    return F.aggregate(found, F.array().cast("array<array<int>>"), lambda out, x: F.when(full(out) | F.exists(out, lambda y: _alike(x, y)), out).otherwise(F.concat(out, F.array(x))))
 
 
-def recurring(lines: DataFrame, words: DataFrame) -> DataFrame:
+def recurring(lines: DataFrame, sampled: DataFrame) -> DataFrame:
     """``h`` of the lines whose template recurs across documents that aren't copies of one another.
 
-    Documents of one text count once. Every count first combines by a finer key,
-    and documents are compared in cells, so a template that stands in very many
-    documents is no task of its own.
+    Documents of one text count once. A template's documents are compared in
+    cells of about ``CELL``, as many as its documents need, and the few unlike
+    ones of ``CELLS`` cells again, till one cell is left: no task ever holds more.
     """
     own = generalised(lines)
     ids = lines.select("k1", "h").distinct().join(own, "h", "left").select("h", "k1", F.coalesce("template", "h").alias("id"))
     ids = kept(ids, "lines-ids")
     pairs = ids.select("id", "k1").distinct()
-    often = kept(pairs.groupBy("id").agg(F.count("*").alias("docs")).where(F.col("docs") >= LEAST_DOCS).select("id"), "lines-often")
-    pairs = pairs.join(often, "id").join(words, "k1")
-    rows = pairs.select("id", F.pmod("k1", F.lit(CELLS[0])).alias("cell"), F.array("words").alias("words"))
-    for cells in CELLS:
-        rows = rows.groupBy("id", F.pmod("cell", F.lit(cells)).alias("cell")).agg(_unlike(F.flatten(F.collect_list("words"))).alias("words"))
-    apart = kept(rows.where(F.size("words") >= LEAST_DOCS).select("id"), "lines-apart")
+    often = pairs.groupBy("id").agg(F.count("*").alias("docs")).where(F.col("docs") >= LEAST_DOCS)
+    often = kept(often.select("id", F.ceil(F.col("docs") / CELL).alias("cells")), "lines-often")
+    most = often.agg(F.max("cells")).first()[0] or 1
+    rows = pairs.join(often, "id").join(sampled, "k1").select("id", "cells", F.pmod("k1", "cells").alias("cell"), F.array("sample").alias("found"))
+    while True:
+        rows = rows.groupBy("id", "cells", "cell").agg(_unlike(F.flatten(F.collect_list("found"))).alias("found"))
+        if most == 1:
+            break
+        most = -(-most // CELLS)
+        rows = rows.select("id", F.ceil(F.col("cells") / CELLS).alias("cells"), F.floor(F.col("cell") / CELLS).alias("cell"), "found")
+    apart = kept(rows.where(F.size("found") >= LEAST_DOCS).select("id"), "lines-apart")
     discard(often)
     return ids.select("id", "h").distinct().join(apart, "id").select("h").distinct()
 

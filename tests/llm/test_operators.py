@@ -826,3 +826,103 @@ def test_personal_data(spark, field):
     assert by[2002]["spans"] == "phone:5:19"
     assert pii.digest(table(spark, []), field).count() == 0
     assert pii.fit(table(spark, []), ()).weights.any() == False  # noqa: E712
+
+
+# line dedup against a plain form
+
+
+def plain_templates(lines):
+    """The template tree, one group after the other: the template that each line follows, if any."""
+    leaves = defaultdict(set)
+    for line in lines:
+        tokens = line.split(" ")
+        leaves[len(tokens), tuple(tokens[: linededup.DEPTH])].add(line)
+    found, least = {}, linededup.LEAST_DOCS
+    todo = [(leaf, kinds, None) for leaf, kinds in leaves.items()]
+    while todo:
+        name, kinds, was = todo.pop()
+        if len(kinds) < least or (was is not None and len(kinds) >= was):
+            continue
+        n = len(next(iter(kinds)).split(" "))
+        counts = [Counter(t for t in (x.split(" ")[at] for x in kinds) if t != "<*>") for at in range(n)]
+        tops = {at: max((c, t) for t, c in counts[at].items() if c >= least) for at in range(n) if any(c >= least for c in counts[at].values())}
+        fixed = {at: t for at, (c, t) in tops.items() if c >= linededup.AGREE * len(kinds)}
+        if len(fixed) >= linededup.FIXED * n:
+            follows = {x for x in kinds if all(x.split(" ")[at] == t for at, t in fixed.items())}
+            found |= {x: name for x in follows}
+            todo.append(((name, "rest"), kinds - follows, len(kinds)))
+            continue
+        free = [(c, -at) for at, (c, _) in tops.items() if at not in fixed]
+        if free:
+            at = -max(free)[1]
+            parts = defaultdict(set)
+            for x in kinds:
+                token = x.split(" ")[at]
+                parts[token if token != "<*>" and counts[at][token] >= least else None].add(x)
+            todo += [((name, at, token), part, None) for token, part in parts.items()]
+    return found
+
+
+def plain_drops(rows):
+    """Each document's lines that are left, with likeness from whole sets of word pairs."""
+    squeeze = lambda line: " ".join(line.split())
+
+    def mask(line):
+        masked = ["<*>" if re.search("[0-9]", t) else t for t in line.split(" ")]
+        return " ".join(masked) if masked.count("<*>") <= (1 - linededup.FIXED) * len(masked) else line
+
+    lines = {i: [mask(squeeze(x)) for x in t.split("\n")] for i, t in rows}
+    names = plain_templates({x for own in lines.values() for x in own if x})
+    docs = defaultdict(dict)
+    for i, t in rows:
+        w = t.split()
+        sets = {tuple(w[k : k + 2]) for k in range(max(1, len(w) - 1))} | {x for x in w if re.search("[0-9]", x)}
+        for x in lines[i]:
+            docs[names.get(x, x)][t] = sets
+    gone = set()
+    for name, texts in docs.items():
+        apart = []
+        for s in texts.values():
+            if all(len(s & o) < linededup.LIKE * max(len(s), len(o)) for o in apart):
+                apart.append(s)
+        if len(apart) >= linededup.LEAST_DOCS:
+            gone.add(name)
+    return {i: "\n".join(x for x, m in zip(t.split("\n"), lines[i]) if not m or names.get(m, m) not in gone) for i, t in rows}
+
+
+def test_line_dedup_equals_its_plain_form(spark):
+    rng = np.random.default_rng(77)
+    names = ["ann", "bob", "cid", "dee", "eve", "fay", "gus", "hal"]
+    forms = ["Posted by the user {} in our public forum", "Posted by the guest {} at some other place", "Page {n} of {m}", "All rights of this page are reserved", "Read  more\tbelow", "rare words here"]
+    rows = []
+    for k in range(150):
+        body = [prose(5000 + 10 * k + j, int(rng.integers(6, 30))) for j in range(rng.integers(1, 5))]
+        for form in forms[: 5 if k else 6]:
+            if rng.random() < 0.3:
+                body.insert(int(rng.integers(0, len(body) + 1)), form.format(rng.choice(names), n=k, m=k + 9))
+        rows.append((k, "\n".join(body)))
+    words = prose(6000, 300).split()
+    for k in range(40):  # near copies around one text
+        w = list(words)
+        w[7 * k] = "changed"
+        rows.append((200 + k, " ".join(w[:150]) + "\n" + " ".join(w[150:]) + "\nAll rights of this page are reserved"))
+    assert dropped(spark, rows) == plain_drops(rows)
+
+
+@pytest.mark.parametrize("vocabulary, length", [(60, 300), (200, 4000), (2000, 20_000)])
+def test_documents_of_one_vocabulary_are_no_copies(spark, vocabulary, length):
+    rng = np.random.default_rng(vocabulary)
+    bodies = [" ".join("v%d" % x for x in rng.integers(0, vocabulary, length)) for _ in range(80)]
+    notice = "This notice stands in every document of the house\nIt is followed by this second line"
+    rows = [(k, f"{bodies[2 * k]}\n{notice}\n{bodies[2 * k + 1]}") for k in range(40)]
+    got = dropped(spark, rows)
+    assert all(got[k] == f"{bodies[2 * k]}\n{bodies[2 * k + 1]}" for k in range(40))
+
+
+def test_a_template_in_more_documents_than_a_cell_has(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "CELL", 2)
+    monkeypatch.setattr(linededup, "CELLS", 2)
+    rows = [(k, f"{prose(9000 + k, 20)}\nThe same line in all of them") for k in range(70)]
+    assert all("same" not in t for t in dropped(spark, rows).values())
+    few = [(k, f"{prose(9000 + k % 4, 200)} {k}\nThe same line in all of them") for k in range(40)]
+    assert all("same" in t for t in dropped(spark, few).values())
