@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,15 @@ from pyspark.sql import functions as F
 _MAP = "map<string,string>"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, as the variable of a lambda function.
+
+    A Python variable that holds a column is an expression, which Spark copies
+    to each place where it stands.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def half_up(c: Column) -> Column:
     return F.floor(c + F.lit(0.5)).cast("long")
 
@@ -139,9 +149,9 @@ def rgb(colour: Column) -> Column:
 
 def mixed(a: Column, b: Column, ratio: float) -> Column:
     """Two colours mixed, the first for 0 and the second for 1; the first as it is where one is no colour."""
-    x, y = rgb(a), rgb(b)
-    part = lambda k: F.lower(F.lpad(F.hex(F.least(F.lit(255), F.greatest(F.lit(0), half_up(x[k] + (y[k] - x[k]) * F.lit(ratio))))), 2, "0"))
-    return F.when(x.isNotNull() & y.isNotNull(), F.concat(F.lit("#"), *(part(k) for k in range(3)))).otherwise(a)
+    channel = lambda x, y: F.least(F.lit(255).cast("long"), F.greatest(F.lit(0).cast("long"), half_up(x + (y - x) * F.lit(ratio))))
+    digits = lambda both: F.array_join(F.transform(both, lambda v: F.lower(F.lpad(F.hex(v), 2, "0"))), "")
+    return F.coalesce(F.concat(F.lit("#"), digits(F.zip_with(rgb(a), rgb(b), channel))), a)
 
 
 def start_of_day(ts: Column) -> Column:
@@ -170,53 +180,87 @@ def new_token() -> Column:
     return F.replace(F.uuid(), F.lit("-"), F.lit(""))
 
 
-def ipv4(c: Column) -> Column:
-    """An IPv4 address as a number, null for anything else."""
-    part = lambda k: F.split(c, r"\.")[k].cast("long")
-    number = part(0) * 16777216 + part(1) * 65536 + part(2) * 256 + part(3)
-    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    return F.when(c.rlike(rf"^{octet}(\.{octet}){{3}}$"), number)
+#: Networks that aren't public.
+PRIVATE = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "224.0.0.0/4", "0.0.0.0/32")
+PRIVATE_6 = ("::1/128", "::/128", "fc00::/7", "fe80::/10", "ff00::/8")
 
+_OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_QUAD = rf"{_OCTET}(\.{_OCTET}){{3}}"
 
-def in_network(c: Column, network: str) -> Column:
-    """Whether an IPv4 address lies in a network written as ``a.b.c.d/n``."""
-    base, _, bits = network.partition("/")
-    a, b, d, e = (int(x) for x in base.split("."))
-    size = 1 << (32 - int(bits or 32))
-    low = (a << 24 | b << 16 | d << 8 | e) // size * size
-    return F.coalesce(ipv4(c).between(low, low + size - 1), F.lit(False))
 
+def _expanded(c: Column) -> Column:
+    """The 32 digits of an IPv6 address without dotted parts, null for anything else."""
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    padded = lambda x: F.array_join(F.transform(x, lambda g: F.lpad(g, 4, "0")), "")
+    plain = c.rlike("^[0-9a-f:]*$") & c.contains(":") & ~c.rlike(":::|::.*::|^:[^:]|[^:]:$|[^:]{5}")
+
+    def joined(head: Column, rest: Column, short: Column) -> Column:
+        n = F.size(head) + F.size(rest)
+        hole = F.repeat(F.lit("0000"), F.greatest(F.lit(0), 8 - n))
+        return F.when(F.when(short, n < 8).otherwise(n == 8), F.concat(padded(head), hole, padded(rest)))
+
+    def halves(h: Column) -> Column:
+        rest = groups(F.coalesce(F.get(h, 1), F.lit("")))
+        return bound(groups(F.get(h, 0)), lambda a: bound(rest, lambda b: joined(a, b, F.size(h) > 1)))
+
+    return F.when(plain, bound(F.split(c, "::", -1), halves))
 
-#: Networks that aren't public.
-PRIVATE = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "224.0.0.0/4", "0.0.0.0/32")
-PRIVATE_6 = ("::1/128", "::/128", "fc00::/7", "fe80::/10", "ff00::/8")
+
+def address_key(c: Column) -> Column:
+    """An address of either kind as 32 hex digits, null for anything else.
+
+    An IPv4 address has the key of its form in IPv6, ``::ffff:a.b.c.d``; a dotted
+    end of an IPv6 address stands for its last two groups. Keys sort as addresses do.
+    """
+    octets = lambda q: F.transform(F.split(q, r"\."), lambda x: F.lower(F.lpad(F.hex(x.cast("long")), 2, "0")))
+    tail = lambda o: F.concat(F.get(o, 0), F.get(o, 1), F.lit(":"), F.get(o, 2), F.get(o, 3))
+    dotted = lambda x: F.regexp_extract(x, rf":({_QUAD})$", 1)
+    undotted = lambda x, q: F.when(q == "", x).otherwise(F.concat(F.left(x, F.length(x) - F.length(q)), bound(octets(q), tail)))
+    whole = F.when(c.rlike(rf"^{_QUAD}$"), F.concat(F.lit("::ffff:"), c)).otherwise(F.lower(c))
+    return bound(whole, lambda x: bound(bound(dotted(x), lambda q: undotted(x, q)), _expanded))
 
 
 def ipv6(c: Column) -> Column:
-    """An IPv6 address as 32 hex digits, null for anything else; an embedded IPv4 address stands for its last two groups."""
-    v4 = ipv4(F.regexp_extract(c, r":(\d+\.\d+\.\d+\.\d+)$", 1))
-    tail = F.concat_ws(":", F.lower(F.hex(F.floor(v4 / 65536))), F.lower(F.hex(v4 % 65536)))
-    text = F.lower(F.when(v4.isNotNull(), F.concat(F.regexp_replace(c, r"\d+\.\d+\.\d+\.\d+$", ""), tail)).otherwise(c))
-    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
-    head, rest = groups(F.substring_index(text, "::", 1)), groups(F.substring_index(text, "::", -1))
-    short = F.contains(text, F.lit("::"))
-    hole = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(head) - F.size(rest)))
-    full = F.when(short, F.concat(head, hole, rest)).otherwise(groups(text))
-    plain = text.rlike("^[0-9a-f:]*$") & ~text.rlike(":::|::.*::|^:[^:]|[^:]:$") & text.contains(":")
-    good = plain & (F.size(full) == 8) & (~short | (F.size(head) + F.size(rest) < 8)) & F.forall(full, lambda g: F.length(g) <= 4)
-    return F.when(good, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
-
-
-def in_network6(c: Column, network: str) -> Column:
-    """Whether an IPv6 address lies in a network written as ``address/n``."""
-    net = ipaddress.ip_network(network, strict=False)
-    digits, bits = f"{int(net.network_address):032x}", net.prefixlen
-    own, whole = ipv6(c), bits // 4
-    same = F.left(own, F.lit(whole)) == digits[:whole] if whole else own.isNotNull()
-    if bits % 4:
-        shift = 4 - bits % 4
-        same = same & (F.shiftright(F.conv(F.substring(own, whole + 1, 1), 16, 10).cast("int"), shift) == int(digits[whole], 16) >> shift)
-    return F.coalesce(same, F.lit(False))
+    """An IPv6 address as 32 hex digits, null for anything else."""
+    return F.when(c.contains(":"), address_key(c))
+
+
+def network_bounds(networks: Iterable[str]) -> list[str]:
+    """The keys at which addresses begin and cease to be in one of the networks, ``address/n`` or one address each, in turn."""
+    spans = []
+    for text in networks:
+        net = ipaddress.ip_network(text, strict=False)
+        shift = 0xFFFF << 32 if net.version == 4 else 0
+        spans.append((int(net.network_address) + shift, int(net.broadcast_address) + shift + 1))
+    out: list[int] = []
+    for low, high in sorted(spans):
+        if out and low <= out[-1]:
+            out[-1] = max(out[-1], high)
+        else:
+            out += [low, high]
+    return [f"{x:032x}" for x in out if x < 1 << 128]
+
+
+def in_networks(c: Column, networks: Iterable[str]) -> Column:
+    """Whether an address lies in one of some networks: parsed once, then a binary search in their sorted bounds."""
+    bounds = network_bounds(networks)
+
+    def search(key: Column, low: int, high: int) -> Column:
+        """Behind an odd number of bounds a key is inside."""
+        if low == high:
+            return F.lit(low % 2 == 1)
+        middle = (low + high) // 2
+        return F.when(key < bounds[middle], search(key, low, middle)).otherwise(search(key, middle + 1, high))
+
+    return bound(address_key(c), lambda key: F.when(key.isNotNull(), search(key, 0, len(bounds))).otherwise(False))
+
+
+def in_network(c: Column, network: str) -> Column:
+    """Whether an address lies in a network of its kind, written as ``address/n``."""
+    return in_networks(c, [network])
+
+
+in_network6 = in_network
 
 
 def is_private(c: Column) -> Column:
@@ -224,11 +268,4 @@ def is_private(c: Column) -> Column:
 
     An IPv4 address written as IPv6 counts as IPv4.
     """
-    mapped = F.regexp_extract(F.lower(c), r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
-    own = F.when(mapped != "", mapped).otherwise(c)
-    out = F.lit(False)
-    for network in PRIVATE:
-        out = out | in_network(own, network)
-    for network in PRIVATE_6:
-        out = out | in_network6(own, network)
-    return out
+    return in_networks(c, (*PRIVATE, *PRIVATE_6))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.functions.values import bound
 
 #: Constructs that Java knows and the rules' dialect (RE2) refuses: a rule with one is skipped.
 _REFUSED = re.compile(r"\(\?(=|!|<=|<!|>)|\\[1-9]|[*+?}]\+")
@@ -27,53 +28,118 @@ def usable_rules(rules: list[str]) -> list[str]:
     return found
 
 
-def title_test(line: Column, rules: list[str], defaults: tuple[str, ...] = (T.CHAPTER_TITLE,)) -> Column:
-    """Whether a trimmed line is a title by a user's rule or a default one, which always hold."""
-    hit = F.lit(False)
-    for rule in (*usable_rules(rules), *defaults):
-        hit = hit | line.rlike(rule)
-    return hit
+def title_pattern(rules: Column | None = None, defaults: tuple[str, ...] = (T.CHAPTER_TITLE,)) -> Column:
+    """One pattern for a title by any of an array of usable rules, or by a default one, which always hold."""
+    always = F.lit("|".join(f"(?:{x})" for x in defaults) or "(?!)")
+    if rules is None:
+        return always
+    each = F.transform(rules, lambda r: F.concat(F.lit("(?:"), r, F.lit(")|")))
+    return F.concat(F.array_join(each, ""), always)
 
 
-def segments(docs: DataFrame, rules: list[str] | None = None, *, key: str = "doc_id", text: str = "text", defaults: tuple[str, ...] = (T.CHAPTER_TITLE,)) -> DataFrame:
-    """``<key>, chapters array<struct<title, content>>, head`` of plain texts; ``head`` has the first lines.
+#: Scripts and classes of characters whose names the rules' dialect and Java write in different ways.
+_SCRIPTS = "Han|Latin|Greek|Cyrillic|Hiragana|Katakana|Hangul|Arabic|Hebrew|Thai"
+_POSIX = {"alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph", "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "xdigit": "XDigit"}
+
+
+def java_rule(rule: Column) -> Column:
+    """A rule as Java writes it: groups lose their names, which no rule can refer to, and classes change theirs."""
+    out = F.regexp_replace(rule, r"\(\?P?<\w+>", "(")
+    out = F.regexp_replace(out, rf"\\([pP])\{{(\^?)({_SCRIPTS})\}}", r"\\$1{$2Is$3}")
+    for name, java in _POSIX.items():
+        out = F.replace(out, F.lit(f"[:{name}:]"), F.lit(rf"\p{{{java}}}"))
+    return out
+
+
+def checked_rules(rules: DataFrame, *, rule: str = "rule") -> DataFrame:
+    """``rules`` with ``pattern``, the rule as Java writes it, and ``usable``: not blank or over-long, known to the dialect, and valid.
+
+    Java itself says whether a pattern is valid, on the executors and once a rule;
+    ``usable`` is the flag that an administrator sees, and false rules are skipped.
+    """
+    own = F.col(rule)
+    fits = own.isNotNull() & (F.trim(own) != "") & (F.length(own) <= T.LONGEST_RULE) & ~own.rlike(_REFUSED.pattern)
+    valid = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("pattern")).isNotNull()
+    return rules.withColumn("pattern", java_rule(own)).withColumn("usable", F.coalesce(fits, F.lit(False)) & F.coalesce(valid, F.lit(False)))
+
+
+def namespace_rules(rules: DataFrame, *, rule: str = "rule", enable: str = "enable", place: str = "serial_number", namespace: str = "user_namespace") -> DataFrame:
+    """``<namespace>, __rules``: the patterns of a namespace's enabled, usable rules in their order, ties by id."""
+    good = checked_rules(rules.where(F.col(enable) != 0), rule=rule).where("usable")
+    order = F.struct(F.col(place).alias("place"), F.col("id").alias("id"), F.col("pattern").alias("pattern"))
+    return good.groupBy(namespace).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["pattern"]).alias("__rules"))
+
+
+def with_titles(docs: DataFrame, rules: DataFrame | list[str] | None, defaults: tuple[str, ...], namespace: str) -> DataFrame:
+    """``docs`` with ``__titles``, the pattern of its title lines.
+
+    Rules are a list for all texts, or the stored table, whose patterns each text
+    gets by its namespace: one row a namespace joins, and Spark sends them to all
+    tasks only while they are small.
+    """
+    if isinstance(rules, DataFrame):
+        own = namespace_rules(rules, namespace=namespace)
+        empty = F.array().cast("array<string>")
+        return docs.join(own, namespace, "left").withColumn("__titles", title_pattern(F.coalesce("__rules", empty), defaults)).drop("__rules")
+    # here Python and then Java read the rules, so a list holds what both know
+    return docs.withColumn("__titles", title_pattern(F.array(*map(F.lit, usable_rules(rules or []))).cast("array<string>"), defaults))
+
+
+def _cut(lines: Column, at: Column, raw: Column) -> Column:
+    """``struct<chapters, head>`` from trimmed lines and the places of titles among them."""
+    plain = lambda part: F.filter(part, lambda x: x != "")
+    joined = lambda part: F.array_join(F.transform(part, lambda x: F.concat(x, F.lit("\n"))), "")
+    whole = bound(plain(lines), lambda p: F.when(F.size(p) == 0, raw).otherwise(F.array_join(p, "\n")))
+    lead = bound(plain(F.slice(lines, F.lit(1), F.get(at, 0))), lambda p: F.when(F.size(p) > 0, F.concat(F.array_join(p, "\n"), F.lit("\n"))).otherwise(""))
+
+    def chapter(k: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(at, i + 1), F.size(lines))
+        body = joined(F.slice(lines, k + 2, end - k - 1))
+        return F.struct(F.get(lines, k).alias("title"), F.when(i == 0, F.concat(lead, body)).otherwise(body).alias("content"))
+
+    one = F.array(F.struct(F.lit(T.WHOLE).alias("title"), whole.alias("content")))
+    found = F.when(F.size(at) == 0, one).otherwise(F.transform(at, chapter))
+    return F.struct(found.alias("chapters"), F.slice(lines, 1, 20).alias("head"))
+
+
+def _pieces(docs: DataFrame, rules: DataFrame | list[str] | None, keep: tuple[str, ...], text: str, defaults: tuple[str, ...], namespace: str) -> tuple[DataFrame, Column]:
+    """Texts with their title patterns, and the expression that cuts one."""
+    own = {namespace} - {*keep, text} if isinstance(rules, DataFrame) else ()
+    rows = with_titles(docs.select(*keep, text, *own), rules, defaults, namespace)
+    # of the functions on patterns this one keeps the compiled pattern while the column doesn't change
+    title = lambda x: F.regexp_instr(x, F.col("__titles")) > 0
+    marks = lambda lines: F.array_compact(F.transform(lines, lambda x, i: F.when(title(x), i)))
+    lines = F.transform(F.split(T.newlines(F.col(text)), "\n", -1), T.trim)
+    return rows, bound(lines, lambda own: bound(marks(own), lambda at: _cut(own, at, F.col(text))))
+
+
+def segments(
+    docs: DataFrame, rules: DataFrame | list[str] | None = None, *, key: str = "doc_id", text: str = "text", defaults: tuple[str, ...] = (T.CHAPTER_TITLE,), namespace: str = "user_namespace", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``<key>, <keep>, chapters array<struct<title, content>>, head`` of plain texts; ``head`` has the first lines.
 
     A title line opens a chapter and isn't content. Other lines are trimmed and
     end with a line break, blank ones too once a chapter is open; lines before
     the first title lead its chapter. Without a title there is one chapter of
-    the lines that aren't blank, or of the raw text if all are.
+    the lines that aren't blank, or of the raw text if all are. ``rules`` are a
+    list for all texts, or the table of all namespaces' rules.
 
     A text's lines stay in one row as an array, so nothing is shuffled: chapters
     are the slices between the places of titles.
     """
-    lines = F.transform(F.split(T.newlines(F.col(text)), "\n", -1), T.trim)
-    rows = docs.select(F.col(key), F.col(text).alias("__raw"), lines.alias("__lines"))
-    marks = F.transform("__lines", lambda x, i: F.when(title_test(x, rules or [], defaults), i))
-    rows = rows.withColumn("__at", F.array_compact(marks))
-    plain = F.filter("__lines", lambda x: x != "")
-    whole = F.when(F.size(plain) == 0, F.col("__raw")).otherwise(F.array_join(plain, "\n"))
-    joined = lambda part: F.array_join(F.transform(part, lambda x: F.concat(x, F.lit("\n"))), "")
-    first = F.get("__at", F.lit(0))
-    before = F.filter(F.slice("__lines", F.lit(1), F.coalesce(first, F.lit(0))), lambda x: x != "")
-    lead = F.when(F.size(before) > 0, F.concat(F.array_join(before, "\n"), F.lit("\n"))).otherwise("")
-
-    def chapter(at: Column, i: Column) -> Column:
-        end = F.coalesce(F.get("__at", i + 1), F.size("__lines"))
-        body = joined(F.slice("__lines", at + 2, end - at - 1))
-        return F.struct(F.get("__lines", at).alias("title"), F.concat(F.when(i == 0, lead).otherwise(""), body).alias("content"))
-
-    one = F.array(F.struct(F.lit(T.WHOLE).alias("title"), whole.alias("content")))
-    found = F.when(F.size("__at") == 0, one).otherwise(F.transform("__at", chapter))
-    return rows.select(key, found.alias("chapters"), F.slice("__lines", 1, 20).alias("head"))
+    rows, cut = _pieces(docs, rules, (key, *keep), text, defaults, namespace)
+    # out of an array, so that no later projection copies the expression
+    return rows.select(key, *keep, F.inline_outer(F.array(cut)))
 
 
-def segmented(docs: DataFrame, rules: list[str] | None = None, *, key: str = "doc_id", text: str = "text", defaults: tuple[str, ...] = (T.CHAPTER_TITLE,)) -> DataFrame:
-    """``<key>, chapter_index, title, content`` of plain texts, by ``segments``."""
-    rows = segments(docs, rules, key=key, text=text, defaults=defaults)
-    return rows.select(key, F.posexplode("chapters").alias("chapter_index", "__c")).select(key, "chapter_index", "__c.title", "__c.content")
+def segmented(docs: DataFrame, rules: DataFrame | list[str] | None = None, *, key: str = "doc_id", text: str = "text", defaults: tuple[str, ...] = (T.CHAPTER_TITLE,), namespace: str = "user_namespace") -> DataFrame:
+    """``<key>, chapter_index, title, content`` of plain texts, by ``segments``; a null text has none."""
+    rows, cut = _pieces(docs.where(F.col(text).isNotNull()), rules, (key,), text, defaults, namespace)
+    # an outer explode, as Spark tests what an inner one takes apart once more before it
+    return rows.select(key, F.posexplode_outer(cut["chapters"]).alias("chapter_index", "__c")).select(key, "chapter_index", "__c.title", "__c.content")
 
 
-def book_meta(docs: DataFrame, rules: list[str] | None = None, *, key: str = "doc_id", text: str = "text", preview: int = 5) -> DataFrame:
+def book_meta(docs: DataFrame, rules: DataFrame | list[str] | None = None, *, key: str = "doc_id", text: str = "text", preview: int = 5) -> DataFrame:
     """Per text: a guessed name, chapter count, characters, the last title and the first titles.
 
     All of it from the row's own array of chapters, so nothing is shuffled.

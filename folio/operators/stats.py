@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.values import bound
+
 
 def reading_windows(stats: DataFrame, today: str, days: int = 7) -> DataFrame:
     """One row: seconds of ``today``, since ``days`` days before it (that day included), and in total.
@@ -69,7 +71,15 @@ def normalised(raw: Column) -> Column:
     minutes and a count; books may be names or objects, under ``books`` or
     ``topBooks``.
     """
-    tree = F.try_parse_json(raw)
+    return bound(F.try_parse_json(raw), _normalised)
+
+
+def imported(rows: DataFrame, raw: Column, *keys: str) -> DataFrame:
+    """``<keys>, today, week, total, top`` by ``normalised``, computed once a row however many fields are read."""
+    return rows.select(*keys, F.inline_outer(F.array(normalised(raw))))
+
+
+def _normalised(tree: Column) -> Column:
     kind = lambda path: F.schema_of_variant(F.try_variant_get(tree, path, "variant"))
     number = lambda path: F.try_variant_get(tree, path, "double")
     plain = lambda path: kind(path).rlike("^(BIGINT|DOUBLE|DECIMAL)")

@@ -29,6 +29,12 @@ def setting(settings: DataFrame, key: str) -> DataFrame:
     return settings.where(F.col("key") == key).agg(F.max("value").alias("value"), (F.count("*") > 0).alias("found"))
 
 
+def settings(stored: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``asked`` with ``value, found`` of their ``key``; a key that isn't stored has null and false."""
+    own = stored.groupBy("key").agg(F.max("value").alias("value")).withColumn("found", F.lit(True))
+    return asked.join(own, "key", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def permissions_changed(users: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Users with the non-null permissions of ``changes``, and one row with the number of users that were matched.
 

@@ -59,9 +59,8 @@ def permissions_matched(spark, d):
 
 def setting_lookup(spark, d):
     s = read(spark, d, "part").select(F.col("p_name").alias("key"), F.col("p_partkey").cast("string").alias("value"))
-    known = s.agg(F.min("key").alias("k")).first()["k"]
-    rows = [users.setting(s, k).withColumn("place", F.lit(i)) for i, k in enumerate((known, "no such key"))]
-    return rows[0].unionByName(rows[1])
+    asked = s.agg(F.min("key").alias("key")).select(F.inline(F.array(F.struct(F.lit(0).alias("place"), "key"), F.struct(F.lit(1).alias("place"), F.lit("no such key").alias("key")))))
+    return users.settings(s, asked).select("place", "value", "found")
 
 
 def request_params(spark, d):
@@ -77,8 +76,8 @@ def stats_import(spark, d):
     k, u = F.col("event_id") % 5, F.col("user_id").cast("string")
     cell = F.when(k == 0, u).when(k == 1, F.concat(F.lit('{"minutes": '), u, F.lit(', "count": 3}'))).when(k == 2, F.concat(F.lit('{"seconds": -'), u, F.lit("}"))).when(k == 3, '"x"').otherwise("[")
     raw = F.concat(F.lit('{"today": '), cell, F.lit(', "books": ["A", {"bookName": "B", "seconds": '), u, F.lit('}, {"x": 1}, 7]}'))
-    s = e.select("event_id", stats.normalised(raw).alias("s"))
-    return s.select("event_id", F.col("s.today.seconds").alias("seconds"), F.col("s.today.count").alias("count"), F.array_join(F.transform("s.top", lambda b: b["name"]), "|").alias("top"))
+    s = stats.imported(e.select("event_id", raw.alias("raw")), F.col("raw"), "event_id")
+    return s.select("event_id", F.col("today.seconds").alias("seconds"), F.col("today.count").alias("count"), F.array_join(F.transform("top", lambda b: b["name"]), "|").alias("top"))
 
 
 def string_config(spark, d):

@@ -86,6 +86,29 @@ def txt_chapters(spark, d):
     return C.segmented(read(spark, d, "documents"), [RULE, "(broken"])
 
 
+#: Fixed by this query: for each rule of a namespace its id, place, flag and pattern, in which the language's words go.
+STORED = [(3, 2, 1, "^({}) "), (1, 1, 1, "^({})$"), (2, 1, 1, "(broken"), (4, 3, 0, "."), (5, 4, 1, "x" * 201)]
+
+
+def toc_rules(spark, d):
+    """The contents rules of each language, which stands for a namespace: two that hold, a broken, a disabled and an over-long one."""
+    words = F.create_map(*(F.lit(x) for x in ("en", "The|And|Is|It", "de", "Der|Die|Und|Ist", "fr", "Les|Des|Une|Est")))
+    stored = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(p).alias("serial_number"), F.lit(e).alias("enable"), F.lit(r).alias("mold")) for i, p, e, r in STORED))
+    langs = read(spark, d, "documents").select(F.col("lang").alias("user_namespace")).distinct()
+    rows = langs.where(F.map_contains_key(words, F.col("user_namespace"))).select("user_namespace", F.inline(stored))
+    return rows.withColumn("rule", F.replace("mold", F.lit("{}"), F.element_at(words, F.col("user_namespace")))).drop("mold")
+
+
+def toc_rules_checked(spark, d):
+    return C.checked_rules(toc_rules(spark, d)).select("user_namespace", "id", "usable")
+
+
+def txt_chapters_by_rules(spark, d):
+    """documents as texts of the namespace of their language; a language without rules has the default one only."""
+    docs = read(spark, d, "documents").withColumnRenamed("lang", "user_namespace")
+    return C.segmented(docs, toc_rules(spark, d))
+
+
 def txt_book_meta(spark, d):
     docs = read(spark, d, "documents")
     return C.book_meta(docs, [RULE])
@@ -154,9 +177,10 @@ _HITS = f"""with p as (select book_url, chapter_index, {_PARTS.format(t='content
  u as (select book_url, chapter_index, l, unnest(generate_series(1, len(l))) i from p),
  m as (select book_url, chapter_index, cast(i - 1 as integer) paragraph, cast(least((length(l[i]) - length(replace(lower(l[i]), 'the', ''))) // 3, 500) as integer) matches from u),
  r as (select *, cast(coalesce(sum(matches) over (partition by book_url, chapter_index order by paragraph rows between unbounded preceding and 1 preceding), 0) as bigint) before from m)"""
+_IS_TITLE = "regexp_matches(lines[i], '^(Is|The|And|It) ')"
 _LINES = rf"""with l as (select doc_id, text, list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: {_TRIM.format(x='x')}) lines from documents),
  u as (select doc_id, text, lines, unnest(generate_series(1, len(lines))) i from l),
- t as (select doc_id, text, i, lines[i] line, regexp_matches(lines[i], '^(Is|The|And|It) ') is_title from u),
+ t as (select doc_id, text, i, lines[i] line, {_IS_TITLE} is_title from u),
  n as (select *, sum(case when is_title then 1 else 0 end) over (partition by doc_id order by i) seen, max(case when is_title then 1 else 0 end) over (partition by doc_id) has from t),
  c as (select doc_id, has, greatest(seen - 1, 0) chapter_index, coalesce(max(case when is_title then line end), '全文') title,
    case when has = 1 then coalesce(string_agg(line || chr(10), '' order by i) filter (not is_title and (seen > 0 or line <> '')), '')
@@ -208,6 +232,17 @@ QUERIES = {
         select doc_id, cast(len(l) as bigint) n, array_to_string(l, '|') titles from m""",
     ),
     "txt_chapters": (txt_chapters, _LINES + " select doc_id, chapter_index, title, content from s"),
+    "toc_rules_checked": (
+        toc_rules_checked,
+        "select lang user_namespace, r.id, r.id in (1, 3, 4) usable from (select distinct lang from documents where lang in ('en', 'de', 'fr')), (select unnest([1, 2, 3, 4, 5]) id) r",
+    ),
+    "txt_chapters_by_rules": (
+        txt_chapters_by_rules,
+        _LINES.replace("select doc_id, text, list_transform", "select doc_id, lang, text, list_transform")
+        .replace("select doc_id, text, lines, unnest", "select doc_id, lang, text, lines, unnest")
+        .replace(_IS_TITLE, "coalesce(regexp_matches(lines[i], case lang when 'en' then '^(The|And|Is|It)( |$)' when 'de' then '^(Der|Die|Und|Ist)( |$)' when 'fr' then '^(Les|Des|Une|Est)( |$)' end), false)")
+        + " select doc_id, chapter_index, title, content from s",
+    ),
     "txt_book_meta": (
         txt_book_meta,
         _LINES

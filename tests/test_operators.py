@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -169,6 +171,79 @@ def test_sanitised(spark):
     assert c.select(T.html_text(F.col("c"), every_reference=True).alias("x")).first()["x"] == "café — &lt;"
 
 
+def test_sanitised_stays_safe(spark):
+    """Random nestings of markup, references and separators against a parser of HTML that knows nothing of the function."""
+    import random
+    from html.parser import HTMLParser
+
+    from folio.functions.text import _resolved, _sanitised
+
+    def once(s):
+        s = re.sub("&#x([0-9a-f]+);", lambda m: chr(int(m[1], 16)) if int(m[1], 16) < 0x110000 else "", s, flags=re.I)
+        s = re.sub("&#([0-9]+);", lambda m: chr(int(m[1])) if int(m[1]) < 0x110000 else "", s)
+        return re.sub("&([a-zA-Z][a-zA-Z0-9]*);", lambda m: T.URL_ENTITIES.get(m[1], m[0]), s)
+
+    class Walk(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.bad = []
+
+        def handle_starttag(self, tag, attrs):
+            for name, value in attrs:
+                url = re.sub("[\x00-\x20\x7f]", "", once(once(once(value or "")))).lower()
+                if tag in T.UNSAFE_ELEMENTS or name.startswith("on") and value is not None or name in T.LINKS and url.startswith(T.UNSAFE_SCHEMES):
+                    self.bad.append((tag, name, value))
+
+    fixed = {
+        '<a href="a&#1;&#2;b">x</a><a href="javascript:alert(1)">y</a>': '<a href="a&#1;&#2;b">x</a><a>y</a>',
+        '<a href="&#x26;#38;amp;#106;avascript:x">z</a>': "<a>z</a>",
+        "one = 1 and on = 2": "one = 1 and on = 2",
+        "<a title='x'href=javascript:y>z": "<a title='x'>z",
+        "<scr<script>x</script>ipt>y": "<scr<script>xipt>y",
+        "a<script>b": "a",
+        '<a = href="javascript:x">': "<a =>",
+        "1 < 2 <b class=c>": "1 < 2 <b class=c>",
+    }
+    for source, clean in fixed.items():
+        assert _sanitised(source) == clean
+    pieces = ["<a ", "<img ", "<script", "</script>", "<form>", "</form>", "<p>", ">", "href=", " src=", " xlink:href = ", " onclick=", '"', "'", "javascript:", "&#106;avascript:", "&amp;#x6A;avascript:", "java\tscript:x", "data:x", "https://e.org/", "&#1;&#2;", "\x01\x02", " ", "/", "=", "on", "text", "&colon;", "&#x26;#38;"]
+    rng = random.Random(5)
+    for _ in range(5000):
+        source = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        walk = Walk()
+        walk.feed(_sanitised(source))
+        assert not walk.bad, (source, _sanitised(source), walk.bad)
+        assert _resolved(source) == once(once(once(source)))
+    assert _sanitised("<iframe " * 50_000) == ""
+    got = spark.createDataFrame([(k,) for k in fixed], "s string").select("s", T.sanitised("s").alias("t")).collect()
+    assert {r["s"]: r["t"] for r in got} == fixed
+
+
+def test_network_bounds():
+    import ipaddress
+
+    nets = ["10.0.0.0/8", "10.1.0.0/16", "11.0.0.0/8", "::/0"]
+    assert V.network_bounds(nets) == ["0" * 32] and V.network_bounds(nets[:3]) == [f"{0xFFFF0A000000:032x}", f"{0xFFFF0C000000:032x}"]
+    assert V.network_bounds(["ff00::/8"]) == [f"{int(ipaddress.ip_address('ff00::')):032x}"]
+
+
+def test_rules_of_namespaces(spark):
+    rules = [("a", 2, "^B ", 1, 1), ("a", 1, "^A ", 1, 1), ("a", 3, "(", 1, 0), ("a", 4, "^C ", 0, 0), ("b", 1, r"(?P<n>\d+)\.$", 1, 0), ("b", 2, r"^\p{Han}[[:digit:]]+", 1, 1), ("c", 1, "(?=x)", 1, 0), ("c", 2, None, 1, 0), ("c", 3, " ", 1, 0), ("c", 4, "y" * 201, 1, 0), ("c", 5, r"\p{Nope}", 1, 0)]
+    table = spark.createDataFrame(rules, "user_namespace string, id long, rule string, enable int, serial_number long")
+    usable = {(r["user_namespace"], r["id"]): r["usable"] for r in chapters.checked_rules(table).collect()}
+    assert usable == {(ns, i): (ns, i) in {("a", 1), ("a", 2), ("a", 4), ("b", 1), ("b", 2)} for ns, i, *_ in rules}
+    own = {r["user_namespace"]: r["__rules"] for r in chapters.namespace_rules(table).collect()}
+    assert own["a"] == ["^A ", "^B "] and len(own["b"]) == 2 and "c" not in own
+    text = "A one\nB two\nC three\n17.\n中5 x\n第1章 四\nend"
+    docs = spark.createDataFrame([(1, text, "a", 0), (2, text, "b", 0), (3, text, "c", 0), (4, text, None, 0), (5, None, "a", 0)], "doc_id long, text string, user_namespace string, __rules int")
+    got = {}
+    for r in chapters.segmented(docs, table).orderBy("doc_id", "chapter_index").collect():
+        got.setdefault(r["doc_id"], []).append(r["title"])
+    assert got == {1: ["A one", "B two", "第1章 四"], 2: ["17.", "中5 x", "第1章 四"], 3: ["第1章 四"], 4: ["第1章 四"]}
+    plain = {r["doc_id"]: [c["title"] for c in r["chapters"]] if r["chapters"] else None for r in chapters.segments(docs, table).collect()}
+    assert plain == got | {5: None}
+
+
 def test_addresses(spark):
     known = {"::1": True, "fe80::1": True, "FD00:1:2::3": True, "ff02::1": True, "::": True, "::ffff:10.1.2.3": True, "::ffff:8.8.8.8": False, "2001:db8::1": False, "2001:db8:0:0:0:0:0:1": False}
     known |= {"1::2::3": False, "12345::1": False, "10.0.0.1": True, "239.1.1.1": True, "0.0.0.0": True, "8.8.8.8": False, "1:2:3:4:5:6:7": False, "x": False, ":1": False}

@@ -39,3 +39,10 @@ def test_same_rows(spark, duck, name):
 
 def test_every_query_without_sql_is_known():
     assert set(queries.queries()) - set(queries.oracle_sql()) == {"login_limiter", "html_chapters", "chapter_search_bytes"}
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_plans_are_bounded(spark, name):
+    """A plan that copies its own expressions grows past all bounds; none is nearly as large as these."""
+    plan = queries.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 40_000 and plan.count("RLIKE") + plan.count("regexp") < 60
