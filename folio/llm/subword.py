@@ -211,12 +211,15 @@ def train(
     width: int = 8,
     epochs: int = 6,
     rate: float = 1.0,
+    patience: int | None = None,
     seed: int = 7,
 ) -> Model:
     """Fit embeddings and softmax jointly; a fifth of the rows sets temperature and level.
 
     Steps are scaled by the sum of squared gradients of each row (Adagrad), as
-    rare n-grams move rarely. Without rows the model knows no class.
+    rare n-grams move rarely. With ``patience`` the fit ends when the log loss of
+    that fifth hasn't fallen for so many epochs, and the best epoch counts; few
+    rows need more epochs than many. Without rows the model knows no class.
     """
     marks = bags.marks
     classes = tuple(sorted(set(marks)))
@@ -233,6 +236,7 @@ def train(
     bias -= bias.mean()
     seen_rows = np.full(1 << bits, 1e-8, np.float32)
     seen_weights, seen_bias = np.full_like(weights, 1e-4), np.full_like(bias, 1e-2)
+    best = None
     for epoch in range(epochs):
         now = rate * (1 - epoch / epochs)
         for k in rng.permutation(fit).tolist():
@@ -249,13 +253,26 @@ def train(
             bias -= 0.1 * now * p / np.sqrt(seen_bias)
             seen_rows[ids] += share * share * float(back @ back) / width
             embedding[ids] = rows - (now * 0.2) * (share / np.sqrt(seen_rows[ids]))[:, None] * back[None, :]
+        if patience is not None and len(held):
+            found = _held(bags, held, embedding, weights, bias)
+            loss = _loss(found[2], y[held], _temperature(found[2], y[held]))
+            if best is None or loss < best[0] - 1e-4:
+                best = loss, epoch, found
+            elif epoch - best[1] >= patience:
+                break
+    logits, bias, raw = best[2] if best else _held(bags, held, embedding, weights, bias)
+    temperature = _temperature(raw, y[held])
+    return Model(classes, sizes, bits, logits, bias.astype(float), temperature, _level(raw / temperature, y[held]))
+
+
+def _held(bags: Bags, held: np.ndarray, embedding: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both layers folded to logits by bucket, the bias, and what they give the rows that took no part in the fit."""
     logits = (embedding @ weights).astype(np.float32)
-    raw = np.zeros((len(held), len(classes)))
+    raw = np.zeros((len(held), weights.shape[1]))
     for i, k in enumerate(held.tolist()):
         ids, share = bags[k]
         raw[i] = share @ logits[ids] + bias
-    temperature = _temperature(raw, y[held])
-    return Model(classes, sizes, bits, logits, bias.astype(float), temperature, _level(raw / temperature, y[held]))
+    return logits, bias.copy(), raw
 
 
 def fitted(rows: DataFrame, **parameters) -> Model:
@@ -284,5 +301,8 @@ def _temperature(raw: np.ndarray, y: np.ndarray) -> float:
     if not len(y):
         return 1.0
     grid = np.geomspace(0.2, 5, 41)
-    loss = [-np.log(softmax(raw / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
-    return float(grid[int(np.argmin(loss))])
+    return float(grid[int(np.argmin([_loss(raw, y, t) for t in grid]))])
+
+
+def _loss(raw: np.ndarray, y: np.ndarray, temperature: float) -> float:
+    return float(-np.log(softmax(raw / temperature)[np.arange(len(y)), y] + 1e-12).mean())

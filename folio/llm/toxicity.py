@@ -20,6 +20,9 @@ THRESHOLD = 0.3
 #: Sizes of the n-grams in bytes, and bits of their buckets.
 SIZES, BITS = (3, 4, 5), 18
 
+#: Width of the embeddings, epochs at most, and epochs without gain on rows that took no part after which the fit ends.
+WIDTH, EPOCHS, PATIENCE = 16, 40, 3
+
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, held_out: int = 2, key: str = "doc_id", text: str = "text", label: str = "toxic"
@@ -37,7 +40,7 @@ def fit(
     chosen = F.broadcast(sample.evenly(able, rows, "id").select("id", "y"))
     own = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(chosen, "id")
     own = own.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("x"))
-    return subword.fitted(own.select("y", "x.t"), sizes=SIZES, bits=BITS)
+    return subword.fitted(own.select("y", "x.t"), sizes=SIZES, bits=BITS, width=WIDTH, epochs=EPOCHS, patience=PATIENCE)
 
 
 def toxic_share(model: subword.Model, column: pa.Array) -> np.ndarray:

@@ -473,6 +473,50 @@ def test_languages(spark):
     assert language.identify(empty, language.fit(empty)).count() == 0
 
 
+def tiny_bags():
+    rng = np.random.default_rng(3)
+    ids = [np.unique(rng.integers(0, 64, 12)).astype(np.int32) for _ in range(11)]
+    counts = [rng.integers(1, 5, len(x)).astype(np.uint16) for x in ids]
+    return subword.Bags([str(k % 2) for k in range(11)], [(k, 0, len(x)) for k, x in enumerate(ids)], ids, counts)
+
+
+def test_an_epoch_of_training_equals_its_dense_form():
+    """One epoch with whole matrices and explicit sums, in the order in which the fit deals its rows."""
+    bags, width, bits = tiny_bags(), 3, 6
+    model = subword.train(bags, sizes=(3,), bits=bits, width=width, epochs=1)
+    rng = np.random.Generator(np.random.PCG64(7))
+    order = rng.permutation(11)
+    fit = order[2:]
+    e = rng.normal(0, 0.01, (1 << bits, width)).astype(np.float32).astype(float)
+    w = rng.normal(0, 1, (width, 2)).astype(np.float32).astype(float)
+    y = np.arange(11) % 2
+    b = np.log(np.bincount(y[fit], minlength=2) + 1.0)
+    b -= b.mean()
+    ge, gw, gb = np.full(1 << bits, 1e-8), np.full((width, 2), 1e-4), np.full(2, 1e-2)
+    for k in rng.permutation(fit).tolist():
+        x = np.zeros(1 << bits)
+        x[bags.ids[k]] = bags.counts[k] / bags.counts[k].sum()
+        mean = x @ e
+        z = np.exp(mean @ w + b)
+        d = z / z.sum() - np.eye(2)[y[k]]
+        back = w @ d
+        gw += np.outer(mean, d) ** 2
+        w -= 0.2 * np.outer(mean, d) / np.sqrt(gw)
+        gb += d**2
+        b -= 0.1 * d / np.sqrt(gb)
+        ge += x**2 * (back @ back) / width
+        e -= 0.2 * (x / np.sqrt(ge))[:, None] * back
+    assert np.allclose(model.logits, e @ w, atol=1e-4) and np.allclose(model.bias, b, atol=1e-4)
+
+
+def test_training_ends_when_held_rows_gain_nothing():
+    bags = tiny_bags()
+    long = subword.train(bags, sizes=(3,), bits=6, width=3, epochs=200, patience=2)
+    assert np.isfinite(long.logits).all()
+    few = subword.Bags(bags.marks[:4], bags.place[:4], bags.ids, bags.counts)  # nobody is held out
+    assert subword.train(few, sizes=(3,), bits=6, width=3, epochs=3, patience=2).temperature == 1.0
+
+
 def test_toxicity_generalises_to_misspellings(spark):
     rng = np.random.default_rng(4)
     bad = ["stupid", "moronic", "pathetic"]
