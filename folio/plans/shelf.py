@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as T
 from folio.functions import values as V
 from folio.operators import dml, shelf
+from folio.operators.state import Table, workspace
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,6 +166,18 @@ def upsert_latest(spark, d):
     return dml.upserted(state, o.where("o_orderkey % 3 <> 0"), ["o_custkey"], "o_orderkey")
 
 
+def stored_upserts(spark, d):
+    """orders as rows of a stored table, by customer and its nation; two batches change their cells, the later one wins."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("string").alias("user_namespace"))
+    o = read(spark, d, "orders").join(c, "o_custkey").select("user_namespace", "o_custkey", "o_orderkey", "o_orderstatus")
+    keys = ["user_namespace", "o_custkey"]
+    table = Table(spark, workspace(spark))
+    table.create(dml.latest(o.where("o_orderkey % 3 = 0"), keys, "o_orderkey"), keys, groups=4, buckets=2)
+    for batch in (1, 2):
+        table.change(o.where(F.col("o_orderkey") % 3 == batch), lambda state, new: dml.upserted(state, new.withColumn("seq", F.col("o_orderkey")), keys, "seq"))
+    return table.read()
+
+
 def progress_update(spark, d):
     c = read(spark, d, "customer")
     books = c.select(
@@ -283,6 +296,11 @@ QUERIES = {
         b as (select o_custkey, arg_max(o_orderstatus, o_orderkey) st, arg_max(cast(floor(o_totalprice) as bigint), o_orderkey) pr from orders where o_orderkey % 3 <> 0 group by 1)
         select o_custkey, case when b.o_custkey is null then s.st else b.st end o_orderstatus, case when b.o_custkey is null then s.pr else b.pr end price from s full join b using (o_custkey)""",
     ),
+    "stored_upserts": (
+        stored_upserts,
+        """with o as (select cast(c_nationkey as varchar) user_namespace, o_custkey, o_orderkey, o_orderstatus from orders join customer on c_custkey = o_custkey)
+        select user_namespace, o_custkey, o_orderkey, o_orderstatus from o qualify row_number() over (partition by user_namespace, o_custkey order by o_orderkey % 3 desc, o_orderkey desc) = 1""",
+    ),
     "progress_update": (
         progress_update,
         """with l as (select o_custkey, max(o_orderkey) k from orders group by 1)

@@ -84,6 +84,51 @@ def limited_stream(attempts: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed value: how long a cached table of contents holds, in milliseconds.
+CONTENTS_TTL = 300_000
+
+LOOKUP = "book_url string, event_id long, contents string, hit boolean"
+
+
+class Contents(StatefulProcessor):
+    """Keeps a book's last table of contents; the store itself forgets entries that nobody renews.
+
+    Events say when they happened, so whether an entry holds is judged by their
+    times, the last millisecond included. The store's clock only frees memory, and
+    later: an entry stays for two lifetimes of its own.
+    """
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entry = handle.getValueState("entry", "contents string, updated_at long", ttlDurationMs=2 * self.ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        entry = tuple(self.entry.get()) if self.entry.exists() else None
+        found = []
+        for row in pd.concat(list(rows)).sort_values(["time", "event_id"]).itertuples():
+            if isinstance(row.contents, str):
+                entry = row.contents, int(row.time)
+            else:
+                hit = entry is not None and row.time - entry[1] <= self.ttl
+                found.append((key[0], int(row.event_id), entry[0] if hit else None, hit))
+        if entry is not None:
+            self.entry.update(entry)
+        yield pd.DataFrame(found, columns=["book_url", "event_id", "contents", "hit"])
+
+    def close(self) -> None:
+        pass
+
+
+def contents_stream(events: DataFrame, ttl: int = CONTENTS_TTL) -> DataFrame:
+    """What a cache of tables of contents answers: one row for each question of ``events(book_url, time, event_id, contents)``.
+
+    An event with contents stores them, one without asks. Needs the RocksDB state store.
+    """
+    return events.groupBy("book_url").transformWithStateInPandas(statefulProcessor=Contents(ttl), outputStructType=LOOKUP, outputMode="Append", timeMode="ProcessingTime")
+
+
 def daily_reading(ticks: DataFrame, late: str = "31 days") -> DataFrame:
     """Seconds read a day from ticks ``(ts, book_url)``; state older than ``late`` is given up."""
     days = ticks.withWatermark("ts", late) if ticks.isStreaming else ticks
@@ -121,3 +166,81 @@ def frames(chunks: DataFrame) -> DataFrame:
     value = lambda name: F.transform(F.filter(lines, lambda x: x.startswith(name + ":")), lambda x: F.regexp_replace(x, f"^{name}: ?", ""))
     rows = rows.select("stream", "place", F.coalesce(F.element_at(F.concat(F.array(F.lit("message")), value("event")), -1)).alias("event"), value("data").alias("d"))
     return rows.where(F.size("d") > 0).select("stream", "place", "event", F.array_join("d", "\n").alias("data"))
+
+
+FRAME = "stream string, place int, event string, data string"
+
+
+def cut_frames(text: str) -> tuple[list[tuple[str, str] | None], str]:
+    """``(event, data)`` of each whole block of a text, none for a block without data, and the tail that is no block yet."""
+    end = text[-1:] if text.endswith("\r") else ""  # half of a line break, perhaps
+    *blocks, tail = text.removesuffix(end).replace("\r\n", "\n").replace("\r", "\n").split("\n\n")
+
+    def value(line: str, name: str) -> str:
+        return line[len(name) + 1 :].removeprefix(" ")
+
+    def frame(lines: list[str]) -> tuple[str, str] | None:
+        names = ["message", *(value(x, "event") for x in lines if x.startswith("event:"))]
+        data = [value(x, "data") for x in lines if x.startswith("data:")]
+        return (names[-1], "\n".join(data)) if data else None
+
+    return [frame(block.split("\n")) for block in blocks], tail + end
+
+
+class Frames(StatefulProcessor):
+    """Keeps a stream's tail, the chunks that came too early, and a clock for those that don't come.
+
+    What is held is the text behind the last whole frame, and early chunks until
+    the ones before them arrive or are given up. A chunk that comes again, or
+    after it was given up, is passed over.
+    """
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", "next int, place int, tail string, waiting_for int")
+        self.early = handle.getMapState("early", "seq int", "chunk string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = tuple(self.at.get()) if self.at.exists() else (0, 0, "", -1)
+        for frame in rows:
+            for seq, chunk in zip(frame["seq"].tolist(), frame["chunk"].tolist()):
+                if seq >= state[0]:
+                    self.early.updateValue((int(seq),), (chunk or "",))
+        yield self._taken(key, state, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = tuple(self.at.get())
+        waiting = sorted(k[0] for k in self.early.keys())
+        if waiting and state[3] == state[0]:
+            # the chunk is lost, and what it would have completed with it
+            state = (waiting[0], state[1], "", -1)
+        yield self._taken(key, state, timerValues)
+
+    def _taken(self, key, state: tuple, timerValues) -> pd.DataFrame:
+        following, place, tail, waiting_for = state
+        found = []
+        while self.early.containsKey((following,)):
+            blocks, tail = cut_frames(tail + self.early.getValue((following,))[0])
+            self.early.removeKey((following,))
+            found += [(key[0], place + k, *x) for k, x in enumerate(blocks) if x]
+            place, following = place + len(blocks), following + 1
+        if waiting_for != following and any(True for _ in self.early.keys()):
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+            waiting_for = following
+        self.at.update((following, place, tail, waiting_for))
+        return pd.DataFrame(found, columns=["stream", "place", "event", "data"])
+
+    def close(self) -> None:
+        pass
+
+
+def frames_stream(chunks: DataFrame, wait_ms: int = 30_000) -> DataFrame:
+    """``frames`` over a stream of ``chunks(stream, seq, chunk)``, ``seq`` from 0, in any order (needs the RocksDB state store).
+
+    A chunk that is missing for ``wait_ms`` while later ones are there is given
+    up together with the tail before it.
+    """
+    return chunks.groupBy("stream").transformWithStateInPandas(statefulProcessor=Frames(wait_ms), outputStructType=FRAME, outputMode="Append", timeMode="ProcessingTime")
