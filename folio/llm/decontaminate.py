@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 
 from folio.llm import arrays
 
-#: Characters (UTF-8 bytes of folded text) of a q-gram: one 64-bit word.
-Q = 8
+#: Characters (UTF-8 bytes of folded text) of a q-gram, one 64-bit word; and of one of an item under ``SHORT``.
+Q, BRIEF_Q = 8, 4
 
 #: Edits allowed for each character of an item.
 BUDGET = 0.08
 
-#: Items with fewer folded characters have too few q-grams for edits: they are sought exactly, as whole words.
+#: Items with fewer folded characters are sought as whole words only, by shorter q-grams; the budget gives
+#: those with 13 or more one edit.
 SHORT = 24
 
 #: Postings that are expanded at a time.
@@ -65,8 +66,10 @@ def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], np.concatenate([[0], kept[ends]]).astype(np.int64)
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place, as one number; for the last places none."""
+def grams(data: np.ndarray, q: int = Q) -> np.ndarray:
+    """The ``q`` bytes, 8 at most, from each place, as one number; for the last places none."""
+    if q < Q:
+        return grams(np.concatenate([data, np.zeros(Q - q, np.uint8)])) & np.uint64((1 << (8 * q)) - 1)
     n = len(data) - Q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -92,15 +95,27 @@ class Index:
     place: np.ndarray
     table: np.ndarray  # whether some code hashes here
     short: dict[int, tuple[np.ndarray, np.ndarray]]  # by size under Q: codes in order, and their items
+    q: int = Q
 
 
-def build(ids: list[int], texts: list[str]) -> Index:
+def builds(ids: list[int], texts: list[str]) -> list[Index]:
+    """An index for the items under ``SHORT``, where there are any, and one for the others."""
     data, at = folded(pa.array(texts, pa.string()))
     able = [(i, data[at[k] : at[k + 1] - 1].tobytes().rstrip(b" ")) for k, i in enumerate(ids)]
-    able = [(i, t) for i, t in able if t]
+    parts = [x for x in able if 0 < len(x[1]) < SHORT], [x for x in able if len(x[1]) >= SHORT]
+    return [_index(own, q) for own, q in zip(parts, (BRIEF_Q, Q)) if own]
+
+
+def build(ids: list[int], texts: list[str]) -> Index:
+    """One index for items of ``SHORT`` bytes or more."""
+    data, at = folded(pa.array(texts, pa.string()))
+    return _index([(i, data[at[k] : at[k + 1] - 1].tobytes().rstrip(b" ")) for k, i in enumerate(ids)], Q)
+
+
+def _index(able: list[tuple[int, bytes]], q: int) -> Index:
     size = np.array([len(t) for _, t in able], np.int64)
-    edits = np.where(size < SHORT, 0, np.minimum((BUDGET * size).astype(np.int64), np.maximum(size - Q, 0) // Q))
-    own = [grams(np.frombuffer(t, np.uint8)) for _, t in able]
+    edits = np.minimum((BUDGET * size).astype(np.int64), np.maximum(size - q, 0) // q)
+    own = [grams(np.frombuffer(t, np.uint8), q) for _, t in able]
     codes = np.concatenate(own) if own else np.zeros(0, np.uint64)
     item = np.repeat(np.arange(len(able)), [len(x) for x in own])
     place = np.concatenate([np.arange(len(x)) for x in own]) if own else np.zeros(0, np.int64)
@@ -108,7 +123,7 @@ def build(ids: list[int], texts: list[str]) -> Index:
     distinct, first = np.unique(codes[order], return_index=True)
     table = np.zeros(1 << _TABLE_BITS, bool)
     table[_slot(distinct)] = True
-    need = np.maximum(1, size + 1 - Q - Q * edits)
+    need = np.maximum(1, size + 1 - q - q * edits)
     short = {}
     for n in sorted({len(t) for _, t in able if len(t) < Q}):
         at = np.array([k for k, (_, t) in enumerate(able) if len(t) == n])
@@ -116,7 +131,7 @@ def build(ids: list[int], texts: list[str]) -> Index:
         by = np.argsort(code, kind="stable")
         short[n] = (code[by], at[by])
     return Index(
-        np.array([i for i, _ in able], np.int64), [t for _, t in able], edits, need, distinct, np.append(first, len(codes)), item[order], place[order], table, short
+        np.array([i for i, _ in able], np.int64), [t for _, t in able], edits, need, distinct, np.append(first, len(codes)), item[order], place[order], table, short, q
     )
 
 
@@ -124,16 +139,21 @@ def _slot(codes: np.ndarray) -> np.ndarray:
     return ((codes * _MIX) >> np.uint64(64 - _TABLE_BITS)).view(np.int64)
 
 
-def banded(item: bytes, text: bytes, low: int, high: int, most: int) -> tuple[int, int]:
+def banded(item: bytes, text: bytes, low: int, high: int, most: int, before: int | None = None) -> tuple[int, int]:
     """Edits of the best place of ``item`` in ``text``, and where it ends.
 
     Only diagonals ``low`` to ``high`` (place in text less place in item) are
     used. Ends of the text are free; ``most + 1`` stands for anything worse.
+    With ``before``, the byte in front of the text, places are whole words.
     """
     a, b = np.frombuffer(item, np.uint8), np.frombuffer(text, np.uint8)
     diagonals = np.arange(low, high + 1)
     worst, steps = most + 1, np.arange(len(diagonals))
     row = np.where((diagonals >= 0) & (diagonals <= len(b)), 0, worst)
+    if before is not None:
+        edge = np.concatenate([[before], b, [0x20]]) == 0x20  # between which words may begin, and one place on, end
+        row[~edge[np.clip(diagonals, 0, len(b))]] = worst
+        row = np.minimum.accumulate(row - steps) + steps  # words may begin with characters that the item lacks
     for i in range(len(a)):
         at = diagonals + i  # the text's character on each diagonal in this row
         fits = (at >= 0) & (at < len(b))
@@ -147,6 +167,8 @@ def banded(item: bytes, text: bytes, low: int, high: int, most: int) -> tuple[in
         row = np.minimum(best, worst)
         if row.min() > most:
             return worst, 0
+    if before is not None:
+        row[~edge[np.clip(diagonals + len(a) + 1, 0, len(b) + 1)]] = worst
     k = int(row.argmin())
     return int(row[k]), int(diagonals[k] + len(a))
 
@@ -219,7 +241,7 @@ def leaks(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int]]
     _, sizes = arrays.text_buffers(column)
     for lo, hi in arrays.chunks(sizes, 1 << 19):
         data, at = folded(column.slice(lo, hi - lo))
-        codes = grams(data)
+        codes = grams(data, index.q)
         hit = np.flatnonzero(index.table[_slot(codes)])
         slot = np.searchsorted(index.codes, codes[hit])
         slot[slot == len(index.codes)] = 0
@@ -237,10 +259,12 @@ def leaks(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int]]
             low = ((key & ((1 << 31) - 1)) * (e + 1)) - (1 << 30)
             begin = max(0, low - e)
             text = data[at[k] + begin : min(at[k + 1] - 1, at[k] + low + 2 * (e + 1) + len(index.items[i]) + e)].tobytes()
-            exact = _place(index.items[i], text, data[at[k] + begin - 1] if begin else 0x20)
+            before = int(data[at[k] + begin - 1]) if begin else 0x20
+            exact = _place(index.items[i], text, before)
             if exact < 0 and e == 0:
                 continue
-            edits, end = (0, exact + len(index.items[i])) if exact >= 0 else banded(index.items[i], text, low - begin, low - begin + 2 * e + 1, e)
+            whole = before if index.q < Q else None
+            edits, end = (0, exact + len(index.items[i])) if exact >= 0 else banded(index.items[i], text, low - begin, low - begin + 2 * e + 1, e, whole)
             if edits <= e and (p not in found or edits < found[p][0]):
                 found[p] = (edits, begin + end)
         for p, (edits, end) in sorted(found.items()):
@@ -256,7 +280,7 @@ def indexes(benchmark: DataFrame, *, item: str = "item_id", text: str = "text")
     for block in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).distinct().collect()
         own.sort()
-        yield build([r["i"] for r in own], [r["t"] for r in own])
+        yield from builds([r["i"] for r in own], [r["t"] for r in own]) or [_index([], Q)]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -268,7 +292,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
 
     Defined cases: null and empty texts, on either side, and items without
     letters and digits are never part of a leak; items of fewer than ``SHORT``
-    folded bytes are found exactly, as whole words; a null document id is
+    folded bytes are found as whole words only; a null document id is
     reported as null, a null item id never; repeated rows are reported again,
     repeated items once; other columns are ignored; with an empty table on
     either side the result is empty.

@@ -223,6 +223,42 @@ def test_contamination(spark):
     assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted((i for i, _ in rows if i not in {x[0] for x in got}), key=str)
 
 
+def test_short_items_with_an_edit(spark):
+    """Items under 24 bytes against every run of whole words of each text."""
+    rng = np.random.default_rng(41)
+    words = "red fox jumps over it now a the big dog ran home".split()
+    items = [(0, "red fox jumps over it"), (1, "Fox, jumps over"), (2, "the big dog")] + [(3 + k, " ".join(rng.choice(words, rng.integers(3, 6)))) for k in range(25)]
+    items = [(k, t) for k, t in items if len(t) < decontaminate.SHORT] + [(90, prose(3, 12))]
+    texts = ["a red fox jumqs over it now", "Red foxjumps over it", "a fox jumps, overt", "afox jumps over", "the bigg dog", "redfox jumps over it", "fox jumps over", "fox jumps ove"]
+    for _ in range(60):
+        letters = list(" ".join(rng.choice(words, rng.integers(4, 12))))
+        for _ in range(rng.integers(0, 3)):
+            letters[int(rng.integers(0, len(letters)))] = rng.choice(["", "x", " ", "ox"])
+        texts.append("".join(letters))
+    expected = []
+    for d, text in enumerate(texts):
+        own = folded(text).split(" ")
+        for k, item in items[:-1]:
+            size = len(folded(item))
+            runs = {" ".join(own[a:b]) for a in range(len(own)) for b in range(a + 1, min(len(own), a + 8) + 1)}
+            best = min(edit_distance(folded(item), r) for r in runs)
+            if best <= int(decontaminate.BUDGET * size):
+                expected.append((d, k, best))
+    got = decontaminate.contamination(table(spark, list(enumerate(texts))), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in got) == sorted(expected)
+    assert {(0, 0, 1), (1, 0, 1), (2, 1, 1), (3, 1, 1), (6, 1, 0), (7, 1, 1)} <= set(expected) and not any(d == 4 for d, *_ in expected)
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
 def test_phrases_shared_by_many_items(spark, monkeypatch):
     """Postings are expanded in slices, with the same result."""
     phrase = prose(1, 9)
