@@ -97,7 +97,10 @@ def reordered(groups: DataFrame, ids: list[int], key: str = "id", place: str = "
 
 
 def with_group(groups: DataFrame, name: str, order_num: int, namespace: str, group: int = 0) -> DataFrame:
-    """A group changed by id, or added under the next free id where ``group`` is 0."""
+    """A group changed by id, or added under the next free id where ``group`` is 0.
+
+    Two writers could take the same id; as a step of ``state.Table.change`` the later one is made again.
+    """
     if group > 0:
         hit = F.col("id") == group
         return groups.withColumn("name", F.when(hit, F.lit(name)).otherwise(F.col("name"))).withColumn("order_num", F.when(hit, F.lit(order_num)).otherwise(F.col("order_num")))
@@ -162,8 +165,23 @@ def exported(chapters: DataFrame) -> DataFrame:
     return rows.select("book_url", F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("text"))
 
 
+def export_files(chapters: DataFrame, path: str) -> None:
+    """One text file a book under ``path/book_url=…``, with what ``exported`` gives.
+
+    Chapters stream into their book's file in order: a task holds one chapter, and
+    sorting spills, so the size of a book doesn't matter. The job's commit makes
+    all files appear at once.
+    """
+    part = F.concat("title", F.lit("\n\n"), "content", F.lit("\n"))  # and the break that ends each line of a text file
+    rows = chapters.select("book_url", "chapter_index", part.alias("part")).repartition("book_url").sortWithinPartitions("book_url", "chapter_index")
+    rows.select("book_url", "part").write.partitionBy("book_url").text(path)
+
+
 def save(df: DataFrame, path: str, *partition_by: str) -> None:
-    """Write a state beside the old one and swap them by renaming."""
+    """Write a whole state beside the old one and swap them by renaming; between the two renames a reader finds none.
+
+    ``state.Table`` changes a few rows at a time and always has a version to read.
+    """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     make = jvm.org.apache.hadoop.fs.Path

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators.state import workspace
+
 
 def of_namespace(table: DataFrame, namespace: str, column: str = "user_namespace") -> DataFrame:
     """Rows of one namespace; a table laid out by it is read in part."""
@@ -104,6 +106,27 @@ def group_counts(groups: DataFrame, books: DataFrame, group: str = "id", member:
     return groups.join(counts, group, "left").withColumn("book_count", F.coalesce("book_count", F.lit(0)))
 
 
+def placed(rows: DataFrame, within: str, *keys: str) -> DataFrame:
+    """``rows`` with ``place``, their number from 1 among those of the same ``within``, in the order of ``keys``.
+
+    A section may be as large as the table, so none is a window of its own: rows
+    are dealt and sorted by ranges, numbered in each range, and each range begins
+    where the section's rows of the ranges before it end. Between the two steps the
+    rows are a written table, since ranges are drawn from samples.
+    """
+    spark = rows.sparkSession
+    ordered = rows.repartitionByRange(within, *keys).sortWithinPartitions(within, *keys)
+    path = f"{workspace(spark)}/placed"
+    # the id counts up within a range and has the range's number above bit 33
+    ordered.withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    held = spark.read.parquet(path).withColumn("__range", F.shiftrightunsigned("__id", 33))
+    parts = held.groupBy(within, "__range").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.partitionBy(within).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col(within).alias("__within"), F.col("__range").alias("__part"), "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    both = held.join(parts, F.col(within).eqNullSafe(F.col("__within")) & (F.col("__range") == F.col("__part")))
+    return both.select(*rows.columns, (F.col("__id") - F.col("__first") + F.col("__before") + 1).alias("place"))
+
+
 def sections(groups: DataFrame, books: DataFrame) -> DataFrame:
     """Header rows and book rows ``section, kind, place, title``; books without a known group come first.
 
@@ -111,9 +134,8 @@ def sections(groups: DataFrame, books: DataFrame) -> DataFrame:
     """
     known = books.join(groups.select(F.col("id").alias("group_name"), F.lit(1).alias("known")), "group_name", "left")
     section = F.when(F.col("known") == 1, F.col("group_name")).otherwise(F.lit(-1))
-    by = Window.partitionBy("section").orderBy("name", "book_url")
     members = known.select(section.cast("long").alias("section"), "name", "book_url")
-    rows = members.select("section", F.lit("book").alias("kind"), F.row_number().over(by).alias("place"), F.col("name").alias("title"))
+    rows = placed(members, "section", "name", "book_url").select("section", F.lit("book").alias("kind"), F.col("place").cast("int").alias("place"), F.col("name").alias("title"))
     heads = groups.select(F.col("id").cast("long").alias("section"), F.lit("group").alias("kind"), F.lit(0).alias("place"), F.col("name").alias("title"))
     return heads.unionByName(rows)
 

@@ -78,17 +78,24 @@ def group_book_counts(spark, d):
 
 
 def shelf_sections(spark, d):
-    return shelf.sections(_groups(spark, d).where("order_num < 4"), _customers(spark, d))
+    """All nations as groups; every seventh customer's book hangs on a group that isn't there."""
+    books = _customers(spark, d).withColumn("group_name", F.when(F.col("book_url").cast("long") % 7 == 0, F.lit(99)).otherwise(F.col("group_name")))
+    return shelf.sections(_groups(spark, d), books)
+
+
+def _incoming(spark, d):
+    """customer as books to import: a third has a URL of the shelf, and those whose key is a part's have its name."""
+    k = F.col("c_custkey")
+    named = read(spark, d, "customer").join(read(spark, d, "part"), k == F.col("p_partkey"), "left")
+    return named.select(F.concat(F.when(k % 3 == 0, "").otherwise("new/"), k.cast("string")).alias("book_url"), F.when(k % 2 == 0, F.col("p_name")).otherwise(F.concat(F.lit(" "), "c_name")).alias("name"))
 
 
 def duplicate_names(spark, d):
-    p = _parts(spark, d)
-    return shelf.already_owned(p.where("order_num <= 10"), p.where("order_num > 40"))
+    return shelf.already_owned(_incoming(spark, d), _parts(spark, d))
 
 
 def duplicate_before_add(spark, d):
-    p = _parts(spark, d)
-    return shelf.duplicate_of(p.where("order_num <= 12").select("book_url", "name"), p.where("order_num between 10 and 11").select("book_url", "name"))
+    return shelf.duplicate_of(_incoming(spark, d), _parts(spark, d).select("book_url", "name"))
 
 
 def bookmarks_all(spark, d):
@@ -224,6 +231,7 @@ def delete_group(spark, d):
     return shelf.group_counts(groups, books).select("id", "book_count").unionByName(books.where("group_name = 0").agg(F.lit(-1).cast("long").alias("id"), F.count("*").alias("book_count")))
 
 
+_IN = "(select case when c_custkey % 3 = 0 then '' else 'new/' end || c_custkey book_url, case when c_custkey % 2 = 0 then p_name else ' ' || c_name end as name from customer left join part on p_partkey = c_custkey) i"
 _SHELF = "(select cast(p_partkey as varchar) book_url, p_brand user_namespace, p_name name, p_type author, p_size order_num, p_retailprice price from part) p"
 
 QUERIES = {
@@ -243,15 +251,15 @@ QUERIES = {
     ),
     "shelf_sections": (
         shelf_sections,
-        """with g as (select cast(n_nationkey as bigint) id, n_name as name from nation where n_regionkey < 4),
-        b as (select coalesce(g.id, -1) section, c_name as name, cast(c_custkey as varchar) url from customer left join g on c_nationkey = g.id)
+        """with g as (select cast(n_nationkey as bigint) id, n_name as name from nation),
+        b as (select case when c_custkey % 7 = 0 then -1 else coalesce(g.id, -1) end section, c_name as name, cast(c_custkey as varchar) url from customer left join g on c_nationkey = g.id)
         select id section, 'group' kind, cast(0 as integer) place, name title from g
         union all select section, 'book', cast(row_number() over (partition by section order by name, url) as integer), name from b""",
     ),
-    "duplicate_names": (duplicate_names, f"select distinct trim(name) as name from {_SHELF} where order_num <= 10 and trim(name) <> '' and trim(name) in (select trim(name) from {_SHELF} where order_num > 40)"),
+    "duplicate_names": (duplicate_names, f"select distinct trim(name) as name from {_IN} where trim(name) <> '' and trim(name) in (select trim(name) from {_SHELF})"),
     "duplicate_before_add": (
         duplicate_before_add,
-        f"with s as (select * from {_SHELF} where order_num between 10 and 11) select book_url, name, case when book_url in (select book_url from s) then 'url' when name in (select name from s) then 'name' end as duplicate from {_SHELF} where order_num <= 12",
+        f"select book_url, name, case when book_url in (select book_url from {_SHELF}) then 'url' when name in (select name from {_SHELF}) then 'name' end as duplicate from {_IN}",
     ),
     "bookmarks_all": (bookmarks_all, "select cast(o_custkey as varchar) book_url, c_name as name, 'mark ' || o_orderkey as title, epoch_ms(o_orderdate) created_at from orders join customer on c_custkey = o_custkey"),
     "book_cache_counts": (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as T
 from folio.operators import chapters as C
 from folio.operators import dml, stats
+from folio.operators.state import workspace
 from folio.plans.shelf import read
 from folio.sources import files
 
@@ -157,6 +158,14 @@ def export_text(spark, d):
     return dml.exported(_chapters(spark, d))
 
 
+def export_files(spark, d):
+    """Each book's file, written and read back whole."""
+    path = f"{workspace(spark)}/export"
+    dml.export_files(_chapters(spark, d), path)
+    read_back = spark.read.schema("text string, book_url long").text(path, wholetext=True)
+    return read_back.select("book_url", "text")
+
+
 def chapters_by_language(spark, d):
     """Languages in the order in which they are first seen, with their number of texts."""
     rows = read(spark, d, "documents").groupBy("lang").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
@@ -280,6 +289,7 @@ QUERIES = {
     ),
     "speech_text": (speech_text, f"select book_url, chapter_index, left(array_to_string({_PARTS.format(t='content')}, '。'), 20000) speech from {_C}"),
     "export_text": (export_text, f"select book_url, string_agg(title || chr(10) || chr(10) || content || chr(10) || chr(10), '' order by chapter_index) as text from {_C} group by 1"),
+    "export_files": (export_files, f"select book_url, string_agg(title || chr(10) || chr(10) || content || chr(10) || chr(10), '' order by chapter_index) as text from {_C} group by 1"),
     "chapters_by_language": (chapters_by_language, "select lang, min(doc_id) as first, count(*) n from documents group by 1"),
     "first_of_title": (first_of_title, f"select book_url, title, min(chapter_index) chapter_index from {_C} group by 1, 2"),
 }

@@ -285,3 +285,30 @@ def test_groups_renumber_by_namespace(spark):
     rows = spark.createDataFrame([(i, i, ns) for ns in "ab" for i in range(1, 5)], "id long, order_num long, user_namespace string")
     got = shelf.moved(rows.where("user_namespace = 'a' or id < 3"), 4, 1).collect()
     assert {(r["user_namespace"], r["id"]): r["order_num"] for r in got} == {("a", 4): 1, ("a", 1): 2, ("a", 2): 3, ("a", 3): 4, ("b", 1): 1, ("b", 2): 2}
+
+
+def test_places_over_ranges(spark):
+    """A section of nearly all rows, small ones, and null keys, dealt to many ranges."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(7 if k % 10 else k % 3, rng.choice([None, f"n{rng.randint(0, 40):03}"]), k) for k in range(900)] + [(None, "x", 9000), (None, "w", 9001)]
+    got = shelf.placed(spark.createDataFrame(rows, "section long, name string, url long").repartition(5), "section", "name", "url")
+    assert got.columns == ["section", "name", "url", "place"]
+    want = []
+    for section in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == section), key=lambda r: (r[1] is not None, r[1] or "", r[2]))
+        want += [(*r, n) for n, r in enumerate(own, 1)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert shelf.placed(spark.createDataFrame([], "section long, name string, url long"), "section", "name", "url").count() == 0
+
+
+def test_files_of_exported_books(spark, tmp_path):
+    chapters_ = [(b, i, f"t{i}", f"line {i}\n\né" * (i % 4)) for b in ("a/b", "c d", "é") for i in range(12)]
+    df = spark.createDataFrame(chapters_, "book_url string, chapter_index int, title string, content string").repartition(4)
+    dml.export_files(df, str(tmp_path / "out"))
+    folders = [p for p in (tmp_path / "out").iterdir() if p.is_dir()]
+    assert len(folders) == 3 and all(len(list(p.glob("*.txt"))) == 1 for p in folders)
+    want = {r["book_url"]: r["text"] for r in dml.exported(df).collect()}
+    back = spark.read.schema("text string, book_url string").text(str(tmp_path / "out"), wholetext=True)
+    assert {r["book_url"]: r["text"] for r in back.collect()} == want
