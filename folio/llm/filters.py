@@ -58,8 +58,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def flags(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """``part, failed, n, good, toxic``: documents of each part by the set of filters that they fail.
 
-    Equal rows combine before every shuffle. Of repeated texts only those with
-    several ids meet the rows again, in a join that splits a hot text.
+    Equal rows combine before every shuffle, and the rows of a text before they
+    meet its smallest id, so a text with very many copies is a few rows there.
     """
     own = F.col("body")
     points, others = (F.length(x).cast("long") for x in (own, F.regexp_replace(own, "[A-Z]", "")))
@@ -70,13 +70,21 @@ def flags(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id") -> DataFra
     first = docs.groupBy(*_TEXT).agg(F.min("id").alias("least"), F.max("id").alias("most")).where("most > least").drop("most")
     one = lambda name: F.coalesce(F.max(F.col(name) == 1), F.lit(False)).alias(name)
     marks = labels.groupBy(F.col(key).alias("id")).agg(one("quality"), one("toxic")).where("id is not null and (quality or toxic)")
-    full = each.join(word_counts(docs), [*_ROW], "left").join(first, [*_TEXT], "left").join(marks, "id", "left")
+    full = each.join(word_counts(docs), [*_ROW], "left").join(marks, "id", "left")
     words, different = (F.coalesce(x, F.lit(0)) for x in ("words", "different"))
     a = F.when(words < LEAST_WORDS, BIT["A"]).otherwise(0)
     b = F.when(100 * different < LEAST_DISTINCT * words, BIT["B"]).otherwise(0)
-    e = F.when(F.col("id") > F.col("least"), BIT["E"]).otherwise(0)
-    full = full.select("part", (F.col("failed") + a + b + e).alias("failed"), "n", "quality", "toxic")
-    lost = lambda name: F.coalesce(F.sum(F.when(F.col(name), F.col("n"))), F.lit(0))
+    full = full.select(*_TEXT, "part", (F.col("failed") + a + b).alias("failed"), "quality", "toxic", "id", "n")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    named = F.when(F.col("id").isNotNull(), F.col("n"))
+    texts = full.groupBy(*_TEXT, "part", "failed", "quality", "toxic").agg(
+        F.sum("n").alias("n"), total(named).alias("named"), F.min("id").alias("own"), F.min_by("n", "id").alias("at_own")
+    )
+    # the rows of a text's smallest id don't repeat a smaller one's text, the others with an id do
+    e = F.when(F.col("least").isNull(), 0).when(F.col("own") == F.col("least"), F.col("named") - F.col("at_own")).otherwise(F.col("named"))
+    split = F.array(F.struct("failed", (F.col("n") - e).alias("n")), F.struct((F.col("failed") + BIT["E"]).alias("failed"), e.alias("n")))
+    full = texts.join(first, [*_TEXT], "left").select("part", "quality", "toxic", F.inline(split)).where("n > 0")
+    lost = lambda name: total(F.when(F.col(name), F.col("n")))
     return full.groupBy("part", "failed").agg(F.sum("n").alias("n"), lost("quality").alias("good"), lost("toxic").alias("toxic"))
 
 
