@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,8 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _local: dict[str, str] = {}
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Paths of the tables that are there, in the order in which they were written.
+_made: dict[str, None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +48,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
         spark.conf.unset(CLEANUP) if own is None else spark.conf.set(CLEANUP, own)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    _made[path] = None
+    return out
+
+
+def kept_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``kept(make(), name)``, and then without the tables that ``make`` has left for its result to read."""
+    before = set(_made)
+    out = kept(make(), name)
+    for path in [p for p in _made if p not in before and p != _paths[out]]:
+        _delete(out.sparkSession, path)
     return out
 
 
@@ -53,6 +66,11 @@ def discard(*tables: DataFrame | None) -> None:
     for table in tables:
         path = _paths.pop(table, None) if table is not None else None
         if path:
-            context = table.sparkSession.sparkContext
-            place = context._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _made.pop(path, None)
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)

@@ -230,7 +230,9 @@ def train(
     y = np.array([classes.index(x) for x in marks])
     order = rng.permutation(len(y))
     held, fit = order[: len(y) // 5], order[len(y) // 5 :]
-    embedding = rng.normal(0, 0.01, (1 << bits, width)).astype(np.float32)
+    embedding = np.empty((1 << bits, width), np.float32)
+    for lo in range(0, 1 << bits, 4096):  # in parts, as they are drawn with twice the bytes
+        embedding[lo : lo + 4096] = rng.normal(0, 0.01, (min(4096, (1 << bits) - lo), width))
     weights = rng.normal(0, 1, (width, len(classes))).astype(np.float32)
     bias = np.log(np.bincount(y[fit], minlength=len(classes)) + 1.0).astype(np.float32)
     bias -= bias.mean()

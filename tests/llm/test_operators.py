@@ -1006,3 +1006,22 @@ def test_a_template_in_more_documents_than_a_cell_has(spark, monkeypatch):
     assert all("same" not in t for t in dropped(spark, rows).values())
     few = [(k, f"{prose(9000 + k % 4, 200)} {k}\nThe same line in all of them") for k in range(40)]
     assert all("same" in t for t in dropped(spark, few).values())
+
+
+def test_tables_that_only_a_result_reads_go_with_it(spark):
+    from folio.llm import store
+
+    first = store.kept(spark.range(5).toDF("x"), "kept-test")
+    made = []
+
+    def make():
+        made.append(store.kept(first.where("x > 1"), "kept-test"))
+        return made[0].select((F.col("x") * 2).alias("x"))
+
+    out = store.kept_alone(make, "kept-test")
+    assert sorted(r["x"] for r in out.collect()) == [4, 6, 8] and first.count() == 5
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        made[0].collect()
+    store.discard(first, out, None, spark.range(1))
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        out.collect()
