@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folio.llm import decontaminate, linededup, minhash, packing, toxicity
 from folio.llm.queries import table, tokenizer_path
 from folio.llm.ship import ship
-from folio.llm.store import kept
+from folio.llm.store import discard, kept, kept_alone
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,7 +81,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again but the last."""
-    step = lambda docs, stage: stage[1](spark, docs if docs is start else kept(docs, "pipeline"), sf_dir)
-    start = table(spark, sf_dir, "documents")
-    return reduce(step, STAGES, start)
+    """All stages over ``documents``, each written and read again but the last.
+
+    What a stage has kept for its result, and the table that it read, go as soon
+    as its own table is written.
+    """
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, kept_alone(partial(stage, spark, docs, sf_dir), "pipeline")
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
