@@ -312,3 +312,17 @@ def test_files_of_exported_books(spark, tmp_path):
     want = {r["book_url"]: r["text"] for r in dml.exported(df).collect()}
     back = spark.read.schema("text string, book_url string").text(str(tmp_path / "out"), wholetext=True)
     assert {r["book_url"]: r["text"] for r in back.collect()} == want
+
+
+def test_all_references_of_html(spark):
+    """Every name with and without its end, numbers of all kinds, and texts that only look like references."""
+    import html
+
+    names = sorted(html.entities.html5)
+    texts = [f"a&{n}b" for n in names] + [f"&{n.rstrip(';')} {n}&{n}" for n in names]
+    numbers = [*range(0, 300), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x1F600, 0x1FFFE, 0x10FFFF, 0x110000, 10**7, 10**9, 10**30]
+    texts += [form.format(n) for n in numbers for form in ("&#{};", "x&#{}y", "&#x{:x};", "&#X{:X} ", "&#000000000{};")]
+    texts += ["", "&", "&&", "&;", "&#;", "&#x;", "&#xg;", "& amp;", "&notit;", "&notin;", "&ampamp;", "&nosuchname;", "&" + "a" * 40 + ";", "&amp;lt;", "\U0001f600&eacute;é", "&#12a;", "&a\nb;"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    bad = [(r["t"], r["u"]) for r in rows.select("t", T.unescaped(F.col("t")).alias("u")).collect() if r["u"] != (html.unescape(r["t"]) if r["t"] is not None else None)]
+    assert not bad, bad[:5]
