@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.operators import chapters as C
-from folio.operators import dml, stats
+from folio.operators import dml, postings, stats
 from folio.operators.state import workspace
 from folio.plans.shelf import read
 from folio.sources import files
@@ -47,6 +47,14 @@ def search_across_books(spark, d):
     return C.search_books(_chapters(spark, d), "on", most=3)
 
 
+def search_by_postings(spark, d):
+    """The chapters are listed in two imports, then searched."""
+    c, path = _chapters(spark, d), f"{workspace(spark)}/postings"
+    for part in (0, 1):
+        postings.append(c.where(F.col("book_url") % 2 == part), path)
+    return postings.search_books(c, path, "Tion", most=3)
+
+
 def match_counts(spark, d):
     return C.matches(_chapters(spark, d), "the")
 
@@ -220,6 +228,11 @@ QUERIES = {
         f"""with h as (select book_url, chapter_index, {_SNIPPET.format(k='on', n=2)} snippet from {_C} where contains(lower(content), 'on'))
         select book_url, chapter_index, snippet, cast(row_number() over w as integer) hit, count(*) over (partition by book_url) hits from h window w as (partition by book_url order by chapter_index) qualify row_number() over w <= 3""",
     ),
+    "search_by_postings": (
+        search_by_postings,
+        f"""with h as (select book_url, chapter_index, {_SNIPPET.format(k='tion', n=4)} snippet from {_C} where contains(lower(content), 'tion'))
+        select book_url, chapter_index, snippet, cast(row_number() over w as integer) hit, count(*) over (partition by book_url) hits from h window w as (partition by book_url order by chapter_index) qualify row_number() over w <= 3""",
+    ),
     "match_counts": (match_counts, _HITS + " select book_url, chapter_index, paragraph, matches, before from r"),
     "match_locate": (match_locate, _HITS + " select book_url, chapter_index, paragraph, matches, before, 4 - before as local from r where before <= 4 and 4 < before + matches"),
     "highlight": (

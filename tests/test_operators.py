@@ -326,3 +326,20 @@ def test_all_references_of_html(spark):
     rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
     bad = [(r["t"], r["u"]) for r in rows.select("t", T.unescaped(F.col("t")).alias("u")).collect() if r["u"] != (html.unescape(r["t"]) if r["t"] is not None else None)]
     assert not bad, bad[:5]
+
+
+def test_search_by_postings(spark, tmp_path):
+    """The rows of a plain search for keywords of all lengths and rarities; a rare one leaves few chapters to read."""
+    from folio.operators import postings
+
+    texts = ["The cat sat", "a CATALOGUE of cats", "", "ca", None, "naïve Straße 😀 猫猫猫", "catcatcat", "sat on the mat", "x" * 5000 + "needle"]
+    rows = [("b%d" % (k % 3), k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "book_url string, chapter_index int, content string")
+    path = str(tmp_path / "postings")
+    postings.append(df.where("chapter_index < 5"), path)
+    postings.append(df.where("chapter_index >= 5"), path)
+    for keyword in ("cat", "Cats", "ca", "a", "needle", "nothing here", "😀 猫", "猫猫猫", "sat on", "e 😀"):
+        want = sorted(map(tuple, chapters.search_books(df, keyword, most=2).collect()))
+        assert sorted(map(tuple, postings.search_books(df, path, keyword, most=2).collect())) == want, keyword
+    assert [tuple(r) for r in postings.candidates(path, "needle", df).collect()] == [("b2", 8)]
+    assert postings.candidates(path, "nothing here", df).count() == 0 and postings.candidates(path, "ca", df) is None
