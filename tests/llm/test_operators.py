@@ -1025,3 +1025,39 @@ def test_tables_that_only_a_result_reads_go_with_it(spark):
     store.discard(first, out, None, spark.range(1))
     with pytest.raises(Exception, match="(?i)exist|not found"):
         out.collect()
+
+
+# cases that several operators share
+
+
+def test_very_long_texts(spark):
+    """A text of two megabytes beside its near copy: one class, one label, all lines there."""
+    long = "\n".join(prose(20_000 + k, 200) for k in range(1700))
+    near = long.replace("\n", "\nx ", 40)
+    rows = [(1, long), (2, near), (3, prose(1, 50))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(table(spark, rows), width=5).collect()}
+    assert got == {i: (n, c) for i, n, c in classes(rows, 5, 80)} and got[2][1] == 1
+    assert dropped(spark, rows) == dict(rows)
+    model = subword.train(tiny_bags(), sizes=(3,), bits=6, width=3, epochs=1)
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(table(spark, rows), model).collect()}
+    parts = model.scores(pa.array([long]))[0, 1]
+    assert scored[1] == pytest.approx(parts) and 0 <= scored[2] <= 1
+
+
+def test_empty_tables(spark):
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert neighbours.nearest(vectors, vectors, 5).count() == 0
+    some = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    assert neighbours.nearest(some, vectors, 5).count() == neighbours.nearest(vectors, some, 5).count() == 0
+    none = table(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(none, labels)
+    assert toxicity.score(none, model).count() == 0 and toxicity.without_toxic(none, model).count() == 0
+    assert {r["score"] for r in toxicity.score(table(spark, ODD), model).collect()} == {0.0}
+
+
+def test_columns_of_a_benchmark_may_have_any_name(spark):
+    items = spark.createDataFrame([(1, prose(3, 30), 5, "x", None)], "item_id long, text string, doc_id long, i string, edits int")
+    docs = table(spark, [(7, "lead " + prose(3, 30) + " tail"), (8, prose(4, 30))])
+    assert [(r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.contamination(docs, items).collect()] == [(7, 1, 0)]
+    assert [r["doc_id"] for r in decontaminate.without_leaks(docs, items).collect()] == [8]

@@ -76,3 +76,9 @@ def test_stages(spark, planted, tmp_path):
 def test_run_gives_the_stages_result(spark, planted):
     got = corpus_pipeline.run(spark, planted["dir"])
     assert {r["doc_id"] for r in got.select("doc_id").distinct().collect()} == set(planted["clean"])
+
+
+def test_run_of_an_empty_table(spark, planted, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{planted['dir']}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
