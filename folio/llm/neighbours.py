@@ -23,6 +23,9 @@ QUERY_BLOCK, TILE = 4096, 2048
 #: Candidates that a task scans at least, so that partial results stay small beside them.
 LEAST_SCAN = 16_384
 
+#: One candidate in so many is searched first, for the score that all others have to reach.
+FIRST = 16
+
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 values (as floats, for fast exact products), scales, norms of what they give and of what they miss."""
@@ -43,12 +46,13 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Search:
     """The running answer of one task for one block of queries of one dimension."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, least: np.ndarray | None = None):
+        """``least``: scores that the queries' answers reach for certain, so that what lies below is left out."""
         self.ids, self.k = ids, k
         self.vectors = vectors
         self.q, self.scale, self.norm, self.miss = quantised(vectors)
         self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
-        self.least = np.full(len(ids), -np.inf)
+        self.least = np.full(len(ids), -np.inf) if least is None else least.copy()
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         ids, vectors = self._few_of_each(ids, vectors)
@@ -70,7 +74,10 @@ class Search:
             rows, columns = np.nonzero(near + error >= need[:, None])
             rows = rows + lo
             other = self.ids[rows] != ids[columns]
-            self._merge(rows[other], ids[columns[other]], exact(self.vectors[rows[other]], vectors[columns[other]]))
+            rows, columns = rows[other], columns[other]
+            scores = exact(self.vectors[rows], vectors[columns])
+            enough = scores >= self.least[rows]
+            self._merge(rows[enough], ids[columns[enough]], scores[enough])
 
     def _few_of_each(self, ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of equal vectors in a tile, only the k + 1 smallest ids can be among the k nearest."""
@@ -123,9 +130,11 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` largest inner products for each query.
 
-    Queries go to the tasks in blocks of bounded size, one job a block; each
-    task scans its candidates and returns ``k`` rows a query. The result is
-    exact, ties go to the smaller id.
+    Queries go to the tasks in blocks of bounded size, two jobs a block. The
+    first one searches one candidate in ``FIRST``; its k-th best is what the
+    tasks of the second one leave candidates out by, so all of them together
+    return about ``FIRST * k`` rows a query, however many they are. The result
+    is exact, ties go to the smaller id.
 
     Defined cases: vectors that are null, zero, or hold a null or non-finite
     component take no part; nor do null ids; vectors of other lengths than the
@@ -138,32 +147,57 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str = "
     count, total = asked.count(), fine.count()
     blocks = max(1, -(-count // QUERY_BLOCK))
     candidates = fine.coalesce(max(1, -(-total // LEAST_SCAN)))
+    first = fine.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(FIRST)) == 0).coalesce(max(1, -(-total // (FIRST * LEAST_SCAN))))
     partial = None
     for block in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow()
         if not len(own):
             continue
-        sent = spark.sparkContext.broadcast(list(_matrices(own.column(0).combine_chunks(), own.column(1).combine_chunks())))
-
-        def each(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            searches = {v.shape[1]: Search(ids, v, k) for ids, v in sent.value}
-            for batch in batches:
-                for lo in range(0, len(batch), TILE):
-                    tile = batch.slice(lo, TILE)
-                    for ids, v in _matrices(tile.column(0), tile.column(1)):
-                        if v.shape[1] in searches:
-                            searches[v.shape[1]].add(ids, v)
-            rows = [x for s in searches.values() for x in s.rows()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))],
-                names=["query_id", "vec_id", "score"],
-            )
-
-        found = candidates.mapInArrow(each, "query_id long, vec_id long, score double")
+        own = list(_matrices(own.column(0).combine_chunks(), own.column(1).combine_chunks()))
+        # the k-th best among the first candidates, one number a query, bounds what the others send
+        few = _best(_searched(first, own, {}, k), k).where(F.col("rank") == k).select("query_id", "score").toArrow()
+        order = np.argsort(few.column("query_id").to_numpy())
+        keys, scores = few.column("query_id").to_numpy()[order], few.column("score").to_numpy()[order]
+        least = {v.shape[1]: _reached(keys, scores, ids) for ids, v in own}
+        found = _searched(candidates, own, least, k)
         found = kept(found, "neighbours") if blocks > 1 else found
         partial = found if partial is None else partial.union(found)
     if partial is None:
         partial = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    return _best(partial, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _best(partial: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best rows of each query with their rank."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _reached(keys: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The scores of ``ids`` in a table with sorted keys, and none at all where it has none."""
+    if not len(keys):
+        return np.full(len(ids), -np.inf)
+    at = np.minimum(np.searchsorted(keys, ids), len(keys) - 1)
+    return np.where(keys[at] == ids, scores[at], -np.inf)
+
+
+def _searched(candidates: DataFrame, queries: list[tuple[np.ndarray, np.ndarray]], least: dict[int, np.ndarray], k: int) -> DataFrame:
+    """``query_id, vec_id, score``: each task's ``k`` best candidates at most for each query, those that reach ``least``."""
+    sent = candidates.sparkSession.sparkContext.broadcast((queries, least))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, reached = sent.value
+        searches = {v.shape[1]: Search(ids, v, k, reached.get(v.shape[1])) for ids, v in own}
+        for batch in batches:
+            for lo in range(0, len(batch), TILE):
+                tile = batch.slice(lo, TILE)
+                for ids, v in _matrices(tile.column(0), tile.column(1)):
+                    if v.shape[1] in searches:
+                        searches[v.shape[1]].add(ids, v)
+        rows = [x for s in searches.values() for x in s.rows()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))],
+            names=["query_id", "vec_id", "score"],
+        )
+
+    return candidates.mapInArrow(each, "query_id long, vec_id long, score double")

@@ -311,6 +311,30 @@ def test_nearest(spark, monkeypatch, queries, tile):
     assert set(got) == set(range(0, 180, 20))
 
 
+def test_first_candidates_bound_what_others_send(spark, monkeypatch):
+    """Whatever share is searched first, with ties and repeated query ids, the answer is the same; the tasks send less."""
+    rng = np.random.default_rng(9)
+    vectors = [[float(x) for x in np.float32(rng.normal(size=6))] for _ in range(600)] + [[0.5] * 6] * 200
+    rows = [(k, v) for k, v in enumerate(vectors)] + [(40, vectors[3]), (40, vectors[40])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4).cache()
+    answers, sent = [], []
+    monkeypatch.setattr(neighbours, "LEAST_SCAN", 150)
+    searched = neighbours._searched
+
+    def counted(candidates, queries, least, k):
+        out = searched(candidates, queries, least, k)
+        if least:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "_searched", counted)
+    for first in (10**6, 2, 1):
+        monkeypatch.setattr(neighbours, "FIRST", first)
+        answers.append(sorted(map(tuple, neighbours.nearest(df, df.where("vec_id % 40 = 0"), 7).collect())))
+    assert answers[0] == answers[1] == answers[2]
+    assert sent[2] < sent[1] < sent[0]
+
+
 def test_nearest_query_equals_its_sql(spark):
     import duckdb
 
