@@ -80,26 +80,37 @@ def imported(rows: DataFrame, raw: Column, *keys: str) -> DataFrame:
 
 
 def _normalised(tree: Column) -> Column:
-    kind = lambda path: F.schema_of_variant(F.try_variant_get(tree, path, "variant"))
-    number = lambda path: F.try_variant_get(tree, path, "double")
-    plain = lambda path: kind(path).rlike("^(BIGINT|DOUBLE|DECIMAL)")
+    part = lambda x, name: F.try_variant_get(x, f"$.{name}", "variant")
+    number = lambda x: F.try_variant_get(x, "$", "double")
+    plain = lambda x: F.schema_of_variant(x).rlike("^(BIGINT|DOUBLE|DECIMAL)")
     zero = F.lit(0.0)
 
+    def inner(x: Column) -> Column:
+        """An object's seconds, or its minutes, and its count."""
+        minutes = F.coalesce(number(part(x, "minutes")), zero)
+        worked = bound(minutes, lambda m: F.when(m > 0, F.floor(m * 60 + 0.5).cast("double")).otherwise(zero))
+        seconds = bound(part(x, "seconds"), lambda s: F.when(plain(s), F.greatest(zero, number(s))).otherwise(worked))
+        return F.struct(seconds.alias("seconds"), F.coalesce(number(part(x, "count")), zero).alias("count"))
+
     def cell(name: str) -> Column:
-        own, minutes = f"$.{name}", F.coalesce(number(f"$.{name}.minutes"), zero)
-        inner = F.when(plain(f"{own}.seconds"), F.greatest(zero, number(f"{own}.seconds"))).when(minutes > 0, F.floor(minutes * 60 + 0.5).cast("double")).otherwise(zero)
-        seconds = F.when(plain(own), F.greatest(zero, number(own))).otherwise(inner)
-        count = F.when(plain(own), zero).otherwise(F.coalesce(number(f"{own}.count"), zero))
-        return F.struct(seconds.alias("seconds"), count.alias("count"))
+        whole = lambda x: F.struct(F.greatest(zero, number(x)).alias("seconds"), zero.alias("count"))
+        none = F.struct(zero.alias("seconds"), zero.alias("count"))
+        return bound(part(tree, name), lambda x: F.when(x.isNull(), none).when(plain(x), whole(x)).otherwise(inner(x)))
 
     array = "array<variant>"
     books = F.coalesce(F.try_variant_get(tree, "$.books", array), F.try_variant_get(tree, "$.topBooks", array), F.array().cast(array))
-    field = lambda x, name: F.when(F.schema_of_variant(F.try_variant_get(x, f"$.{name}", "variant")) == "STRING", F.try_variant_get(x, f"$.{name}", "string"))
-    value = lambda x, name: F.try_variant_get(x, f"$.{name}", "double")
+    text = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    fields = "struct<name:variant,bookName:variant,bookUrl:variant,seconds:variant,chars:variant,count:variant>"
+    numbers = ("seconds", "chars", "count")
+
+    def entry(x: Column) -> Column:
+        """An object's fields, read in one pass."""
+        own = lambda o: F.struct(F.coalesce(text(o["name"]), text(o["bookName"])).alias("name"), text(o["bookUrl"]).alias("book_url"), *(number(o[c]).alias(c) for c in numbers))
+        return bound(F.try_variant_get(x, "$", fields), own)
 
     def book(x: Column) -> Column:
-        name = F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.coalesce(field(x, "name"), field(x, "bookName")))
-        return F.struct(name.alias("name"), field(x, "bookUrl").alias("book_url"), *(value(x, c).alias(c) for c in ("seconds", "chars", "count")))
+        name = F.struct(F.try_variant_get(x, "$", "string").alias("name"), F.lit(None).cast("string").alias("book_url"), *(F.lit(None).cast("double").alias(c) for c in numbers))
+        return F.when(F.schema_of_variant(x) == "STRING", name).otherwise(entry(x))
 
     top = F.filter(F.transform(books, book), lambda b: F.coalesce(b["name"], F.lit("")) != "")
     return F.when(F.schema_of_variant(tree).startswith("OBJECT"), F.struct(*(cell(c).alias(c) for c in ("today", "week", "total")), top.alias("top")))

@@ -211,6 +211,16 @@ def private_addresses(spark, d):
     return e.select("event_id", V.is_private(ip).alias("private"))
 
 
+def private_addresses_6(spark, d):
+    """IPv6 in its spellings: shortened, with groups of all widths, and with an IPv4 address at its end."""
+    e = read(spark, d, "events")
+    k = F.col("event_id")
+    group, octet = F.lower(F.hex(k % 65536)), (k % 256).cast("string")
+    forms = [F.lit("::1"), F.concat(F.lit("fe80::1:"), group), F.concat(F.lit("FD00:"), group, F.lit("::1")), F.concat(F.lit("2001:db8::"), group), F.concat(F.lit("::ffff:10.0.0."), octet)]
+    forms += [F.concat(F.lit("::FFFF:8.8.8."), octet), F.concat(F.lit("ff02:0:0:0:0:0:0:"), group), F.concat(F.lit("1::2::"), group)]
+    return e.select("event_id", V.is_private(F.element_at(F.array(*forms), (k % 8 + 1).cast("int"))).alias("private"))
+
+
 def week_starts(spark, d):
     e = read(spark, d, "events")
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
@@ -301,6 +311,7 @@ QUERIES = {
         """select event_id, case event_id % 8 when 0 then true when 1 then event_id % 256 between 16 and 31 when 2 then event_id % 256 = 168 when 3 then true when 4 then event_id % 256 = 254
         when 5 then true else false end private from events""",
     ),
+    "private_addresses_6": (private_addresses_6, "select event_id, event_id % 8 in (0, 1, 2, 4, 6) private from events"),
     "week_starts": (week_starts, "select event_id, strftime(ts, '%Y-%m-%d') as day, strftime(date_trunc('week', ts), '%Y-%m-%d') as week from events"),
     "colour_mix": (
         colour_mix,

@@ -343,3 +343,19 @@ def test_search_by_postings(spark, tmp_path):
         assert sorted(map(tuple, postings.search_books(df, path, keyword, most=2).collect())) == want, keyword
     assert [tuple(r) for r in postings.candidates(path, "needle", df).collect()] == [("b2", 8)]
     assert postings.candidates(path, "nothing here", df).count() == 0 and postings.candidates(path, "ca", df) is None
+
+
+def test_statistics_of_all_shapes(spark):
+    shapes = {
+        '{"today": 5, "week": -3, "total": 1.5, "books": ["A", "", {"name": "B", "bookUrl": "u", "seconds": 2, "chars": "7", "count": 1}]}': ([(5.0, 0.0), (0.0, 0.0), (1.5, 0.0)], [("A", None, None, None, None), ("B", "u", 2.0, 7.0, 1.0)]),
+        '{"today": {"seconds": 9, "minutes": 3, "count": 2}, "week": {"minutes": 1.25}, "total": {"seconds": "9"}, "topBooks": [{"bookName": "C", "name": 4}, {"x": 1}, 7, null]}': ([(9.0, 2.0), (75.0, 0.0), (0.0, 0.0)], [("C", None, None, None, None)]),
+        '{"today": "x", "week": null, "total": [1]}': ([(0.0, 0.0)] * 3, []),
+        "{}": ([(0.0, 0.0)] * 3, []),
+        "[1]": (None, None),
+        "{bad": (None, None),
+    }
+    df = spark.createDataFrame([(k,) for k in shapes] + [(None,)], "raw string")
+    for r in stats.imported(df, F.col("raw"), "raw").collect():
+        cells, top = shapes.get(r["raw"], (None, None))
+        assert (None if r["today"] is None else [tuple(r[c]) for c in ("today", "week", "total")]) == cells, r["raw"]
+        assert (None if r["top"] is None else [tuple(b) for b in r["top"]]) == top, r["raw"]
