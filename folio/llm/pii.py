@@ -33,8 +33,8 @@ MOST_PART, CARD_DIGITS, PHONE_DIGITS = 255, (12, 19), (9, 15)
 LABELS = ("", "email", "ip", "card", "card+", "phone", "phone+")
 _KIND = np.array([-1, 0, 1, 2, 2, 3, 3])
 
-#: Documents, and sequences of at most so many words, that the field is fitted on.
-FIT_ROWS, FIT_SEQUENCES, FIT_WORDS = 4000, 20_000, 64
+#: Documents of at most so many bytes, and sequences of at most so many words, that the field is fitted on.
+FIT_ROWS, FIT_BYTES, FIT_SEQUENCES, FIT_WORDS = 4000, 4 << 20, 20_000, 64
 
 #: Words that announce personal data.
 CUES = (
@@ -415,9 +415,11 @@ def fit(docs: DataFrame, examples: tuple[str, ...] = EXAMPLES, *, rows: int = FI
     """Fit on the examples and on at most ``FIT_SEQUENCES`` different sequences of at most ``rows`` documents.
 
     Documents and sequences are chosen by hash, so copies count once and the
-    choice doesn't depend on how rows are dealt. Null texts have no sequence.
+    choice doesn't depend on how rows are dealt. Null texts have no sequence, and
+    texts of more than ``FIT_BYTES`` aren't chosen.
     """
-    own = sample.evenly(docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")), rows, "t")
+    short = docs.where(F.octet_length(text) <= FIT_BYTES)
+    own = sample.evenly(short.select(F.coalesce(F.col(text), F.lit("")).alias("t")), rows, "t")
     found = sequences(own).dropDuplicates(["h"]).orderBy("h").limit(FIT_SEQUENCES).collect()
     texts, spans = zip(*map(marked, examples)) if examples else ((), ())
     data, at = arrays.text_buffers(pa.array(texts, pa.string()))
@@ -435,8 +437,31 @@ _EDGE = {0: (b"[A-Za-z0-9]", b"[A-Za-z0-9]"), 1: (b"[0-9A-Fa-f:]", b"[0-9A-Fa-f:
 _WHOLE = {k: re.compile(a + b"(?:.*" + b + b")?", re.DOTALL) for k, (a, b) in _EDGE.items()}
 
 
+def _cuts(data: np.ndarray) -> list[int]:
+    """Borders of pieces of a long text, about ``arrays.CHUNK`` each, that end with a line."""
+    lines = np.flatnonzero(data == 10) + 1
+    found = lines[np.searchsorted(lines, np.arange(arrays.CHUNK, len(data), arrays.CHUNK), side="right") - 1] if len(lines) else lines
+    return [0, *np.unique(found[(found > 0) & (found < len(data))]).tolist(), len(data)]
+
+
 def field_spans(field: Field, data: np.ndarray, at: np.ndarray) -> dict[int, list[Span]]:
-    """The field's spans of each text that has any, in code points, without punctuation at their edges."""
+    """The field's spans of each text that has any, in code points, without punctuation at their edges.
+
+    Nothing reaches over the end of a line, so a text that is a chunk of its own
+    is read in pieces of whole lines, and memory doesn't follow its length.
+    """
+    if len(at) != 2 or len(data) <= 2 * arrays.CHUNK:
+        return _field_spans(field, data, at)
+    cuts, before, out = _cuts(data), 0, []
+    for a, b in zip(cuts, cuts[1:]):
+        piece = data[a:b]
+        found = _field_spans(field, piece, np.array([0, b - a])).get(0, [])
+        out += [(start + before, kind, end + before) for start, kind, end in found]
+        before += int(np.count_nonzero((piece & 0xC0) != 0x80))
+    return {0: out} if out else {}
+
+
+def _field_spans(field: Field, data: np.ndarray, at: np.ndarray) -> dict[int, list[Span]]:
     words = words_of(data, at)
     labels = field.decode(words)
     out: dict[int, list[Span]] = {}
@@ -484,10 +509,10 @@ def scan(docs: DataFrame, field: Field, *, key: str = "doc_id", text: str = "tex
             base: list[list] = []
             added: list[list] = []
             for lo, hi, data, at in _texts(batch.column(1)):
-                marks = np.concatenate([[0], np.cumsum(_MARK[data])])[at]
+                marks = set((np.searchsorted(at, np.flatnonzero(_MARK[data]), side="right") - 1).tolist())
                 found = field_spans(field, data, at)
                 for k in range(hi - lo):
-                    own = base_spans(batch.column(1)[lo + k].as_py()) if marks[k + 1] > marks[k] else []
+                    own = base_spans(batch.column(1)[lo + k].as_py()) if k in marks else []
                     base.append([(a, KINDS[x], b) for a, x, b in own])
                     added.append([(a, KINDS[x], b) for a, x, b in apart(own, sorted(found.get(k, [])))])
             yield pa.RecordBatch.from_arrays(

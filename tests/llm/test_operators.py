@@ -938,6 +938,17 @@ def test_field_finds_what_patterns_find_and_more(spark, field):
     assert {k: [t[a:b] for a, _, b in found.get(k, [])] for k, t in enumerate([*new, *clean])} == {k: [x] for k, x in enumerate(new.values())} | {k + len(new): [] for k in range(len(clean))}
 
 
+def test_long_texts_are_read_in_pieces_of_lines(field, monkeypatch):
+    lines = [f"é {prose(k, 12)} tel. (646) 555-{k:04} and a.{k}@ex.org" + "\n" * (k % 3) for k in range(400)] + ["", "no line ends here " * 300]
+    data, at = arrays.text_buffers(pa.array(["\n".join(lines)]))
+    whole = pii.field_spans(field, data, at)
+    monkeypatch.setattr(arrays, "CHUNK", 1000)
+    assert len(pii._cuts(data)) > 20
+    assert pii.field_spans(field, data, at) == whole and len(whole[0]) > 300
+    data, at = arrays.text_buffers(pa.array(["no line at all (646) 555-0177 " * 200]))
+    assert pii._cuts(data) == [0, len(data)] and pii.field_spans(field, data, at) == pii._field_spans(field, data, at)
+
+
 def test_personal_data(spark, field):
     texts = [t for _, t in ODD] + [
         "é 10.0.0.1, a@b.c\n+1 (487) 555-7209",
