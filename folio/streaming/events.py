@@ -124,7 +124,8 @@ class Contents(StatefulProcessor):
 def contents_stream(events: DataFrame, ttl: int = CONTENTS_TTL) -> DataFrame:
     """What a cache of tables of contents answers: one row for each question of ``events(book_url, time, event_id, contents)``.
 
-    An event with contents stores them, one without asks. Needs the RocksDB state store.
+    An event with contents stores them, one without asks. Needs the RocksDB state
+    store; as the store has a clock, the query goes on under any trigger until it is stopped.
     """
     return events.groupBy("book_url").transformWithStateInPandas(statefulProcessor=Contents(ttl), outputStructType=LOOKUP, outputMode="Append", timeMode="ProcessingTime")
 
@@ -241,6 +242,7 @@ def frames_stream(chunks: DataFrame, wait_ms: int = 30_000) -> DataFrame:
     """``frames`` over a stream of ``chunks(stream, seq, chunk)``, ``seq`` from 0, in any order (needs the RocksDB state store).
 
     A chunk that is missing for ``wait_ms`` while later ones are there is given
-    up together with the tail before it.
+    up together with the tail before it; for that clock's sake the query goes on
+    under any trigger until it is stopped.
     """
     return chunks.groupBy("stream").transformWithStateInPandas(statefulProcessor=Frames(wait_ms), outputStructType=FRAME, outputMode="Append", timeMode="ProcessingTime")
