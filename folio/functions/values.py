@@ -216,8 +216,9 @@ def address_key(c: Column) -> Column:
     tail = lambda o: F.concat(F.get(o, 0), F.get(o, 1), F.lit(":"), F.get(o, 2), F.get(o, 3))
     dotted = lambda x: F.regexp_extract(x, rf":({_QUAD})$", 1)
     undotted = lambda x, q: F.when(q == "", x).otherwise(F.concat(F.left(x, F.length(x) - F.length(q)), bound(octets(q), tail)))
-    whole = F.when(c.rlike(rf"^{_QUAD}$"), F.concat(F.lit("::ffff:"), c)).otherwise(F.lower(c))
-    return bound(whole, lambda x: bound(bound(dotted(x), lambda q: undotted(x, q)), _expanded))
+    six = lambda x: bound(bound(dotted(x), lambda q: undotted(x, q)), _expanded)
+    four = F.concat(F.lit("0" * 20 + "ffff"), F.array_join(octets(c), ""))
+    return F.when(c.rlike(rf"^{_QUAD}$"), four).otherwise(bound(F.lower(c), six))
 
 
 def ipv6(c: Column) -> Column:

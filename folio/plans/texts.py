@@ -167,11 +167,11 @@ def export_text(spark, d):
 
 
 def export_files(spark, d):
-    """Each book's file, written and read back whole."""
+    """documents as chapters of a few large books, one for each language; each book's file, written and read back whole."""
     path = f"{workspace(spark)}/export"
-    dml.export_files(_chapters(spark, d), path)
-    read_back = spark.read.schema("text string, book_url long").text(path, wholetext=True)
-    return read_back.select("book_url", "text")
+    docs = read(spark, d, "documents")
+    dml.export_files(docs.select(F.col("lang").alias("book_url"), F.col("doc_id").alias("chapter_index"), F.col("source").alias("title"), F.col("text").alias("content")), path)
+    return spark.read.schema("text string, book_url string").text(path, wholetext=True).select("book_url", "text")
 
 
 def chapters_by_language(spark, d):
@@ -302,7 +302,7 @@ QUERIES = {
     ),
     "speech_text": (speech_text, f"select book_url, chapter_index, left(array_to_string({_PARTS.format(t='content')}, '。'), 20000) speech from {_C}"),
     "export_text": (export_text, f"select book_url, string_agg(title || chr(10) || chr(10) || content || chr(10) || chr(10), '' order by chapter_index) as text from {_C} group by 1"),
-    "export_files": (export_files, f"select book_url, string_agg(title || chr(10) || chr(10) || content || chr(10) || chr(10), '' order by chapter_index) as text from {_C} group by 1"),
+    "export_files": (export_files, "select lang book_url, string_agg(source || chr(10) || chr(10) || text || chr(10) || chr(10), '' order by doc_id) as text from documents group by 1"),
     "chapters_by_language": (chapters_by_language, "select lang, min(doc_id) as first, count(*) n from documents group by 1"),
     "first_of_title": (first_of_title, f"select book_url, title, min(chapter_index) chapter_index from {_C} group by 1, 2"),
 }
