@@ -70,17 +70,25 @@ def namespace_rules(rules: DataFrame, *, rule: str = "rule", enable: str = "enab
     return good.groupBy(namespace).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["pattern"]).alias("__rules"))
 
 
-def with_titles(docs: DataFrame, rules: DataFrame | list[str] | None, defaults: tuple[str, ...], namespace: str) -> DataFrame:
+def with_titles(docs: DataFrame, rules: DataFrame | list[str] | None, defaults: tuple[str, ...], namespace: str, key: str, few: bool = False) -> DataFrame:
     """``docs`` with ``__titles``, the pattern of its title lines.
 
     Rules are a list for all texts, or the stored table, whose patterns each text
-    gets by its namespace: one row a namespace joins, and Spark sends them to all
-    tasks only while they are small.
+    gets by its namespace, one row a namespace. Those of ``few`` namespaces are
+    sent to all tasks and no text moves. Otherwise both sides are dealt by the
+    namespace and a share of the texts' ``key``, as many as there are shuffle
+    partitions, so that a namespace with very many texts is no single task.
     """
     if isinstance(rules, DataFrame):
         own = namespace_rules(rules, namespace=namespace)
         empty = F.array().cast("array<string>")
-        return docs.join(own, namespace, "left").withColumn("__titles", title_pattern(F.coalesce("__rules", empty), defaults)).drop("__rules")
+        if few:
+            rows = docs.join(F.broadcast(own), namespace, "left")
+        else:
+            shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            own = own.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("__share"))
+            rows = docs.withColumn("__share", F.pmod(F.xxhash64(key), F.lit(shares))).join(own, [namespace, "__share"], "left").drop("__share")
+        return rows.withColumn("__titles", title_pattern(F.coalesce("__rules", empty), defaults)).drop("__rules")
     # here Python and then Java read the rules, so a list holds what both know
     return docs.withColumn("__titles", title_pattern(F.array(*map(F.lit, usable_rules(rules or []))).cast("array<string>"), defaults))
 
@@ -102,10 +110,10 @@ def _cut(lines: Column, at: Column, raw: Column) -> Column:
     return F.struct(found.alias("chapters"), F.slice(lines, 1, 20).alias("head"))
 
 
-def _pieces(docs: DataFrame, rules: DataFrame | list[str] | None, keep: tuple[str, ...], text: str, defaults: tuple[str, ...], namespace: str) -> tuple[DataFrame, Column]:
+def _pieces(docs: DataFrame, rules: DataFrame | list[str] | None, keep: tuple[str, ...], text: str, defaults: tuple[str, ...], namespace: str, few: bool) -> tuple[DataFrame, Column]:
     """Texts with their title patterns, and the expression that cuts one."""
     own = {namespace} - {*keep, text} if isinstance(rules, DataFrame) else ()
-    rows = with_titles(docs.select(*keep, text, *own), rules, defaults, namespace)
+    rows = with_titles(docs.select(*keep, text, *own), rules, defaults, namespace, keep[0], few)
     # of the functions on patterns this one keeps the compiled pattern while the column doesn't change
     title = lambda x: F.regexp_instr(x, F.col("__titles")) > 0
     marks = lambda lines: F.array_compact(F.transform(lines, lambda x, i: F.when(title(x), i)))
@@ -114,7 +122,7 @@ def _pieces(docs: DataFrame, rules: DataFrame | list[str] | None, keep: tuple[st
 
 
 def segments(
-    docs: DataFrame, rules: DataFrame | list[str] | None = None, *, key: str = "doc_id", text: str = "text", defaults: tuple[str, ...] = (T.CHAPTER_TITLE,), namespace: str = "user_namespace", keep: tuple[str, ...] = ()
+    docs: DataFrame, rules: DataFrame | list[str] | None = None, *, key: str = "doc_id", text: str = "text", defaults: tuple[str, ...] = (T.CHAPTER_TITLE,), namespace: str = "user_namespace", keep: tuple[str, ...] = (), few: bool = False
 ) -> DataFrame:
     """``<key>, <keep>, chapters array<struct<title, content>>, head`` of plain texts; ``head`` has the first lines.
 
@@ -122,19 +130,20 @@ def segments(
     end with a line break, blank ones too once a chapter is open; lines before
     the first title lead its chapter. Without a title there is one chapter of
     the lines that aren't blank, or of the raw text if all are. ``rules`` are a
-    list for all texts, or the table of all namespaces' rules.
+    list for all texts, or the table of all namespaces' rules; see ``with_titles``
+    for ``few``.
 
-    A text's lines stay in one row as an array, so nothing is shuffled: chapters
+    A text's lines stay in one row as an array, so they aren't shuffled: chapters
     are the slices between the places of titles.
     """
-    rows, cut = _pieces(docs, rules, (key, *keep), text, defaults, namespace)
+    rows, cut = _pieces(docs, rules, (key, *keep), text, defaults, namespace, few)
     # out of an array, so that no later projection copies the expression
     return rows.select(key, *keep, F.inline_outer(F.array(cut)))
 
 
-def segmented(docs: DataFrame, rules: DataFrame | list[str] | None = None, *, key: str = "doc_id", text: str = "text", defaults: tuple[str, ...] = (T.CHAPTER_TITLE,), namespace: str = "user_namespace") -> DataFrame:
+def segmented(docs: DataFrame, rules: DataFrame | list[str] | None = None, *, key: str = "doc_id", text: str = "text", defaults: tuple[str, ...] = (T.CHAPTER_TITLE,), namespace: str = "user_namespace", few: bool = False) -> DataFrame:
     """``<key>, chapter_index, title, content`` of plain texts, by ``segments``; a null text has none."""
-    rows, cut = _pieces(docs.where(F.col(text).isNotNull()), rules, (key,), text, defaults, namespace)
+    rows, cut = _pieces(docs.where(F.col(text).isNotNull()), rules, (key,), text, defaults, namespace, few)
     # an outer explode, as Spark tests what an inner one takes apart once more before it
     return rows.select(key, F.posexplode_outer(cut["chapters"]).alias("chapter_index", "__c")).select(key, "chapter_index", "__c.title", "__c.content")
 

@@ -244,6 +244,30 @@ def test_rules_of_namespaces(spark):
     assert plain == got | {5: None}
 
 
+def test_namespace_of_most_texts(spark, tmp_path):
+    """Nearly all texts in one namespace: few rules move no text, and otherwise no task gets the namespace whole."""
+    spark.range(4000).selectExpr("id as doc_id", "concat('A ', id, '\nB ', id, '\n', repeat(sha2(string(id), 512), 40)) as text", "if(id % 100 = 0, 'b', 'a') as user_namespace").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    table = spark.createDataFrame([("a", 1, "^A ", 1, 1), ("b", 2, "^B ", 1, 1)], "user_namespace string, id long, rule string, enable int, serial_number long")
+    want = {(i, ("B " if i % 100 == 0 else "A ") + str(i)) for i in range(4000)}
+    few = chapters.segmented(docs, table, few=True)
+    assert {(r["doc_id"], r["title"]) for r in few.collect()} == want
+    texts_dealt = [line for line in few._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line and "doc_id" in line]
+    assert not texts_dealt
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        rows = chapters.segmented(docs, table).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r["doc_id"], r["title"]) for r in rows} == want and len(rows) == len(want)
+    tasks = [r["task"] for r in rows]
+    assert max(tasks.count(t) for t in set(tasks)) < 2000
+
+
 def test_addresses(spark):
     known = {"::1": True, "fe80::1": True, "FD00:1:2::3": True, "ff02::1": True, "::": True, "::ffff:10.1.2.3": True, "::ffff:8.8.8.8": False, "2001:db8::1": False, "2001:db8:0:0:0:0:0:1": False}
     known |= {"1::2::3": False, "12345::1": False, "10.0.0.1": True, "239.1.1.1": True, "0.0.0.0": True, "8.8.8.8": False, "1:2:3:4:5:6:7": False, "x": False, ":1": False}
