@@ -73,9 +73,10 @@ def line_table(docs: DataFrame, text: str) -> DataFrame:
     return rows.select("k1", "k2", "pos", "n", F.xxhash64("line").alias("h"), leaf.alias("leaf"), "line")
 
 
-def generalised(lines: DataFrame) -> DataFrame:
+def generalised(lines: DataFrame, bodies: DataFrame) -> DataFrame:
     """``h, template``: the lines that follow a template with fields found in their leaf.
 
+    ``bodies`` has the rows of ``lines`` with the line itself, and is read once.
     A group of lines, at first a leaf, has a template if its common tokens are
     enough. The lines that don't follow it are a group again. A group without a
     template is split by the tokens of the position whose most frequent token
@@ -84,7 +85,7 @@ def generalised(lines: DataFrame) -> DataFrame:
     and it holds only lines of groups that are left.
     """
     size = lines.select("leaf", "h").distinct().groupBy("leaf").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= LEAST_DOCS)
-    kinds = lines.join(size.select("leaf"), "leaf").groupBy("leaf", "h", "n").agg(F.first("line").alias("line"))
+    kinds = bodies.select("leaf", "h", "n", "line").join(size.select("leaf"), "leaf").groupBy("leaf", "h", "n").agg(F.first("line").alias("line"))
     start = kinds.select("h", "n", F.split("line", " ").alias("tokens"), F.col("leaf").alias("g"), F.lit(None).cast("long").alias("was"), F.lit(None).cast("long").alias("template"))
     rounds = [kept(start, "lines-groups")]
     found = rounds[0].where("template is not null").select("h", "template")
@@ -168,14 +169,14 @@ def _unlike(found: Column) -> Column:
     return F.aggregate(found, F.array().cast("array<array<int>>"), lambda out, x: F.when(full(out) | F.exists(out, lambda y: _alike(x, y)), out).otherwise(F.concat(out, F.array(x))))
 
 
-def recurring(lines: DataFrame, sampled: DataFrame) -> DataFrame:
+def recurring(lines: DataFrame, bodies: DataFrame, sampled: DataFrame) -> DataFrame:
     """``h`` of the lines whose template recurs across documents that aren't copies of one another.
 
     Documents of one text count once. A template's documents are compared in
     cells of about ``CELL``, as many as its documents need, and the few unlike
     ones of ``CELLS`` cells again, till one cell is left: no task ever holds more.
     """
-    own = generalised(lines)
+    own = generalised(lines, bodies)
     ids = lines.select("k1", "h").distinct().join(own, "h", "left").select("h", "k1", F.coalesce("template", "h").alias("id"))
     ids = kept(ids, "lines-ids")
     pairs = ids.select("id", "k1").distinct()
@@ -203,19 +204,23 @@ def without_recurring_lines(docs: DataFrame, *, text: str = "text", counts: bool
     Defined cases: a null text stays null; blank lines stay; a text that loses
     all its lines becomes empty and its row stays; repeated rows lose the same
     lines; an empty table gives an empty result. Names of other columns don't
-    matter: a row's columns stay together in one struct on the way.
+    matter: a row's columns stay together in one struct on the way. The lines'
+    hashes are kept; the lines themselves, which would be all texts once more on
+    the disk, are cut from the texts again where they are compared.
     """
-    lines = kept(line_table(docs, text), "lines")
-    gone = kept(recurring(lines, samples(docs, text)), "lines-recurring")
+    bodies = line_table(docs, text)
+    lines = kept(bodies.drop("line"), "lines")
+    gone = kept(recurring(lines, bodies, samples(docs, text)), "lines-recurring")
     drops = lines.select("k1", "k2", "pos", "h").join(gone, "h").groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))
     drops = kept(drops, "lines-drops")
     discard(lines, gone)
     own = F.col(text)
-    keyed = docs.select(F.xxhash64(own).alias("k1"), F.xxhash64(F.lit(1), own).alias("k2"), own.alias("body"), F.struct(*docs.columns).alias("row"))
+    keyed = docs.select(F.xxhash64(own).alias("k1"), F.xxhash64(F.lit(1), own).alias("k2"), F.struct(*docs.columns).alias("row"))
     found = keyed.join(drops, ["k1", "k2"], "left")
-    parts = F.split("body", "\n", -1)
+    body = F.col("row").getField(text)
+    parts = F.split(body, "\n", -1)
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("drop", i)), "\n")
-    new = F.when(F.col("drop").isNull() | F.col("body").isNull(), F.col("body")).otherwise(left)
+    new = F.when(F.col("drop").isNull() | body.isNull(), body).otherwise(left)
     added = {"n_lines": F.coalesce(F.size(parts), F.lit(0)), "n_dropped": F.coalesce(F.size("drop"), F.lit(0))} if counts else {}
     out = [new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c not in added]
     return found.select(*out, *(x.alias(c) for c, x in added.items()))

@@ -1036,6 +1036,39 @@ def plain_drops(rows):
     return {i: "\n".join(x for x, m in zip(t.split("\n"), lines[i]) if not m or names.get(m, m) not in gone) for i, t in rows}
 
 
+def test_line_dedup_keeps_no_text_twice(spark, monkeypatch):
+    """The kept lines are hashes alone, and a text moves once when its lines are dropped."""
+    held, own = {}, linededup.kept
+
+    def kept(df, name):
+        held[name] = df.schema
+        return own(df, name)
+
+    monkeypatch.setattr(linededup, "kept", kept)
+    rows = [(i, f"shared line of all\nown {'abcdefghijkl'[i % 12]} {i} words here {i * i}\n" + " ".join(f"w{i}x{k}" for k in range(30))) for i in range(12)]
+    out = linededup.without_recurring_lines(table(spark, rows))
+    assert "string" not in [f.dataType.simpleString() for f in held["lines"]]
+    assert all("shared line" not in r["text"] for r in out.collect())
+    dealt = out._jdf.queryExecution().analyzed().toString()
+    assert "AS body" not in dealt
+
+
+def test_driver_collects_garbage_over_half_of_its_heap():
+    from types import SimpleNamespace as Space
+
+    from folio.llm import store
+
+    calls = []
+
+    def spark(total):
+        runtime = Space(totalMemory=lambda: total, maxMemory=lambda: 100, gc=lambda: calls.append(total))
+        return Space(sparkContext=Space(_jvm=Space(java=Space(lang=Space(Runtime=Space(getRuntime=lambda: runtime))))))
+
+    for total in (40, 50, 51, 90):
+        store._release(spark(total))
+    assert calls == [51, 90]
+
+
 def test_line_dedup_equals_its_plain_form(spark):
     rng = np.random.default_rng(77)
     names = ["ann", "bob", "cid", "dee", "eve", "fay", "gus", "hal"]
