@@ -1,9 +1,10 @@
 """Stupid-backoff language-model scores (Brants et al., 2007), computed relationally.
 
-Count tables of one to three words are kept, partitioned by the n-grams' 64-bit
-hashes, and joined to the exploded n-grams of the documents. What a known n-gram
-adds to a score beyond its step back depends on the n-gram alone, so each table
-holds that gain, and a document's score is a sum over joined rows.
+Texts are dealt into batches by hash. A batch sends each of its distinct n-grams
+once, by 64-bit hash, to the bucket of that hash; there all batches' numbers are
+added up, and the sums go back to the batches that asked. So an n-gram is shuffled
+once, with its batch's number of it, and once as a count, and each batch scores its
+texts by the counts of all words, pairs and triples in it.
 """
 
 from __future__ import annotations
@@ -13,35 +14,42 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import arrays
-from folio.llm.store import discard, kept
+from folio.llm.store import kept
 
 #: The factor for each step back, as published.
 BACKOFF = 0.4
 
-#: An n-gram with at least this share of all words is hot: there are at most ``1 / HOT`` of a length, whatever the corpus.
+#: Without use since batches send an n-gram once, however often they have it; tests still set it.
 HOT = 1 / (1 << 18)
 
-#: N-grams are counted and joined in so many slices of their hashes, one after the other, to bound the disk in use.
+#: N-grams are counted in so many slices of their hashes, one after the other, to bound the disk in use.
 SLICES = 3
 
-#: Text of a batch in bytes; n-grams that are combined before they leave a task.
-BATCH, COMBINE = 2 << 20, 1_500_000
+#: Text of a batch, of what is hashed at a time, and of what makes one bucket, in bytes.
+BATCH, PIECE, BUCKET = 4 << 20, 1 << 18, 4 << 20
 
+#: A count that doesn't fit a byte.
+LARGE = 255
 
-def _hashed(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Ranges of texts with their words' hashes and each text's first word."""
+_SENT = "bucket long, batch long, h binary, n binary, words long"
+_COUNTED = "bucket long, batch long, n binary, more binary, words long"
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' words, and each text's first word."""
     data, at = arrays.text_buffers(column)
-    for lo, hi in arrays.chunks(at, size):
-        for a in range(lo, hi, 1 << 15):
-            b = min(hi, a + (1 << 15))
-            part, borders = data[at[a] : at[b]], at[a : b + 1] - at[a]
-            starts, ends, first = arrays.words(part, borders)
-            yield a, b, arrays.span_hashes(part, starts, ends), first
+    hashes, firsts, n = [np.zeros(0, np.uint64)], [], 0
+    for lo, hi in arrays.chunks(at, PIECE):
+        part = data[at[lo] : at[hi]]
+        starts, ends, first = arrays.words(part, at[lo : hi + 1] - at[lo])
+        hashes.append(arrays.span_hashes(part, starts, ends))
+        firsts.append(first[:-1] + n)
+        n += len(starts)
+    return np.concatenate(hashes), np.concatenate([*firsts, [n]]).astype(np.int64)
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,193 +65,108 @@ def _inner(size: int, first: np.ndarray) -> np.ndarray:
     return inner
 
 
-def _grams(words: np.ndarray, first: np.ndarray, most: int = 3) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For one, two and three words (``most`` at most): hash, the hashes of its first and last part, and the place of its first word.
-
-    The parts of a pair are its words, those of a triple its pairs.
-    """
+def _grams(words: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For one, two and three words: hashes, and the places of their first words."""
     place = np.arange(len(words))
-    out = [(words, words, words, place)]
-    if len(words):
-        good = _inner(len(words), first)
-        both = _joined(words[:-1], words[1:])
-        out.append((both[good], words[:-1][good], words[1:][good], place[:-1][good]))
-    if len(words) and most > 2:
-        wide = good[:-1] & good[1:]
-        a, b = both[:-1][wide], both[1:][wide]
-        out.append((_joined(a, b), a, b, place[: max(0, len(words) - 2)][wide]))
-    return out
+    if not len(words):
+        return [(words, place)] * 3
+    good = _inner(len(words), first)
+    both = _joined(words[:-1], words[1:])
+    wide = good[:-1] & good[1:]
+    return [(words, place), (both[good], place[:-1][good]), (_joined(both[:-1][wide], both[1:][wide]), place[: len(wide)][wide])]
 
 
-def _buckets(words: int) -> int:
-    """The bits of a hash that name its bucket, so that a bucket stays small whatever the corpus."""
-    return max(12, (words // 50_000).bit_length())
-
-
-def _lists(h: np.ndarray, bits: int, *columns: pa.Array) -> list[pa.Array]:
-    """Sorted hashes' buckets, and the columns as one list for each bucket."""
-    bucket = h >> np.uint64(64 - bits)
-    cut = np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << 63)))
-    place = pa.array(np.append(cut, len(h)).astype(np.int32))
-    return [pa.array(bucket[cut].view(np.int64)), *(pa.ListArray.from_arrays(place, c) for c in columns)]
-
-
-def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that sorts hashes, and where each distinct one begins in it."""
+def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts hashes, where each distinct one begins in it, and how often it occurs."""
     order = np.argsort(h)
     own = h[order]
-    return order, np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
-
-
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+    return order, first, np.diff(first, append=len(own))
 
 
-def gram_counts(docs: DataFrame, size: int, *, text: str = "text", bits: int = 12, part: int = 0, parts: int = 1, least: int = 1) -> DataFrame:
-    """``h, a, b, n``: how often each n-gram of two or three words (``size``) occurs, with the hashes of its parts.
-
-    Tasks combine what they count and send it in lists, one for a bucket of
-    hashes. Only buckets of ``part`` of ``parts`` are counted, and n-grams with
-    fewer than ``least`` occurrences left out.
-    """
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of bytes: the values between one end and the next."""
+    at = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
 
-        def out() -> pa.RecordBatch:
-            rows = np.concatenate(held, axis=1) if held else np.zeros((3, 0), np.uint64)
-            held.clear()
-            order, first = _groups(rows[0])
-            at, n = order[first], np.diff(first, append=len(order))
-            lists = _lists(rows[0][at], bits, *(pa.array(x[at].view(np.int64)) for x in rows[1:]), pa.array(n.astype(np.int32)))
-            return pa.RecordBatch.from_arrays(lists, names=["bucket", "a", "b", "n"])
 
-        for batch in batches:
-            for _, _, words, first in _hashed(batch.column(0), BATCH):
-                for h, a, b, _ in _grams(words, first, size)[size - 1 :]:
-                    good = (h >> np.uint64(64 - bits)) % np.uint64(parts) == part
-                    held.append(np.stack([h[good], a[good], b[good]]))
-                if sum(x.shape[1] for x in held) > COMBINE:
-                    yield out()
-        yield out()
-
-    def counted(rows: pa.Table) -> pa.Table:
-        a, b, n = (_flat(rows.column(c)) for c in ("a", "b", "n"))
-        h = _joined(a.view(np.uint64), b.view(np.uint64)).view(np.int64)
-        order, first = _groups(h)
-        n = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        good = n >= least
-        at, n = order[first][good], n[good]
-        return pa.table([pa.array(h[at]), pa.array(a[at]), pa.array(b[at]), pa.array(n)], names=["h", "a", "b", "n"])
-
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(each, "bucket long, a array<long>, b array<long>, n array<int>")
-    return rows.groupBy("bucket").applyInArrow(counted, "h long, a long, b long, n long")
-
-
-def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """``h, n``: how often each word occurs, by hash."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def out() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-        for batch in batches:
-            for _, _, words, _ in _hashed(batch.column(0), BATCH):
-                held.append(words)
-                if sum(map(len, held)) > COMBINE:
-                    yield out()
-        yield out()
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows of bytes, and the ends of the rows."""
+    data, at = arrays.text_buffers(column)
+    return data.view(kind), at // np.dtype(kind).itemsize
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(each, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
+def _sent(column: pa.Array, batch: int | None, bits: int, part: int, parts: int, times: int) -> pa.RecordBatch:
+    """Rows for the buckets of ``part`` of ``parts``: distinct n-grams, sorted by hash, and how often (``times``: 0 to ask only) they occur."""
+    words, first = _words(column)
+    own = [h[(h >> np.uint64(64 - bits)) % np.uint64(parts) == part] for h, _ in _grams(words, first)]
+    h = np.sort(np.concatenate(own))
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+    n = np.diff(first, append=len(h)).astype(np.int32) * np.int32(times)
+    h = h[first]
+    bucket = h >> np.uint64(64 - bits)
+    cut = np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << 63)))
+    ends = np.append(cut, len(h))
+    numbers = np.zeros(len(cut), np.int64)
+    numbers[:1] = len(own[0]) * times
+    batches = pa.array([batch] * len(cut), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int64)), batches, _packed(h, ends), _packed(n, ends), pa.array(numbers)], names=["bucket", "batch", "h", "n", "words"])
+
+
+def _counted(rows: pa.Table) -> pa.Table:
+    """A bucket's rows with the sums over all batches in place of their own numbers; rows without a batch get none."""
+    h, ends = _unpacked(rows.column("h"), np.uint64)
+    n, _ = _unpacked(rows.column("n"), np.int32)
+    order, first, size = _groups(h)
+    sums = np.empty(len(h), np.int64)
+    sums[order] = np.repeat(np.add.reduceat(n[order].astype(np.int64), first), size)
+    asks = rows.column("batch").is_valid().to_numpy()
+    lengths = np.diff(ends)
+    sums, ends = sums[np.repeat(asks, lengths)], np.append(0, np.cumsum(lengths * asks))
+    large = sums >= LARGE
+    n = _packed(np.minimum(sums, LARGE).astype(np.uint8), ends)
+    more = _packed(sums[large], np.append(0, np.cumsum(large))[ends])
+    return pa.table([rows.column("bucket"), rows.column("batch"), n, more, rows.column("words")], names=["bucket", "batch", "n", "more", "words"])
+
+
+def _answered(answers: pa.Table) -> np.ndarray:
+    """All counts of a batch in order of their hashes."""
+    answers = answers.take(np.argsort(answers.column("bucket").to_numpy()))
+    n = _unpacked(answers.column("n"), np.uint8)[0].astype(np.int64)
+    n[n == LARGE] = _unpacked(answers.column("more"), np.int64)[0]
+    return n
+
+
+def _bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("n")).first()["n"]
+
+
+def counts(texts: DataFrame, corpus: DataFrame | None, bits: int, *, slices: int = SLICES) -> tuple[DataFrame, int]:
+    """Kept ``batch, bucket, n, more``: for each batch of ``texts(doc_id, text, batch)`` the counts of its distinct n-grams in order of their hashes.
+
+    Counts are bytes; from ``LARGE`` on they are in ``more``. And the number of words. What is counted is ``corpus(text)``, or the texts
+    themselves without one. Slices of the buckets are counted one after the other.
+    """
+    own = int(corpus is None)
 
-def _all(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, tables)
+    def counted(part: int) -> DataFrame:
+        def asked(rows: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([_sent(rows.column("text"), rows.column("batch")[0].as_py(), bits, part, slices, own)])
 
+        def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, at = arrays.text_buffers(batch.column(0))
+                for lo, hi in arrays.chunks(at, BATCH):
+                    yield _sent(batch.column(0).slice(lo, hi - lo), None, bits, part, slices, 1)
 
-def gains(corpus: DataFrame, *, text: str = "text", apart: bool = False, slices: int = SLICES) -> tuple[list[list[DataFrame]], int]:
-    """For one to three words kept tables ``h, n, g``, one for a slice of hashes, and the number of words.
+        rows = texts.select("batch", "text").groupBy("batch").applyInArrow(asked, _SENT)
+        if corpus is not None:
+            rows = rows.union(corpus.select("text").mapInArrow(told, _SENT))
+        return kept(rows.groupBy("bucket").applyInArrow(_counted, _COUNTED), "ngrams-counts")
 
-    ``g`` is what a known n-gram adds to a logarithmic score in place of its step
-    back. With ``apart``, counts are those without the occurrence that is scored,
-    so an n-gram that occurs once is unknown. Pairs' tables have their score ``r``
-    besides. A slice is counted and joined before the next, and pairs, which are
-    fewer, take half the slices.
-    """
-    own = int(apart)
-    words = kept(word_counts(corpus, text=text), "ngrams-counts")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    share = F.ln(F.greatest(F.col("n") - own, F.lit(1))) - float(np.log(max(1, total - own)))
-    one = kept(words.select("h", "n", share.alias("g")), "ngrams-words")
-    discard(words)
-    step = float(np.log(BACKOFF))
-    ratio = F.ln(F.col("n") - own) - F.col("lead")
-
-    def gained(size: int, parts: int, below: DataFrame, score: str) -> list[DataFrame]:
-        lead = below.select(F.col("h").alias("a"), F.ln(F.col("n") - own).alias("lead"))
-        last = below.select(F.col("h").alias("b"), F.col(score).alias("last"))
-        out = []
-        for part in range(parts):
-            counts = kept(gram_counts(corpus, size, text=text, bits=_buckets(total), part=part, parts=parts, least=1 + own), "ngrams-counts")
-            # the parts' tables have each hash once, so they are dealt evenly and need no sorting
-            joined = counts.join(lead.hint("shuffle_hash"), "a").join(last.hint("shuffle_hash"), "b").select("h", "n", (ratio - step - F.col("last")).alias("g"), ratio.alias("r"))
-            out.append(kept(joined if size == 2 else joined.drop("r"), "ngrams-gains"))
-            discard(counts)
-        return out
-
-    pairs = gained(2, max(1, slices // 2), one, "g")
-    return [[one], pairs, gained(3, slices, _all(pairs), "r")], total
-
-
-def _found(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which hashes a sorted table has, and their gains."""
-    keys, gain = table
-    if not len(keys):
-        return np.zeros(len(hashes), bool), np.zeros(len(hashes))
-    at = np.searchsorted(keys, hashes)
-    at[at == len(keys)] = 0
-    known = keys[at] == hashes
-    return known, np.where(known, gain[at], 0.0)
-
-
-def _empty(n: int, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], kind))
-
-
-def _sent(bucket: pa.Array, number: int, h: pa.Array, doc: pa.Array, ref: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([bucket, pa.array(np.full(len(bucket), number, np.int64)), h, doc, ref], names=["bucket", "batch", "h", "doc", "ref"])
-
-
-def _met(rows: pa.Table, table: pa.Table) -> pa.Table:
-    """A bucket's n-grams joined to its part of the tables, summed for each text; and the texts' names, where rows have them."""
-    names = ["batch", "doc", "ref", "g"]
-    kinds = [pa.int64(), pa.int16(), pa.int64(), pa.float64()]
-    if not len(rows):
-        return pa.table([pa.array([], kind) for kind in kinds], names=names)
-    named = rows.filter(pc.greater(pc.list_value_length(rows.column("ref")), 0))
-    owner = [np.repeat(named.column("batch").to_numpy(), pc.list_value_length(named.column("ref")).to_numpy())]
-    doc, ref = [_flat(named.column("doc"))], [_flat(named.column("ref"))]
-    gain = [np.zeros(len(doc[0]))]
-    grams = rows.filter(pc.equal(pc.list_value_length(rows.column("ref")), 0))
-    h = _flat(grams.column("h"))
-    if len(table) and len(h):
-        batch = np.repeat(np.arange(len(grams)), pc.list_value_length(grams.column("h")).to_numpy())
-        keys = table.column("h").to_numpy()
-        order = np.argsort(keys)
-        known, found = _found((keys[order], table.column("g").to_numpy()[order]), h)
-        code, group = np.unique(batch[known] * (1 << 15) + _flat(grams.column("doc"))[known], return_inverse=True)
-        owner.append(grams.column("batch").to_numpy()[code >> 15])
-        doc.append((code & ((1 << 15) - 1)).astype(np.int16))
-        gain.append(np.bincount(group, found[known], minlength=len(code)))
-    size = sum(map(len, doc))
-    refs = np.concatenate([*ref, np.zeros(size - len(ref[0]), np.int64)])
-    hole = np.arange(size) >= len(ref[0])
-    out = [pa.array(np.concatenate(owner)), pa.array(np.concatenate(doc), pa.int16()), pa.array(refs, mask=hole), pa.array(np.concatenate(gain))]
-    return pa.table(out, names=names)
+    out = reduce(DataFrame.union, [counted(part) for part in range(slices)])
+    total = out.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first()["n"]
+    return out.where("batch is not null").select("batch", "bucket", "n", "more"), total
 
 
 def scores(docs: DataFrame, corpus: DataFrame, *, key: str = "doc_id", text: str = "text", apart: bool = False, slices: int = SLICES) -> DataFrame:
@@ -257,88 +180,50 @@ def scores(docs: DataFrame, corpus: DataFrame, *, key: str = "doc_id", text: str
     natural logarithms. With ``apart``, each occurrence is taken out of the
     counts that score it, for documents that are part of the corpus.
 
-    The gains of hot n-grams, a bounded number, are sent to the tasks; the others
-    meet their tables in joins by hash: a bucket of hashes is one group, its
-    n-grams lists from many texts beside its rows of the tables.
+    The text is hashed once a slice and once to be scored. A batch is what fits in
+    a task's memory with ease, and so is a bucket, whatever the corpus: there an
+    n-gram has one number from each batch, however often it occurs.
 
     Defined cases: null and blank texts have 0 words, score 0 and a null mean; a
     null id keeps its row; rows that repeat id and text are scored alike; other
     columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    held, total = gains(corpus, text=text, apart=apart, slices=slices)
-    tables = [_all(parts).select("h", "n", "g") for parts in held]
-    hot = []
-    for table in tables:
-        top = table.where(F.col("n") >= HOT * total).select("h", "g").toArrow()  # 1 / HOT rows at most
-        keys, gain = top.column("h").to_numpy().view(np.uint64), top.column("g").to_numpy()
-        order = np.argsort(keys)
-        hot.append((keys[order], gain[order]))
-    sent = spark.sparkContext.broadcast(hot)
-    step, unknown = float(np.log(BACKOFF)), -float(np.log(max(1, total - int(apart))))
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key).cast("long"), F.col(text)).alias("ref"), F.col(text).alias("text"))
-
-    def bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, words, first in _hashed(batch.column(2), BATCH):
-                n = np.diff(first)
-                base = step * (np.maximum(n - 1, 0) + np.maximum(n - 2, 0))
-                doc = np.repeat(np.arange(hi - lo), n)
-                for k, (h, _, _, place) in enumerate(_grams(words, first)):
-                    known, gain = _found(sent.value[k], h)
-                    if not k:  # words that no table has keep this
-                        gain = np.where(known, gain, unknown)
-                    base += np.bincount(doc[place], gain, minlength=hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(base)],
-                    names=["doc_id", "ref", "n_tokens", "base"],
-                )
-
-    bits = _buckets(total)
-
-    def exploded(part: int):
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo, hi, words, first in _hashed(batch.column(1), BATCH):
-                    doc = np.repeat(np.arange(hi - lo, dtype=np.int16), np.diff(first))
-                    grams, owners = [], []
-                    for k, (h, _, _, place) in enumerate(_grams(words, first)):
-                        own = np.flatnonzero((h >> np.uint64(64 - bits)) % np.uint64(slices) == part)
-                        rest = own[~_found(sent.value[k], h[own])[0]]
-                        grams.append(h[rest])
-                        owners.append(doc[place[rest]])
-                    h = np.concatenate(grams)
-                    order = np.argsort(h)
-                    h, own = h[order], np.concatenate(owners)[order]
-                    refs = batch.column(0).slice(lo, hi - lo)
-                    # named by its rows, so that a task that is run again names it alike
-                    number = int(arrays.mixed(refs.to_numpy().view(np.uint64) + np.arange(hi - lo, dtype=np.uint64)).sum().view(np.int64))
-                    bucket, *lists = _lists(h, bits, pa.array(h.view(np.int64)), pa.array(own))
-                    yield _sent(bucket, number, *lists, _empty(len(bucket), pa.int64()))
-                    one = pa.array([0, hi - lo], pa.int32())
-                    docs_own = pa.ListArray.from_arrays(one, pa.array(np.arange(hi - lo, dtype=np.int16)))
-                    yield _sent(pa.array([number % (1 << bits)]), number, _empty(1, pa.int64()), docs_own, pa.ListArray.from_arrays(one, refs))
-
-        return each
-
-    # a word that isn't hot has its share of ``unknown`` in the base already
-    cold = [t.where(F.col("n") < HOT * total).select("h", (F.col("g") - (unknown if not k else 0.0)).alias("g")) for k, t in enumerate(tables)]
-    cold = _all(cold).select(F.shiftrightunsigned("h", 64 - bits).alias("bucket"), "h", "g")
-    sums = []
-    for part in range(slices):
-        rows = texts.select("ref", "text").mapInArrow(exploded(part), "bucket long, batch long, h array<long>, doc array<smallint>, ref array<long>")
-        own = cold.where(F.pmod("bucket", F.lit(slices)) == part)
-        met = rows.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(_met, "batch long, doc smallint, ref long, g double")
-        met = met.groupBy("batch", "doc").agg(F.max("ref").alias("ref"), F.sum("g").alias("g"))
-        sums.append(kept(met.groupBy("ref").agg(F.sum("g").alias("g")), "ngrams-sums"))
-    for parts in held:
-        discard(*parts)
-    base = kept(texts.mapInArrow(bases, "doc_id long, ref long, n_tokens long, base double"), "ngrams-bases")
-    times = base.groupBy("ref").agg(F.count("*").alias("times"))
-    added = _all(sums).groupBy("ref").agg(F.sum("g").alias("g")).join(times, "ref").select("ref", (F.col("g") / F.col("times")).alias("g"))
-    out = base.join(added, "ref", "left")
-    score = F.when(F.col("n_tokens") > 0, F.col("base") + F.coalesce("g", F.lit(0.0))).otherwise(F.lit(0.0))
-    return out.select("doc_id", "n_tokens", score.alias("log_score"), F.when(F.col("n_tokens") > 0, score / F.col("n_tokens")).alias("mean_log_score"))
+    same = docs is corpus
+    size = _bytes(docs, text)
+    most = size if same else max(size, _bytes(corpus, text))
+    bits = max(10, (most // BUCKET).bit_length())
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = texts.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // BATCH)))
+    found, total = counts(texts, None if same else corpus.select(F.col(text).alias("text")), bits, slices=slices)
+    own, step = int(apart), float(np.log(BACKOFF))
+    whole = float(np.log(max(1, total - own)))
+
+    def scored(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        words, first = _words(rows.column("text"))
+        one, two, three = _grams(words, first)
+        _, begin, often = groups = _groups(np.concatenate([one[0], two[0], three[0]]))
+        log, known = np.zeros(often.sum()), np.zeros(often.sum(), bool)
+        if len(words):
+            n = _answered(answers)
+            if len(n) != len(begin):
+                raise ValueError(f"{len(n)} counts for {len(begin)} n-grams")
+            log[groups[0]] = np.repeat(np.log(np.maximum(n - own, 1)), often)
+            known[groups[0]] = np.repeat(n > own, often)
+        cut = np.cumsum([len(words), len(two[0])])
+        (log1, log2, log3), (_, known2, known3) = np.split(log, cut), np.split(known, cut)
+        score = log1 - whole
+        place = two[1]
+        pair = np.zeros(len(words))
+        pair[place] = log2
+        score[place + 1] = np.where(known2, log2 - log1[place], step + score[place + 1])
+        place = three[1]
+        score[place + 2] = np.where(known3, log3 - pair[place], step + score[place + 2])
+        n = np.diff(first)
+        sums = np.bincount(np.repeat(np.arange(len(n)), n), score, minlength=len(n))
+        return pa.table([rows.column("doc_id"), pa.array(n), pa.array(sums)], names=["doc_id", "n_tokens", "log_score"])
+
+    out = texts.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(scored, "doc_id long, n_tokens long, log_score double")
+    return out.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))
 
 
 def corpus_scores(docs: DataFrame, *, key: str = "doc_id", text: str = "text", slices: int = SLICES) -> DataFrame:

@@ -164,6 +164,17 @@ def test_scores_of_empty_tables(spark):
     assert found_scores(ngrams.scores(table(spark, [(1, "a b"), (2, None)]), none, slices=1)) == backoff([(1, "a b"), (2, None)], [], False)
 
 
+def test_scores_of_many_batches_keep_one_table_a_slice(spark, monkeypatch):
+    """Texts in many batches and buckets are scored alike; counts go back to the texts, so no table of n-grams is joined or kept."""
+    made, kept = [], ngrams.kept
+    monkeypatch.setattr(ngrams, "kept", lambda df, name: made.append(name) or kept(df, name))
+    monkeypatch.setattr(ngrams, "BATCH", 2000)
+    monkeypatch.setattr(ngrams, "BUCKET", 16)
+    rows = [*SCORED, *[(100 + k, prose(k % 7, 60)) for k in range(300)]]
+    assert found_scores(ngrams.corpus_scores(table(spark, rows), slices=2)) == backoff(rows, rows, True)
+    assert len(made) == 2
+
+
 def test_copies_score_apart(spark):
     """Known n-grams are those that occur elsewhere, so a text that occurs twice scores higher than others."""
     twice = prose(900, 200)
