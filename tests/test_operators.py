@@ -338,6 +338,39 @@ def test_files_of_exported_books(spark, tmp_path):
     assert {r["book_url"]: r["text"] for r in back.collect()} == want
 
 
+def test_exported_texts_come_back_whole(spark, tmp_path):
+    """Files that are split among tasks, with breaks and blank lines of all kinds, are put together as they were."""
+    from folio.sources import files
+
+    contents = ["", "\n", "a\r\nb\rc\n\n", "é\u2028\U0001f600" * 40, "\n\n x", "line\n" * 300]
+    chapters_ = [(b, i, f"t{i}\r", contents[(i + k) % len(contents)]) for k, b in enumerate(("a/b", "c d", "é", "e=f", None)) for i in range(30)]
+    df = spark.createDataFrame(chapters_, "book_url string, chapter_index int, title string, content string").repartition(4)
+    want = sorted(map(tuple, dml.exported(df).collect()), key=str)
+    dml.export_files(df, str(tmp_path / "out"))
+    own = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for size, rows in ((own["spark.sql.files.maxPartitionBytes"], 10_000), ("1000b", 7)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            back = files.exported_texts(spark, str(tmp_path / "out"))
+            assert back.columns == ["book_url", "text"]
+            assert sorted(map(tuple, back.collect()), key=str) == want
+    finally:
+        for name, value in own.items():
+            spark.conf.set(name, value)
+
+
+def test_export_is_not_read_as_whole_texts(spark, tmp_path):
+    """The reader of whole texts holds a text five times over and more, which ended on a book of 1 GB."""
+    from folio.plans import texts
+
+    spark.createDataFrame([(1, "x", "en", "web"), (2, "y\n", "en", "book"), (3, "", "fr", "web")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = texts.export_files(spark, str(tmp_path))
+    assert {r["book_url"]: r["text"] for r in out.collect()} == {"en": "web\n\nx\n\nbook\n\ny\n\n\n", "fr": "web\n\n\n\n"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Sort" in plan
+
+
 def test_all_references_of_html(spark):
     """Every name with and without its end, numbers of all kinds, and texts that only look like references."""
     import html
