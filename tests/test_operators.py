@@ -371,6 +371,25 @@ def test_export_is_not_read_as_whole_texts(spark, tmp_path):
     assert "MapInArrow" in plan and "Sort" in plan
 
 
+def test_a_book_that_no_row_holds_is_refused(spark, tmp_path, monkeypatch):
+    """By its file's size, before it is put together: one of 6 GB took a task's memory first. Lines are sorted as pieces of a batch."""
+    from folio.sources import files
+
+    df = spark.createDataFrame([("a", 1, "t", "x" * 7), ("b", 1, "t", "é\n" * 300), ("b", 2, "t", "y")], "book_url string, chapter_index int, title string, content string")
+    dml.export_files(df, str(tmp_path / "out"))
+    want = {r["book_url"]: r["text"] for r in dml.exported(df).collect()}
+    size = len(want["b"].encode())
+    monkeypatch.setattr(files, "ROW_BYTES", size)
+    back = files.exported_texts(spark, str(tmp_path / "out"))
+    assert {r["book_url"]: r["text"] for r in back.collect()} == want
+    assert back._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    monkeypatch.setattr(files, "ROW_BYTES", size - 1)
+    with pytest.raises(Exception, match=f"can't hold the {size} bytes of a book .*book_url=b"):
+        files.exported_texts(spark, str(tmp_path / "out")).collect()
+    written = b"".join(p.read_bytes() for p in (tmp_path / "out" / "book_url=b").glob("*.txt"))
+    assert written.decode() == want["b"]
+
+
 def test_all_references_of_html(spark):
     """Every name with and without its end, numbers of all kinds, and texts that only look like references."""
     import html
